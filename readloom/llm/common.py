@@ -50,3 +50,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     with freed_shuffles(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of stored(), once nothing reads them any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

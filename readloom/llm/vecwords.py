@@ -18,6 +18,7 @@ _CHUNK = 1 << 20
 _U = np.uint64
 _rng = np.random.default_rng(SEED)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_OTHER = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _R = 0x9E3779B97F4A7C15
 _M1, _M2, _STEP = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0xD6E8FEB86659FD93)
 _FACTORS = (_U(_R), _U(0xC2B2AE3D27D4EB4F), _U(0xFF51AFD7ED558CCD))
@@ -48,10 +49,11 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """The hash of data[s:e] for each pair of the sorted, disjoint spans."""
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, other: bool = False) -> np.ndarray:
+    """The hash of data[s:e] for each pair of the sorted, disjoint spans; other: a second, independent one."""
     out = np.empty(len(starts), dtype=np.uint64)
-    value = _BYTE[_LOWER] if lower else _BYTE
+    value = _OTHER if other else _BYTE
+    value = value[_LOWER] if lower else value
     i = 0
     while i < len(starts):
         first = int(starts[i])
