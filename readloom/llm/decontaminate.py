@@ -94,7 +94,8 @@ def template(block: Block) -> Template:
     if not len(starts):
         none = np.zeros(0, dtype=np.uint64)
         return Template(none, none, np.zeros(0, dtype=np.int8), first)
-    raw = hash_spans(_folded(data), starts, ends, lower=True)
+    folded = _folded(data)
+    raw = hash_spans(folded, starts, ends, lower=True)
     leads = np.zeros(len(starts), dtype=bool)
     leads[first[:-1][np.diff(first) > 0]] = True
     digits, breaks = np.cumsum(digit), np.cumsum(_ENDS[data])
@@ -103,10 +104,11 @@ def template(block: Block) -> Template:
     after[1:] = number[:-1] & ~leads[1:]
     sentence = leads.copy()
     sentence[1:] |= breaks[starts[1:]] > breaks[ends[:-1] - 1]
-    head, second = data[starts], data[np.minimum(starts + 1, len(data) - 1)]
-    wide = (head == 0xC3) & (second >= 0x80) & (second <= 0x9E)
-    third = data[np.minimum(starts + 2, len(data) - 1)]
-    name = ((_UPPER[head] & ~_UPPER[second]) | (wide & ~_UPPER[third])) & (ends - starts > 1) & ~sentence
+    capital = np.zeros(len(data) + 3, dtype=bool)  # at the first byte of a capital
+    capital[: len(data)] = _UPPER[data]
+    capital[: len(data) - 1] |= folded[1:] != data[1:]
+    following = starts + np.where(data[starts] >= 0xC0, 2, 1)
+    name = capital[starts] & ~capital[following] & (ends > following) & ~sentence
     kind = np.zeros(len(starts), dtype=np.int8)
     kind[name] = _NAME
     kind[after & _among(raw, _UNIT_HASHES)] = _UNIT
