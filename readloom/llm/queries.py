@@ -7,10 +7,11 @@ from .language import op8_language_id
 from .neardup import op5_minhash_near_dedup
 from .packing import op10_packing
 from .quality import op7_quality_rules
+from .secrets import op2_secret_scan
 from .sharding import op6_sharding
 from .substring import op3_substring_dedup
 from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op4_decontamination, op5_minhash_near_dedup, op6_sharding, op7_quality_rules, op8_language_id, op9_warc, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_substring_dedup, op4_decontamination, op5_minhash_near_dedup, op6_sharding, op7_quality_rules, op8_language_id, op9_warc, op10_packing)}
 
 SQL: dict[str, str] = {}
