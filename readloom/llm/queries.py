@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op4_decontamination
 from .language import op8_language_id
+from .licenses import op1_license_scan
 from .neardup import op5_minhash_near_dedup
 from .packing import op10_packing
 from .quality import op7_quality_rules
@@ -12,6 +13,6 @@ from .sharding import op6_sharding
 from .substring import op3_substring_dedup
 from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_substring_dedup, op4_decontamination, op5_minhash_near_dedup, op6_sharding, op7_quality_rules, op8_language_id, op9_warc, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_substring_dedup, op4_decontamination, op5_minhash_near_dedup, op6_sharding, op7_quality_rules, op8_language_id, op9_warc, op10_packing)}
 
 SQL: dict[str, str] = {}
