@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from readloom.llm.common import stored
+from readloom.llm.decontaminate import drop_leaks
+from readloom.llm.neardup import keep_one
 from readloom.llm.packing import pack_stage
 from readloom.llm.quality import keep_good
+from readloom.llm.secrets import mask_secrets
 
 STAGES = [
     ("quality rules", keep_good),
+    ("near duplicates", keep_one),
+    ("benchmark decontamination", drop_leaks),
+    ("secret scan", mask_secrets),
     ("packing", pack_stage),
 ]
 
