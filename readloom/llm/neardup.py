@@ -5,8 +5,9 @@ the first filled bin that its own sequence of universal hashes names (optimal de
 texts that agree on a band share a bucket. Texts with equal shingle sets are one class with one
 representative. In each bucket, candidate edges form stars: every member with the smallest id and with the
 one of smallest hash, so their number is linear in the bucket. Links are confirmed on the full shingle
-sets; then any two members of a bucket that are still in different components are compared too, so a star's
-centre that resembles nobody loses no link. Components come from alternating large-star and small-star steps
+sets. A star's centre may resemble nobody, so members of a bucket that are still in different components are
+settled too, block against block, by products of incidence matrices: exact, with links alone as rows. Left
+out are those of which other unsettled texts share too few shingles for any link (an exact bound). Components come from alternating large-star and small-star steps
 on tables in the shared folder; no id list goes to the driver.
 
 Defined cases: null or empty text and text without words: empty set, linked with nothing; fewer than five
@@ -31,6 +32,7 @@ SHINGLE, PERCENT = 5, 75
 #: A pair at similarity s meets in some band with probability 1 - (1 - s**ROWS)**BANDS: 0.9999 at 0.75.
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
+BLOCK = 512
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -110,6 +112,15 @@ def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in part.columns[:2]], schema=schema)
 
 
+def _spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> a row for each shingle of its set."""
+    for block in blocks(batches, 1):
+        found = words(block, lower=True)
+        sets = shingle_sets(found.hash, found.first)
+        ids = np.repeat(np.asarray(block.batch.column(0)), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "h"])
+
+
 def _pairs(x: str, y: str, n: str, m: str) -> list:
     """(a, b) with a < b, where the sizes allow a link at all."""
     least, most = F.least(n, m), F.greatest(n, m)
@@ -123,6 +134,53 @@ def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(rows.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"), "links")
 
 
+def _intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of x with each of y, by products of incidence matrices."""
+    rows = [np.repeat(np.arange(len(z)), [len(s) for s in z]) for z in (x, y)]
+    values = [np.concatenate(z) for z in (x, y)]
+    both = np.intersect1d(np.unique(values[0]), np.unique(values[1]), assume_unique=True)
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    for lo in range(0, len(both), 2048):
+        part, sides = both[lo : lo + 2048], []
+        for row, value, z in zip(rows, values, (x, y), strict=True):
+            at = np.minimum(np.searchsorted(part, value), len(part) - 1)
+            hit = part[at] == value
+            side = np.zeros((len(z), len(part)), dtype=np.float32)
+            side[row[hit], at[hit]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _settle(cell: pa.Table) -> pa.Table:
+    """Links between the members of two blocks of a bucket (or within one) that have different roots."""
+    sets: list[np.ndarray] = []
+    for block in blocks(cell.to_batches(), cell.column_names.index("text")):
+        found = words(block, lower=True)
+        sets += shingle_sets(found.hash, found.first)
+    ids, roots, slot, i, j = (cell.column(c).to_numpy() for c in ("id", "root", "slot", "i", "j"))
+    one, two = np.flatnonzero(slot == i), np.flatnonzero(slot == j)
+    n = np.array([len(s) for s in sets])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    if not len(one) or not len(two):
+        return schema.empty_table()
+    both = _intersections([sets[k] for k in one], [sets[k] for k in two])
+    good = (100 * both >= PERCENT * (n[one][:, None] + n[two][None, :] - both)) & (roots[one][:, None] != roots[two][None, :]) & (both > 0)
+    x, y = np.nonzero(good)
+    a, b = ids[one[x]], ids[two[y]]
+    return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+
+
+def settled(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """All links between members (band, id, root) of one bucket with different roots: (a, b). A bucket is dealt
+    to blocks, and a task holds two of them."""
+    sizes = members.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    rows = members.join(sizes, "band").select("band", "id", "root", "k", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("slot"))
+    rows = rows.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    cells = rows.select("band", F.least("slot", "o").alias("i"), F.greatest("slot", "o").alias("j"), "id", "root", "slot", "text")
+    return cells.groupBy("band", "i", "j").applyInArrow(_settle, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id reachable, for every id on an edge (a, b)."""
     edges, before = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), None
@@ -163,15 +221,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = inside.select("band", "id", "n").join(roots, "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
     labelled = stored(labelled, "labelled")
     split = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    left = labelled.join(split, "band")
-    right = left.select("band", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    cross, ok = _pairs("id", "id2", "n", "n2")
-    rest = left.join(right, "band").where((F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & ok).select(*cross).distinct()
-    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = links(rest, texts)
-        if not more.isEmpty():
-            roots = components(found.union(more))
+    left = stored(labelled.join(split, "band").select("band", "id", "n", "root"), "unsettled")
+    # What no other of them shares can't be in an intersection: an exact bound on each one's similarities.
+    spread = texts.join(left.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_spread, "id long, h long")
+    alone = spread.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count("*").alias("alone"))
+    left = left.join(alone, "id", "left").withColumn("m", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").where(100 * F.col("m") >= PERCENT * F.col("n"))
+    left = stored(left, "open")
+    more = stored(settled(left, texts), "late-links")
+    if not more.isEmpty():
+        roots = components(found.union(more))
     members = real.select("doc_id", *key).join(classes, key).select("doc_id", "rep").groupBy("doc_id").agg(F.min("rep").alias("rep"))
     out = members.join(roots, members.rep == roots.id, "left")
     out = out.select("doc_id", "rep", F.coalesce("root", "rep").alias("root"))
