@@ -43,9 +43,13 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: a cut of the lineage that outlives lost executors."""
+def stored(df: DataFrame, name: str, merge: int = 1) -> DataFrame:
+    """df as a table in the shared folder: a cut of the lineage that outlives lost executors.
+
+    merge: so many shuffle partitions to a file, for results that are small beside the documents."""
     spark = df.sparkSession
+    if merge > 1:
+        df = df.coalesce(max(6, int(spark.conf.get("spark.sql.shuffle.partitions")) // merge))
     path = shared_dir(spark, name)
     with freed_shuffles(spark):
         df.write.parquet(path)

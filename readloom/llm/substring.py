@@ -135,7 +135,7 @@ class FingerprintIndex:
     def ingest(self, batch: DataFrame, archive: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Adds a batch (doc_id, text), all later than what is indexed; archive: all documents up to now.
 
-        Returns facts (doc_id, n_words, sha, copied) and covered (doc_id, starts), both stored."""
+        Returns facts (doc_id, n_words, sha, copied) and covered (doc_id, starts)."""
         scanned = stored(batch.mapInArrow(_scan, "doc_id long, n_words long, sha binary, h array<long>, pos array<int>"), "scanned")
         real = scanned.where(f"doc_id is not null and n_words >= {WINDOW}")
         first = real.groupBy("sha").agg(F.min("doc_id").alias("first"))
@@ -143,9 +143,9 @@ class FingerprintIndex:
         for i, texts in enumerate(self.texts):
             first = first.join(texts.select("sha", F.col("doc_id").alias(f"old{i}")), "sha", "left")
             known = F.coalesce(F.col(f"old{i}"), known)
-        first = stored(first.select("sha", F.coalesce(known, "first").alias("first"), known.isNull().alias("new")), "firsts")
-        facts = stored(scanned.select("doc_id", "n_words", "sha").join(first.select("sha", "first"), "sha", "left").select(
-            "doc_id", "n_words", "sha", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copied")), "facts")
+        first = stored(first.select("sha", F.coalesce(known, "first").alias("first"), known.isNull().alias("new")), "firsts", merge=8)
+        facts = scanned.select("doc_id", "n_words", "sha").join(first.select("sha", "first"), "sha", "left").select(
+            "doc_id", "n_words", "sha", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copied"))
         fresh = first.where("new").select(F.col("first").alias("doc_id"))
         pairs = scanned.join(fresh, "doc_id").select("doc_id", F.explode(F.arrays_zip("h", "pos")).alias("x")).select("x.h", "doc_id", "x.pos")
         live = pairs.groupBy("h").agg(F.count("*").alias("n"))
@@ -153,13 +153,13 @@ class FingerprintIndex:
         for i, run in enumerate(self.runs):
             live = live.join(self.spark.table(run).groupBy("h").agg(F.lit(True).alias(f"in{i}")), "h", "left")
             old = old | F.coalesce(F.col(f"in{i}"), F.lit(False))
-        live = stored(live.select("h", "n", old.alias("old")).where("n > 1 or old").select("h", "old"), "live")
-        run = self._write(pairs.join(live.select("h", F.lit(True).alias("live")), "h", "left").select("h", "doc_id", "pos", F.coalesce("live", F.lit(False)).alias("live")))
-        places = self.spark.table(run).where("live").select("doc_id", "pos")
+        live = live.select("h", "n", old.alias("old")).where("n > 1 or old").select("h", "old")
+        run = self._write(pairs.join(live, "h", "left").select("h", "doc_id", "pos", F.col("old").isNotNull().alias("live"), F.coalesce("old", F.lit(False)).alias("old")))
+        new = self.spark.table(run)
+        places = new.where("live").select("doc_id", "pos")
         for earlier in self.runs:
-            places = places.union(self.spark.table(earlier).join(live.where("old"), "h", "left_semi").select("doc_id", "pos"))
+            places = places.union(self.spark.table(earlier).join(new.where("old").groupBy("h").agg(F.lit(True).alias("hit")), "h", "left_semi").select("doc_id", "pos"))
         covered = self._covered(places, archive, batch)
-        dropped(scanned, live)
         self.texts.append(first.where("new").select("sha", F.col("first").alias("doc_id")))
         self.runs.append(run)
         if len(self.runs) >= FAN_IN:
@@ -170,14 +170,14 @@ class FingerprintIndex:
         """Verification: equal windows under live anchors, all but the first of each; only the batch's count."""
         by_doc = places.groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))  # at most the words of one document
         texts = archive.select("doc_id", "text").join(by_doc, "doc_id").select("doc_id", "text", "pos")
-        found = stored(texts.mapInArrow(_live, "w1 long, w2 long, doc_id long, start int"), "windows")
+        found = stored(texts.mapInArrow(_live, "w1 long, w2 long, doc_id long, start int"), "windows", merge=4)
         firsts = found.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        firsts = stored(firsts.select("w1", "w2", F.col("first.doc_id").alias("d"), F.col("first.start").alias("s")), "first-windows")
+        firsts = firsts.select("w1", "w2", F.col("first.doc_id").alias("d"), F.col("first.start").alias("s"))
         again = found.join(firsts, ["w1", "w2"]).where("doc_id > d or doc_id = d and start > s")
         again = again.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
         low = batch.agg(F.min("doc_id")).first()[0]
-        out = stored(again.where(F.col("doc_id") >= F.lit(low).cast("long")), "covered")
-        dropped(found, firsts)
+        out = stored(again.where(F.col("doc_id") >= F.lit(low).cast("long")), "covered", merge=8)
+        dropped(found)
         return out
 
     def compact(self) -> None:
