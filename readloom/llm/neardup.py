@@ -131,7 +131,7 @@ def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The confirmed ones of the candidate pairs, as a table."""
     rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return stored(rows.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"), "links")
+    return stored(rows.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"), "links", merge=8)
 
 
 def _intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -188,10 +188,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "large-star")
+        large = stored(large, "large-star", merge=8)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        small = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star", merge=8)
         state = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return small.toDF("id", "root")
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stored(docs.mapInArrow(_sign, "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"), "signed")
     real = signed.where("doc_id is not null and n_shingles > 0")
     key = ["set_hi", "set_lo", "n_shingles"]
-    classes = stored(real.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
+    classes = stored(real.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes", merge=8)
     reps = real.select("doc_id", "bands").join(classes.select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n")), "doc_id")
     member = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"), "n")
     who = lambda h: F.struct(h, F.col("id").alias("id"), F.col("n").alias("n"))
@@ -213,21 +213,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).where("lo <> hi")
     inside = stored(member.join(bucket, "band").select("band", "id", "n", F.col("x.id").alias("c1"), F.col("x.n").alias("n1"), F.col("y.id").alias("c2"), F.col("y.n").alias("n2")), "buckets")
     (one, ok1), (two, ok2) = _pairs("id", "c1", "n", "n1"), _pairs("id", "c2", "n", "n2")
-    tried = stored(inside.where(ok1).select(*one).union(inside.where(ok2).select(*two)).distinct(), "stars")
+    tried = stored(inside.where(ok1).select(*one).union(inside.where(ok2).select(*two)).distinct(), "stars", merge=8)
     texts = stored(docs.join(inside.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidates")
     found = links(tried, texts)
     roots = components(found)
     # Members of one bucket in different components that were not compared yet: no link may rest on a star's centre.
     labelled = inside.select("band", "id", "n").join(roots, "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
-    labelled = stored(labelled, "labelled")
+    labelled = stored(labelled, "labelled", merge=8)
     split = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    left = stored(labelled.join(split, "band").select("band", "id", "n", "root"), "unsettled")
+    left = stored(labelled.join(split, "band").select("band", "id", "n", "root"), "unsettled", merge=8)
     # What no other of them shares can't be in an intersection: an exact bound on each one's similarities.
     spread = texts.join(left.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_spread, "id long, h long")
     alone = spread.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count("*").alias("alone"))
     left = left.join(alone, "id", "left").withColumn("m", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").where(100 * F.col("m") >= PERCENT * F.col("n"))
-    left = stored(left, "open")
-    more = stored(settled(left, texts), "late-links")
+    left = stored(left, "open", merge=8)
+    more = stored(settled(left, texts), "late-links", merge=8)
     if not more.isEmpty():
         roots = components(found.union(more))
     members = real.select("doc_id", *key).join(classes, key).select("doc_id", "rep").groupBy("doc_id").agg(F.min("rep").alias("rep"))
