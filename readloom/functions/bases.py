@@ -24,7 +24,7 @@ def packed_hex(seq: Column) -> Column:
     digits = F.rpad(codes(seq), (F.ceil(F.length(seq) / 4) * 4).cast("int"), F.lit("0"))
     pairs = [(f"{a}{b}", f"{a * 4 + b:X}") for a in range(4) for b in range(4)]
     table = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-    nibbles = F.transform(F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2)), lambda i: table[F.substr(digits, i, F.lit(2))])
+    nibbles = F.transform(F.regexp_extract_all(digits, F.lit(".."), F.lit(0)), lambda x: table[x])
     return F.when(F.length(seq) > 0, F.array_join(nibbles, "")).otherwise("")
 
 

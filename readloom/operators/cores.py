@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bases import normalized
@@ -30,21 +30,13 @@ def _lengths(cores: DataFrame) -> tuple[list[int], bool]:
     return sorted(r["len"] for r in rows), sum(r["count"] for r in rows) <= BROADCAST_CORES
 
 
-def _kmers(seq: Column, k: int) -> Column:
-    """Places from 1 and k-mers of the normalized sequence in _s."""
-    places = F.sequence(F.lit(1), F.length(seq) - (k - 1))
-    return F.transform(places, lambda i: F.struct(i.alias("pos"), F.substr(F.col("_s"), i, F.lit(k)).alias("core")))
-
-
 def candidates(reads: DataFrame, cores: DataFrame) -> DataFrame:
     """(read_id, core_id, core, pos) of every entry found at every place (from 1)."""
     lengths, small = _lengths(cores)
-    seq = normalized(F.col("seq"))
-    grams = [_kmers(F.col("seq"), k) for k in lengths]
-    empty = F.array().cast("array<struct<pos:int,core:string>>")
-    parts = [F.when(F.length("seq") >= k, g).otherwise(empty) for k, g in zip(lengths, grams, strict=True)]
-    spread = reads.select("read_id", "seq", seq.alias("_s")).select("read_id", F.explode(F.concat(*parts) if parts else empty).alias("x"))
-    spread = spread.select("read_id", "x.pos", "x.core")
+    sizes = F.array(*[F.lit(k) for k in lengths]).cast("array<int>")
+    rows = reads.select("read_id", normalized(F.col("seq")).alias("_s")).select("read_id", "_s", F.explode(sizes).alias("_k")).where(F.length("_s") >= F.col("_k"))
+    places = rows.select("read_id", "_s", "_k", F.explode(F.sequence(F.lit(1), F.length("_s") - F.col("_k") + 1)).alias("pos"))
+    spread = places.select("read_id", F.substr("_s", "pos", "_k").alias("core"), "pos")
     known = cores.select("core_id", "core")
     return spread.join(F.broadcast(known) if small else known, "core").select("read_id", "core_id", "core", "pos")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LENGTH = 48
+LENGTH, DIGEST = 48, 32
 # Hexadecimal digits to bases and to quality symbols.
 HEXADECIMAL, AS_BASES, AS_QUALITIES = "0123456789abcdef", "ACGTACGTACGTACGT", "!#%+/38=@CFHIJGD"
 
@@ -19,28 +19,34 @@ def _digest(*parts) -> F.Column:
 
 
 def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row with all the digits: a fixture, as long as `part` is."""
+    """One row with an array of digests of DIGEST digits: a fixture, as long as `part` is."""
     key = F.col("p_partkey")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
     pieces = F.array_sort(F.collect_list(F.struct(key, F.md5(key.cast("string")).alias("h"))))
-    return part.agg(F.array_join(F.transform(pieces, lambda x: x.h), "").alias("g"))
+    return part.agg(F.transform(pieces, lambda x: x.h).alias("g"))
 
 
 def reads(spark: SparkSession, sf_dir: str, shift: int = 0, unknown: bool = True) -> DataFrame:
     """(read_id, name, seq, qual); unknown: N stands where the quality is the lowest. shift: another place in the genome."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
     text = F.col("event_id").cast("string")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    events = events.repartition(tasks, "event_id")  # the file is small, what is derived from it is not
     rows = events.crossJoin(F.broadcast(genome(spark, sf_dir)))  # one row
-    at = (F.col("event_id") * 7919 + F.col("user_id") * 104729 + shift) % (F.length("g") - LENGTH)
+    at = (F.col("event_id") * 7919 + F.col("user_id") * 104729 + shift) % (F.size("g") * DIGEST - LENGTH)
+    first = F.expr("_at div 32").cast("int")
+    near = F.concat(*[F.coalesce(F.get("g", first + k), F.lit("")) for k in range(3)])
+    rows = rows.withColumn("_at", at).withColumn("_near", near)
     rows = rows.select(
         F.col("event_id").alias("read_id"),
         F.concat(F.lit("@run."), text, F.lit("/1 "), F.col("event_type")).alias("name"),
-        F.translate(F.substr("g", at.cast("int") + 1, F.lit(LENGTH)), HEXADECIMAL, AS_BASES).alias("seq"),
+        F.translate(F.substr("_near", (F.col("_at") % DIGEST).cast("int") + 1, F.lit(LENGTH)), HEXADECIMAL, AS_BASES).alias("seq"),
         F.translate(F.substring(F.concat(_digest(F.lit("q"), text), _digest(F.lit("r"), text)), 1, LENGTH), HEXADECIMAL, AS_QUALITIES).alias("qual"),
     )
     if not unknown:
         return rows
-    marked = F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: F.when(F.substr("qual", i, F.lit(1)) == "!", "N").otherwise(F.substr("seq", i, F.lit(1))))
+    each = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    marked = F.zip_with(each("seq"), each("qual"), lambda b, q: F.when(q == "!", "N").otherwise(b))
     return rows.withColumn("seq", F.array_join(marked, ""))
 
 
