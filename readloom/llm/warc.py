@@ -148,8 +148,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     small = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = pages.join(F.broadcast(again) if small else again, "page_id", "left")
     joined = joined.select("page_id", "url", "payload", F.when(F.length("payload") >= REVISIT, F.col("refers_to")).alias("refers_to"))
-    picked = pages.select(F.xxhash64("page_id").alias("h"), F.substring("payload", 1, SAMPLE_BYTES).alias("p")).orderBy("h").limit(SAMPLE)
-    dictionary = train([bytes(r.p) for r in picked.collect()])
+    ids = [r.page_id for r in pages.select("page_id").where("page_id is not null").orderBy(F.xxhash64("page_id")).limit(SAMPLE).collect()]
+    picked = pages.where(F.col("page_id").isin(ids)).select("page_id", F.substring("payload", 1, SAMPLE_BYTES).alias("p")).limit(SAMPLE)
+    dictionary = train([bytes(r.p) for r in sorted(picked.collect(), key=lambda r: (r.page_id, r.p))])
     manifest = joined.mapInArrow(lambda b: _write_task(b, folder, dictionary), "file string, records long")
     return stored(manifest, "manifest")
 
