@@ -124,7 +124,7 @@ def _write_task(batches: Iterable[pa.RecordBatch], folder: str, dictionary: byte
         for row in range(batch.num_rows):
             if writer is None:
                 fs.create_dir(root, recursive=True)
-                out = fs.open_output_stream(f"{root}/{name}", buffer_size=1 << 20)
+                out = fs.open_output_stream(f"{root}/{name}", compression=None, buffer_size=1 << 20)
                 writer = Writer(out, dictionary)
             page_id, url, data, refers = (batch.column(i)[row].as_py() for i in range(4))
             writer.write(page_id, url, data, refers)
@@ -164,7 +164,7 @@ def _read_task(batches: Iterable[pa.RecordBatch], with_payload: bool) -> Iterato
         for file in batch.column(0).to_pylist():
             fs, path = pafs.FileSystem.from_uri(file)
             rows, held = [], 0
-            with fs.open_input_stream(path) as source:
+            with fs.open_input_stream(path, compression=None) as source:
                 for head, body in read_records(source):
                     if head["WARC-Type"] == "warcinfo":
                         continue
