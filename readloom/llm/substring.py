@@ -172,12 +172,13 @@ class FingerprintIndex:
         texts = archive.select("doc_id", "text").join(by_doc, "doc_id").select("doc_id", "text", "pos")
         found = stored(texts.mapInArrow(_live, "w1 long, w2 long, doc_id long, start int"), "windows", merge=4)
         firsts = found.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        firsts = firsts.select("w1", "w2", F.col("first.doc_id").alias("d"), F.col("first.start").alias("s"))
+        # Stored before the join, so that it can split a window that very many documents share.
+        firsts = stored(firsts.select("w1", "w2", F.col("first.doc_id").alias("d"), F.col("first.start").alias("s")), "first-windows", merge=8)
         again = found.join(firsts, ["w1", "w2"]).where("doc_id > d or doc_id = d and start > s")
         again = again.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
         low = batch.agg(F.min("doc_id")).first()[0]
         out = stored(again.where(F.col("doc_id") >= F.lit(low).cast("long")), "covered", merge=8)
-        dropped(found)
+        dropped(found, firsts)
         return out
 
     def compact(self) -> None:
