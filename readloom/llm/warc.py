@@ -83,6 +83,21 @@ class Writer:
         self._put(head, http if refers_to is not None else http + payload)
 
 
+def _frames(source: BinaryIO, codec: zstandard.ZstdDecompressor) -> Iterator[bytes]:
+    rest = b""
+    while True:
+        frame, parts = codec.decompressobj(), []
+        while not frame.eof:
+            data, rest = rest or source.read(1 << 16), b""
+            if not data:
+                if parts:
+                    raise EOFError("the last frame is cut off")
+                return
+            parts.append(frame.decompress(data))
+        rest = frame.unused_data
+        yield b"".join(parts)
+
+
 def read_records(source: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header and block of each record of one archive; one record in memory at a time."""
     kind, size = struct.unpack("<II", source.read(8))
@@ -90,9 +105,9 @@ def read_records(source: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
         raise ValueError("no leading dictionary frame")
     found = _dictionary(source.read(size))
     codec = zstandard.ZstdDecompressor(dict_data=found) if found else zstandard.ZstdDecompressor()
-    stream = io.BufferedReader(codec.stream_reader(source, read_across_frames=True), 1 << 16)
-    while version := stream.readline():
-        if version != b"WARC/1.1\r\n":
+    for frame in _frames(source, codec):
+        stream = io.BytesIO(frame)
+        if (version := stream.readline()) != b"WARC/1.1\r\n":
             raise ValueError(f"not a record: {version[:20]!r}")
         head = {}
         while (line := stream.readline()) != b"\r\n":
@@ -101,8 +116,8 @@ def read_records(source: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
             name, _, value = line.decode().partition(":")
             head[name] = value.strip()
         body = stream.read(int(head["Content-Length"]))
-        if stream.read(4) != b"\r\n\r\n" or len(body) != int(head["Content-Length"]):
-            raise EOFError("a record ends in its block")
+        if stream.read() != b"\r\n\r\n" or len(body) != int(head["Content-Length"]):
+            raise EOFError("a record does not end with its frame")
         yield head, body
 
 
