@@ -1,4 +1,7 @@
-"""The queries of this subpackage and the SQL of those that SQL can express."""
+"""The queries of this subpackage and the SQL of those that SQL can express.
+
+Certified cutoffs, trained models, slot planning, tokenizers and bin packing have no SQL form; tests hold those
+operators against plain Python, round trips or held-out accuracy."""
 
 from __future__ import annotations
 
@@ -13,6 +16,49 @@ from .sharding import op6_sharding
 from .substring import op3_substring_dedup
 from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_substring_dedup, op4_decontamination, op5_minhash_near_dedup, op6_sharding, op7_quality_rules, op8_language_id, op9_warc, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_secret_scan, op3_substring_dedup, op4_decontamination, op5_minhash_near_dedup,
+        op6_sharding, op7_quality_rules, op8_language_id, op9_warc, op10_packing,
+    )
+}
+
+_WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_substring_dedup": f"""
+with d as (select doc_id, {_WORDS.format(text="coalesce(text, '')")} as ws from documents),
+w as (select doc_id, i, array_to_string(ws[i:i + 19], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as i from d) t),
+f as (select k, min((doc_id, i)) as first from w group by k having count(*) > 1),
+again as (select doc_id, i from w join f using (k) where (doc_id, i) > first),
+gone as (select doc_id, list_distinct(flatten(list(range(i, i + 20)))) as p from again group by doc_id),
+kept as (select d.doc_id, len(ws) as n, case when p is null then ws else list_filter(ws, lambda x, j: not list_contains(p, j)) end as ks from d left join gone using (doc_id)),
+whole as (select doc_id, array_to_string(ws, ' ') as t, len(ws) as n from d),
+firsts as (select t, min(doc_id) as lead from whole where n >= 20 group by t)
+select k.doc_id, n::bigint as n_words, (n - len(ks))::bigint as n_removed, sha256(array_to_string(ks, ' ')) as kept_sha256,
+  coalesce(k.doc_id > lead, false) as copied
+from kept k join whole using (doc_id, n) left join firsts using (t)""",
+    "op5_minhash_near_dedup": f"""
+with recursive d as (select doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as ws from documents),
+s as (select distinct doc_id, case when len(ws) < 5 then array_to_string(ws, ' ') else array_to_string(ws[i:i + 4], ' ') end as g
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) as i from d where len(ws) > 0) t),
+n as (select doc_id, count(*) as n, list_sort(list(g)) as whole from s group by doc_id),
+same as (select whole, min(doc_id) as lead from n group by whole),
+reps as (select n.doc_id, n, lead from n join same using (whole)),
+rs as (select s.doc_id, g from s join reps using (doc_id) where doc_id = lead),
+both_ as (select a.doc_id as a, b.doc_id as b, count(*) as c from rs a join rs b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from both_ join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+e as (select a, b from links union select b, a from links),
+walk as (select lead as v, lead as r from same union select e.b as v, walk.r from walk join e on e.a = walk.v where e.b > walk.r),
+root as (select v, min(r) as r from walk group by v)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(r, d.doc_id) as component_id,
+  d.doc_id = coalesce(r, d.doc_id) as kept, coalesce(lead, d.doc_id) as representative_id
+from d left join reps using (doc_id) left join root on v = lead""",
+    "op9_warc": """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+f as (select b, max(page_id) as last from p where octet_length(b) >= 1000 group by b),
+j as (select page_id, p.b, case when page_id <> last then last end as refers_to from p left join f using (b))
+select page_id, octet_length(b)::bigint as payload_bytes, sha1(b) as payload_digest,
+  case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to from j""",
+}
