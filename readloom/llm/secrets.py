@@ -24,6 +24,7 @@ from .common import table
 
 CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,}+={0,2}"
 BEFORE, AFTER, THRESHOLD, MASK = 40, 12, 0.5, "[SECRET]"
+GROUP = 256
 TREES, DEPTH, SEED = 25, 7, 7
 # Dictionary words, and words that stand beside secrets and beside other long tokens.
 DICTIONARY = (
@@ -79,19 +80,32 @@ NAMES = [
 ]
 
 
+def _bind(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def _before(sizes: Column) -> Column:
+    """What all sizes before each group of GROUP add up to: sums of sums, so that many candidates in one text cost
+    no more than their number times GROUP."""
+    groups = F.transform(F.sequence(F.lit(0), (F.size(sizes) / GROUP).cast("int")), lambda k: _total(F.slice(sizes, k * GROUP + 1, F.lit(GROUP))))
+    return F.aggregate(groups, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+
 def _candidates(text: Column) -> Column:
     """array<struct<token, before, after, start>>; gaps are the texts between candidates."""
     tokens, gaps = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
 
     def described(parts: Column) -> Column:
         t, g = parts.tokens, parts.gaps
-        sizes = F.transform(t, lambda x, i: F.length(x) + F.length(F.get(g, i)))
-        ends = F.aggregate(
-            sizes, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))
-        )
-        return F.transform(t, lambda x, i: F.struct(
-            x.alias("token"), F.substring(F.get(g, i), -BEFORE, BEFORE).alias("before"), F.substring(F.get(g, i + 1), 1, AFTER).alias("after"),
-            (F.get(ends, i + 1) - F.length(x)).cast("long").alias("start")))
+        return _bind(F.transform(t, lambda x, i: F.length(x) + F.length(F.get(g, i))), lambda sizes: _bind(_before(sizes), lambda ends: F.transform(
+            t, lambda x, i: F.struct(
+                x.alias("token"), F.substring(F.get(g, i), -BEFORE, BEFORE).alias("before"), F.substring(F.get(g, i + 1), 1, AFTER).alias("after"),
+                (F.get(ends, (i / GROUP).cast("int")) + _total(F.slice(sizes, (i / GROUP).cast("int") * GROUP + 1, i % GROUP + 1)) - F.length(x)).cast("long").alias("start")))))
 
     parts = F.array(F.struct(tokens.alias("tokens"), gaps.alias("gaps")))
     none = F.array().cast("array<struct<token:string,before:string,after:string,start:bigint>>")

@@ -193,6 +193,13 @@ def test_secrets(spark, odd, none):
     assert secrets.scan(none).count() == secrets.scan(odd).count() == 0
 
 
+def test_many_candidates_in_one_text(spark):
+    tokens = [f"a{k:05d}bcdefgh{k}" for k in range(3000)]
+    text = " ".join(f"é{t}" if k % 7 == 0 else t for k, t in enumerate(tokens))
+    rows = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("finding").collect()
+    assert [text[r.start : r.start + r.length] for r in rows] == tokens
+
+
 def test_masking(spark, odd):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, (t, _) in SECRETS.items()], "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: r for r in secrets.mask_secrets(spark, docs, "").collect()}
