@@ -153,12 +153,14 @@ class FingerprintIndex:
         for i, run in enumerate(self.runs):
             live = live.join(self.spark.table(run).groupBy("h").agg(F.lit(True).alias(f"in{i}")), "h", "left")
             old = old | F.coalesce(F.col(f"in{i}"), F.lit(False))
-        live = live.select("h", "n", old.alias("old")).where("n > 1 or old").select("h", "old")
+        # Stored before the join, so that it can split an anchor that very many documents have.
+        live = stored(live.select("h", "n", old.alias("old")).where("n > 1 or old").select("h", "old"), "live", merge=8)
         run = self._write(pairs.join(live, "h", "left").select("h", "doc_id", "pos", F.col("old").isNotNull().alias("live"), F.coalesce("old", F.lit(False)).alias("old")))
         new = self.spark.table(run)
         places = new.where("live").select("doc_id", "pos")
         for earlier in self.runs:
             places = places.union(self.spark.table(earlier).join(new.where("old").groupBy("h").agg(F.lit(True).alias("hit")), "h", "left_semi").select("doc_id", "pos"))
+        dropped(live)
         covered = self._covered(places, archive, batch)
         self.texts.append(first.where("new").select("sha", F.col("first").alias("doc_id")))
         self.runs.append(run)
