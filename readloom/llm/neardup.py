@@ -212,6 +212,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bucket = member.groupBy("band").agg(
         F.min(F.struct("id", "n")).alias("x"), F.min(who(F.xxhash64("id").alias("h"))).alias("y"), F.min("id").alias("lo"), F.max("id").alias("hi"),
     ).where("lo <> hi")
+    bucket = stored(bucket, "bucket-centres", merge=8)  # before the join, so that it can split a very large bucket
     inside = stored(member.join(bucket, "band").select("band", "id", "n", F.col("x.id").alias("c1"), F.col("x.n").alias("n1"), F.col("y.id").alias("c2"), F.col("y.n").alias("n2")), "buckets")
     (one, ok1), (two, ok2) = _pairs("id", "c1", "n", "n1"), _pairs("id", "c2", "n", "n2")
     tried = stored(inside.where(ok1).select(*one).union(inside.where(ok2).select(*two)).distinct(), "stars", merge=8)
@@ -222,6 +223,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = inside.select("band", "id", "n").join(roots, "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
     labelled = stored(labelled, "labelled", merge=8)
     split = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    split = stored(split, "split-buckets", merge=8)
     left = stored(labelled.join(split, "band").select("band", "id", "n", "root"), "unsettled", merge=8)
     # What no other of them shares can't be in an intersection: an exact bound on each one's similarities.
     spread = texts.join(left.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_spread, "id long, h long")
