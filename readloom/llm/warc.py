@@ -157,6 +157,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     keys = pages.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("size"))
     keys = stored(keys.where(f"size >= {REVISIT}").drop("size"), "payload-keys")
     firsts = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    firsts = stored(firsts, "last-of-payload", merge=8)  # before the join, so that it can split a very frequent payload
     again = keys.join(firsts, "digest").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
     again = stored(again, "revisits")
     # Nothing but a counted, small list is broadcast; a longer one is joined by shuffle.
