@@ -152,14 +152,14 @@ def fit(examples: list[tuple[list[str], str]], seed: int = SEED, l1: float = 2e-
         return e / e.sum(axis=1, keepdims=True)
 
     x, y = matrix(seen)
-    truth = np.eye(len(families))[y]
-    w, b, rate = np.zeros((x.shape[1], len(families))), np.zeros(len(families)), 0.5
+    truth = np.eye(len(families), dtype=np.float32)[y]
+    w, b, rate = np.zeros((x.shape[1], len(families)), dtype=np.float32), np.zeros(len(families), dtype=np.float32), np.float32(0.5)
     for _ in range(steps):
-        error = (softmax(x @ w + b) - truth) / len(x)
+        error = (softmax(x @ w + b) - truth) / np.float32(len(x))
         w -= rate * (x.T @ error)
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * np.float32(l1), 0)
         b -= rate * error.sum(axis=0)
-    w, b = w.round(6), b.round(6)
+    w, b = w.astype(np.float64).round(6), b.astype(np.float64).round(6)
     xh, yh = matrix(held)
     s = xh @ w + b
     heats = np.exp(np.linspace(-2, 2, 81))
