@@ -24,6 +24,15 @@ def dictionary(entries: DataFrame) -> DataFrame:
     return entries.groupBy("core").agg(F.max("core_id").alias("core_id")).select("core_id", "core", F.length("core").alias("len"))
 
 
+def frequent(reads: DataFrame, k: int = 12, n: int = 10_000) -> DataFrame:
+    """(core_id, core): the n most frequent k-mers, for reads that come without a dictionary; ties by letters."""
+    rows = reads.select(normalized(F.col("seq")).alias("_s")).where(F.length("_s") >= k)
+    places = rows.select("_s", F.explode(F.sequence(F.lit(1), F.length("_s") - (k - 1))).alias("pos"))
+    counts = places.groupBy(F.substr("_s", "pos", F.lit(k)).alias("core")).agg(F.count("*").alias("n"))
+    top = [r.core for r in counts.orderBy(F.desc("n"), "core").limit(n).collect()]  # n entries
+    return reads.sparkSession.createDataFrame(list(enumerate(top)), "core_id int, core string")
+
+
 def _lengths(cores: DataFrame) -> tuple[list[int], bool]:
     """The distinct lengths (a handful of numbers), and whether the dictionary is small."""
     rows = cores.groupBy("len").count().collect()

@@ -142,6 +142,25 @@ def test_interleaved(spark):
     assert [(r.name, r.seq, r.seq2) for r in got] == [("n0", "S0", "S1"), ("n2", "S2", "S3")]
 
 
+def test_command_line(spark, tmp_path, records, capsys):
+    from readloom.__main__ import main
+
+    plain = [(n, s.upper().replace("R", "A"), "".join("5" if q in '"!#$' else q for q in qual)) for n, s, qual in records]
+    (tmp_path / "a_1.fq").write_text(four_lines(plain))
+    (tmp_path / "a_2.fq").write_text(four_lines((n, s[::-1], q) for n, s, q in plain))
+    (tmp_path / "p.txt").write_text("ACG TTT\nGAT\n")
+    out, one = str(tmp_path / "arch"), str(tmp_path / "a_1.fq")
+    assert main(["encode", one, "-o", out, "-P", str(tmp_path / "p.txt")]) == 0
+    assert main(["decode", out, "-o", "-"]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    got = sorted(zip(lines[::4], lines[1::4], lines[3::4], strict=True))
+    assert [(n, q) for n, _, q in got] == sorted((f"@{n.split(' ')[0]}", "".join("!" if c == "N" else x for c, x in zip(s, q, strict=True))) for n, s, q in plain)
+    assert main(["encode", one, "-o", out + "2", "-r", "-n", "lib"]) == 0
+    assert main(["decode", out + "2", "-o", str(tmp_path / "d"), "-S", "50"]) == 0
+    assert sorted(spark.read.text(f"{tmp_path}/d/2/part=5").toPandas().value.str.startswith("@lib.").tolist()).count(True) >= 3
+    assert main(["encode", one, "-o", "x", "-p", "101"]) == 1
+
+
 def test_parts(spark, tmp_path):
     placed = spark.range(25).select(F.col("id").alias("place"), F.lit("@n").alias("name"), F.lit("AC").alias("seq"), F.lit("II").alias("qual"))
     textfiles.write_parts(cluster.parts(placed, 10), str(tmp_path / "p"))
