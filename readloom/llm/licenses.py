@@ -1,6 +1,7 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line of the text; those with a licence cue are classified. The classifier is a multinomial
+A paragraph is a run of lines that hold a letter or digit; comment marks at the ends of its lines do not count. Its
+lines, and the sentences and two sentences in a row that reach over a line's end, are classified if they have a licence cue; cues are derived so that no text that a template could confirm lacks one. The classifier is a multinomial
 logistic regression on the presence of one to three words in a row, made sparse by an L1 penalty. It knows one
 class for each licence family and the class `unknown` for cues that name none. It is trained on the driver on
 labelled paragraphs (a bounded set; by default generated from the templates below). A temperature is fitted and
@@ -15,6 +16,8 @@ reported; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import json
+import math
+import re
 from dataclasses import dataclass
 from functools import cache
 
@@ -26,6 +29,8 @@ from .common import table
 
 UNKNOWN, SEED, CONTAINED, PRECISION = "unknown", 11, 0.6, 0.99
 CUE = r"(?i)licen[cs]|copyright|copyleft|creative commons|public domain|all rights reserved|spdx|unlicense|warrant(y|ies)|redistribut|\(c\)\s*[0-9]{4}|©|\bcc[ -](by|0|zero)|\b(a|l)?gpl|gnu "
+MARK, BREAK = "\x01", r"[\s*#/;-]+"
+EDGES = r"^(?i:[^\p{L}\p{N}(©]|(rem|dnl)\b)+|[\s*#/|;-]+$"
 # The names and usual notices of each family.
 TEMPLATES = {
     "apache-2.0": [
@@ -98,6 +103,34 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(low, r"\.(?=\s|$)|(?<=\s|^)\.", ""), " "), "")
 
 
+def cue(paragraphs: list[str]) -> str:
+    """CUE, and of each notice so many pairs of words that a text with CONTAINED of its pairs has a cue."""
+    gap, pairs = r"[^\p{L}\p{N}.]+", []
+
+    def words(text: str) -> list[str]:
+        return [w for w in (x.strip(".") for x in re.split(r"[^\w.]+|_", text.lower())) if w]
+
+    def needed(text: str) -> None:
+        own = words(text)
+        grams = list(dict.fromkeys(zip(own, own[1:], strict=False)))
+        plain = sorted((g for g in grams if not re.search(CUE, " ".join(g) + " ") and g not in pairs), key=lambda g: (-len(g[0]) - len(g[1]), g))
+        spare = math.ceil(CONTAINED * len(grams)) - 1  # so many pairs without a cue confirm nothing
+        pairs.extend(plain[: max(0, len(plain) - spare)])
+
+    for templates in TEMPLATES.values():
+        for text in templates:
+            needed(text)
+    for text in paragraphs:  # of other training sets
+        own = words(text)
+        if not re.search(CUE, text) and not set(zip(own, own[1:], strict=False)) & set(pairs):
+            needed(text)
+    after: dict[str, list[str]] = {}
+    for one, two in pairs:
+        after.setdefault(re.escape(one), []).append(re.escape(two))
+    known = "|".join(f"{one}{gap}(?:{'|'.join(others)})" for one, others in after.items())
+    return re.sub(r"\[ -\]| ", lambda _: BREAK, CUE) + rf"|\b(?:{known})\b"
+
+
 def _grams(words: Column, n: int) -> Column:
     size = F.size(words)
     spans = F.transform(F.sequence(F.lit(0), size - n), lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]))
@@ -132,6 +165,7 @@ class Model:
     bias: list[float]
     temperature: float
     least: float
+    cue: str = ""
 
 
 def fit(examples: list[tuple[list[str], str]], seed: int = SEED, l1: float = 2e-4, steps: int = 400) -> Model:
@@ -181,7 +215,9 @@ def _model(app: str, paragraphs: tuple) -> Model:
     spark = SparkSession.active()
     data = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(paragraphs)], "i int, text string, family string")
     rows = data.select("i", "family", grams(terms(F.col("text"))).alias("g")).orderBy("i").collect()
-    return fit([(list(r.g), r.family) for r in rows])
+    m = fit([(list(r.g), r.family) for r in rows])
+    m.cue = cue([t for t, y in paragraphs if y != UNKNOWN])
+    return m
 
 
 def model(spark: SparkSession, paragraphs: list[tuple[str, str]] | None = None) -> Model:
@@ -196,8 +232,8 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def classify(paragraphs: DataFrame, m: Model) -> DataFrame:
-    """Adds family, probability, similarity and confirmed to rows with a column paragraph."""
+def _judge(m: Model):
+    """A function from the column of a paragraph to struct<family, probability, similarity, confirmed>."""
     weights = _constant(m.weights, "map<string,array<double>>")
     templates = _constant([{"family": f, "text": t} for f, ts in TEMPLATES.items() for t in ts], "array<struct<family:string,text:string>>")
     own = F.transform(templates, lambda t: F.struct(t.family.alias("family"), F.array_distinct(_grams(terms(t.text), 2)).alias("g")))
@@ -214,24 +250,80 @@ def classify(paragraphs: DataFrame, m: Model) -> DataFrame:
         family = F.get(F.array(*[F.lit(f) for f in m.families]), F.array_position(p, top).cast("int") - 1)
         return F.struct(F.when(top >= m.least, family).otherwise(F.lit(UNKNOWN)).alias("family"), top.alias("probability"))
 
-    rows = paragraphs.withColumn("_words", terms(F.col("paragraph")))
-    rows = rows.withColumn("_best", _bind(_bind(logits(F.array_intersect(grams(F.col("_words")), F.map_keys(weights))), probabilities), best))
-    family = F.col("_best.family")
-    pairs = F.array_distinct(_grams(F.col("_words"), 2))
-    similar = _bind(pairs, lambda g: F.array_max(F.transform(F.filter(own, lambda t: t.family == family), lambda t: F.size(F.array_intersect(t.g, g)) / F.size(t.g))))
-    rows = rows.withColumn("similarity", F.round(F.coalesce(similar, F.lit(0.0)), 6))
-    return rows.withColumns({
-        "family": family, "probability": F.round("_best.probability", 6),
-        "confirmed": (family != UNKNOWN) & (F.col("similarity") >= CONTAINED),
-    }).drop("_words", "_best")
+    def likeness(words: Column, family: Column) -> Column:
+        similar = _bind(F.array_distinct(_grams(words, 2)), lambda g: F.array_max(F.transform(F.filter(own, lambda t: t.family == family), lambda t: F.size(F.array_intersect(t.g, g)) / F.size(t.g))))
+        return F.round(F.coalesce(similar, F.lit(0.0)), 6)
+
+    def described(words: Column) -> Column:
+        found = _bind(_bind(logits(F.array_intersect(grams(words), F.map_keys(weights))), probabilities), best)
+        return _bind(found, lambda b: _bind(likeness(words, b.family), lambda like: F.struct(
+            b.family.alias("family"), F.round(b.probability, 6).alias("probability"), like.alias("similarity"),
+            ((b.family != UNKNOWN) & (like >= CONTAINED)).alias("confirmed"))))
+
+    return lambda paragraph: _bind(terms(paragraph), described)
+
+
+def classify(paragraphs: DataFrame, m: Model) -> DataFrame:
+    """Adds family, probability, similarity and confirmed to rows with a column paragraph."""
+    rows = paragraphs.withColumn("_best", _judge(m)(F.col("paragraph")))
+    return rows.withColumns({k: F.col(f"_best.{k}") for k in ("family", "probability", "similarity", "confirmed")}).drop("_best")
+
+
+def _paragraphs(text: Column) -> Column:
+    """array<string>: paragraphs as lines `number`, MARK, line; comment marks at the ends of lines are left out."""
+    bare = lambda x: F.regexp_replace(x, EDGES, "")
+    lines = F.transform(F.split(text, "\r?\n|\r"), lambda x, i: F.when(x.rlike(r"[\p{L}\p{N}]"), F.concat(i.cast("string"), F.lit(MARK), bare(x))).otherwise(F.lit("")))
+    return F.split(F.array_join(lines, "\n"), "\n\n+")
+
+
+def _units(paragraph: Column, cues: str) -> Column:
+    """array<struct<no, wide, text>> of the cued lines of a paragraph and, of the joined lines, of the cued sentences
+    and two sentences in a row that reach over a line's end."""
+    lines = F.filter(F.split(paragraph, "\n"), lambda x: x != "")
+    unit = lambda no, wide, text: F.struct(no.cast("int").alias("no"), F.lit(wide).alias("wide"), text.alias("text"))
+    text = lambda x: F.regexp_replace(x, f"^[0-9]+{MARK}", "")
+
+    def units(own: Column) -> Column:
+        first = F.substring_index(F.get(own, F.lit(0)), MARK, 1)
+        single = F.transform(own, lambda x: unit(F.substring_index(x, MARK, 1), False, text(x)))
+        sentences = F.split(F.array_join(F.transform(own, text), "\n"), r"(?<=[.!?])(?=\s+\p{Lu})")
+        joined = _bind(sentences, lambda s: F.concat(s, F.transform(F.slice(s, 2, F.size(s)), lambda x, i: F.concat(F.get(s, i), x))))
+        across = F.filter(F.transform(joined, lambda x: F.regexp_replace(x, r"^\s+", "")), lambda x: F.contains(x, F.lit("\n")))
+        wide = F.transform(across, lambda x: unit(first, True, F.translate(x, "\n", " ")))
+        return F.filter(F.when(F.size(own) > 1, F.concat(single, wide)).otherwise(single), lambda u: u.text.rlike(cues))
+
+    return _bind(lines, units)
+
+
+def _told(found: Column) -> Column:
+    """What a paragraph says: its cued lines, but for those that a longer text around them confirms better as another
+    family, and each family that only its joined lines confirm; else one unknown with a cue of its own."""
+
+    def told(own: Column) -> Column:
+        sure = F.filter(own, lambda u: u.confirmed)
+        wide = F.array_distinct(F.transform(F.filter(sure, lambda u: u.wide), lambda u: F.struct(u.text.alias("text"), u.family.alias("family"), u.similarity.alias("similarity"))))
+        return _bind(F.struct(sure.alias("sure"), wide.alias("wide")), lambda w: kept(own, w))
+
+    def kept(own: Column, w: Column) -> Column:
+        overruled = lambda u: F.exists(w.wide, lambda x: (x.family != u.family) & (x.similarity > u.similarity) & F.contains(x.text, u.text))
+        lines = F.filter(own, lambda u: ~u.wide & (u.cued | (u.family != UNKNOWN)) & ~(u.confirmed & overruled(u)))
+        left = F.filter(w.sure, lambda u: ~overruled(u))
+        return _bind(left, lambda s: _bind(F.transform(s, lambda u: u.family), lambda names: F.concat(lines, F.filter(s, lambda u, i: u.wide & (F.array_position(names, u.family) == i + 1)))))
+
+    return _bind(_bind(found, told), lambda rows: F.when(F.size(rows) > 0, rows).otherwise(F.slice(F.filter(found, lambda u: u.cued), 1, 1)))
 
 
 def scan(docs: DataFrame, m: Model | None = None) -> DataFrame:
-    """One row a paragraph with a licence cue: doc_id, paragraph_no, family, probability, similarity, confirmed,
-    and license: the family if confirmed, else `unknown`."""
+    """One row a line with a licence cue, and one for each family that only the joined lines of a paragraph confirm:
+    doc_id, paragraph_no (number of the line, or of the paragraph's first), family, probability, similarity,
+    confirmed, and license: the family if confirmed, else `unknown`."""
     m = m or model(docs.sparkSession)
-    lines = docs.select("doc_id", "text").where(F.col("text").rlike(CUE)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph_no", "paragraph"))
-    found = classify(lines.where(F.col("paragraph").rlike(CUE)), m).drop("paragraph")
+    cues, judge = m.cue or cue([]), _judge(m)
+    rows = docs.select("doc_id", "text").where(F.col("text").rlike(cues.replace(BREAK, r"[\s\p{P}\p{S}]+")))
+    units = rows.select("doc_id", F.explode(_paragraphs(F.col("text"))).alias("_p")).select("doc_id", _units(F.col("_p"), cues).alias("_u")).where(F.size("_u") > 0)
+    judged = F.transform("_u", lambda u: _bind(judge(u.text), lambda b: F.struct(
+        u.no.alias("paragraph_no"), u.wide.alias("wide"), u.text.alias("text"), u.text.rlike(CUE).alias("cued"), b.family.alias("family"), b.probability.alias("probability"), b.similarity.alias("similarity"), b.confirmed.alias("confirmed"))))
+    found = units.select("doc_id", F.explode(_told(judged)).alias("_x")).select("doc_id", *[f"_x.{k}" for k in ("paragraph_no", "family", "probability", "similarity", "confirmed")])
     return found.withColumn("license", F.when(F.col("confirmed"), F.col("family")).otherwise(F.lit(UNKNOWN)))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import pytest
@@ -219,3 +220,28 @@ def test_forest_on_fresh_findings(spark):
     f = F.struct(*[c.cast("double").alias(k) for k, c in secrets.features(F.col("token"), F.col("before"), F.col("after")).items()])
     rows = fresh.select("label", f.alias("f")).select("label", secrets.scored(trees, F.col("f")).alias("s")).collect()
     assert sum((r.s >= secrets.THRESHOLD) == bool(r.label) for r in rows) >= 0.97 * len(rows)
+
+
+def test_wrapped_licences(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software"
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that"
+    own = "This software is proprietary and confidential. Unauthorized copying is strictly prohibited"
+    wrap = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, 68))
+    cases = [(k, form(t), y) for k, (form, (t, y)) in enumerate(
+        (form, case) for form in (wrap, lambda t: wrap(t, " * "), lambda t: "intro\n\n" + wrap(t, "# ") + "\n#\n# end", lambda t: t, lambda t: wrap(t).replace("\n", "\r\n"))
+        for case in ((mit, "mit"), (bsd, "bsd"), (gpl, "gpl-3.0"), (isc, "isc"), (own, "proprietary"))
+    )]
+    both = len(cases)
+    cases.append((both, wrap(mit + ". " + gpl), ""))
+    got = {}
+    for r in licenses.scan(spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")).where("confirmed").collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got == {i: {y} for i, _, y in cases[:both]} | {both: {"mit", "gpl-3.0"}}
+
+
+def test_every_template_has_a_cue():
+    for templates in licenses.TEMPLATES.values():
+        for text in templates:
+            assert re.search(licenses.cue([]).replace(r"\p{L}\p{N}", r"a-zA-Z0-9"), text, re.IGNORECASE)
