@@ -23,8 +23,13 @@ def _quality(seq, qual, mapping: Mapping[int, int], offset: int):
     return quality.text(quality.masked(seq, quality.rebased(values, F.lit(offset))), F.lit(offset))
 
 
-def encode(reads: DataFrame, dictionary: DataFrame, mapping: Mapping[int, int], offset: int, by_frequency: bool = False) -> DataFrame:
-    """(place, read_id, core_id, core_end, name, payload, qual, read_length) and payload2, qual2 of pairs."""
+def encode(
+    reads: DataFrame, dictionary: DataFrame, mapping: Mapping[int, int], offset: int, by_frequency: bool = False,
+    mapping2: Mapping[int, int] | None = None, offset2: int | None = None,
+) -> DataFrame:
+    """(place, read_id, core_id, core_end, name, payload, qual, read_length) and payload2, qual2 of pairs.
+    mapping2 and offset2 are those of the second mates, by default the same."""
+    mapping2, offset2 = mapping if mapping2 is None else mapping2, offset if offset2 is None else offset2
     found = cores.search(reads, dictionary, by_frequency)
     placed = cluster.clustered(found)
     core, end, seq = F.coalesce("core", F.lit("")), F.col("core_end"), F.col("seq")
@@ -34,25 +39,25 @@ def encode(reads: DataFrame, dictionary: DataFrame, mapping: Mapping[int, int],
         "qual": _quality(seq, F.col("qual"), mapping, offset) if "qual" in reads.columns else F.lit(None).cast("string"),
     }
     if "seq2" in reads.columns:
-        out |= {"payload2": bases.packed(F.col("seq2")), "read_length2": F.length("seq2"), "qual2": _quality(F.col("seq2"), F.col("qual2"), mapping, offset)}
+        out |= {"payload2": bases.packed(F.col("seq2")), "read_length2": F.length("seq2"), "qual2": _quality(F.col("seq2"), F.col("qual2"), mapping2, offset2)}
     return placed.select(*[c.alias(k) for k, c in out.items()])
 
 
-def decode(encoded: DataFrame, dictionary: DataFrame, offset: int, library: str | None = None) -> DataFrame:
-    """Reads of encoded rows, with the dictionary that they were encoded by."""
+def decode(encoded: DataFrame, dictionary: DataFrame, offset: int, library: str | None = None, offset2: int | None = None) -> DataFrame:
+    """Reads of encoded rows, with the dictionary that they were encoded by. offset2: of the second mates, by default the same."""
     known = dictionary.select("core_id", "core")
     known = F.broadcast(known) if known.limit(cores.BROADCAST_CORES + 1).count() <= cores.BROADCAST_CORES else known
     rows = encoded.join(known, "core_id", "left").withColumn("_core", F.coalesce("core", F.lit("")))
     payload = bases.unpacked(F.hex("payload"), (F.col("read_length") - F.length("_core")).cast("int"))
     rows = rows.withColumn("_seq", bases.restored(payload, F.col("_core"), F.col("core_end")))
 
-    def unknown(seq, qual):
-        return F.when(qual.isNull(), seq).otherwise(quality.with_unknown(seq, quality.rebased(quality.symbols(qual), F.lit(offset))))
+    def unknown(seq, qual, base):
+        return F.when(qual.isNull(), seq).otherwise(quality.with_unknown(seq, quality.rebased(quality.symbols(qual), F.lit(base))))
 
     name = names.synthesized(library, F.col("place")) if library else F.concat(F.lit("@"), F.col("name"))
-    out = [F.col("place"), F.col("read_id"), name.alias("name"), unknown(F.col("_seq"), F.col("qual")).alias("seq"), "qual"]
+    out = [F.col("place"), F.col("read_id"), name.alias("name"), unknown(F.col("_seq"), F.col("qual"), offset).alias("seq"), "qual"]
     if "payload2" in encoded.columns:
-        out += [unknown(bases.unpacked(F.hex("payload2"), F.col("read_length2")), F.col("qual2")).alias("seq2"), "qual2"]
+        out += [unknown(bases.unpacked(F.hex("payload2"), F.col("read_length2")), F.col("qual2"), offset if offset2 is None else offset2).alias("seq2"), "qual2"]
     return rows.select(*out)
 
 
@@ -60,18 +65,23 @@ def write(reads: DataFrame, dictionary: DataFrame, path: str, percent: int = 0,
     """Encodes reads and writes the archive: reads/, cores/ and options/ under path."""
     spark = reads.sparkSession
     mapping, offset = lossy.fitted(reads, percent, sample)
+    mapping2, offset2 = mapping, offset
+    if "qual2" in reads.columns:
+        mapping2, offset2 = lossy.fitted(reads.select("read_id", F.col("qual2").alias("qual")), percent, sample)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = encode(reads, dictionary, mapping, offset)
+    rows = encode(reads, dictionary, mapping, offset, mapping2=mapping2, offset2=offset2)
     if library:
         rows = rows.drop("name").withColumn("name", F.lit(None).cast("string"))
     rows.repartitionByRange(n, "place").sortWithinPartitions("place").write.option("compression", CODECS[codec]).parquet(f"{path}/reads")
     dictionary.write.parquet(f"{path}/cores")
-    spark.createDataFrame([(offset, percent, library, {int(a): int(b) for a, b in mapping.items()})], "phred_offset int, percent int, library string, mapping map<int,int>").coalesce(1).write.parquet(f"{path}/options")
+    tables = [{int(a): int(b) for a, b in m.items()} for m in (mapping, mapping2)]
+    schema = "phred_offset int, percent int, library string, mapping map<int,int>, phred_offset2 int, mapping2 map<int,int>"
+    spark.createDataFrame([(offset, percent, library, tables[0], offset2, tables[1])], schema).coalesce(1).write.parquet(f"{path}/options")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     options = spark.read.parquet(f"{path}/options").first()
-    return decode(spark.read.parquet(f"{path}/reads"), spark.read.parquet(f"{path}/cores"), options.phred_offset, options.library)
+    return decode(spark.read.parquet(f"{path}/reads"), spark.read.parquet(f"{path}/cores"), options.phred_offset, options.library, options.asDict().get("phred_offset2"))
 
 
 def size_report(encoded: DataFrame) -> DataFrame:

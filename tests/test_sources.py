@@ -92,6 +92,20 @@ def test_archive(spark, tmp_path, percent):
             assert (back[i].qual, back[i].qual2) == (qual, qual2)
 
 
+def test_archive_of_mates_with_other_offsets(spark, tmp_path):
+    """Mate 1 counts from 64, mate 2 from 33 with '@' for quality 31; each keeps its offset and its lossy table."""
+    rows = [(i, f"@n{i}", "ACGTACGT", "hhhhffff", "TTGGCCAA", "@@@@5555") for i in range(20)]
+    reads = spark.createDataFrame(rows, "read_id long, name string, seq string, qual string, seq2 string, qual2 string")
+    dictionary = cores.dictionary(spark.createDataFrame([(0, "GTAC")], "core_id int, core string"))
+    archive.write(reads, dictionary, str(tmp_path / "a"))
+    back = [(r.read_id, r.name, r.seq, r.qual, r.seq2, r.qual2) for r in archive.read(spark, str(tmp_path / "a")).orderBy("read_id").collect()]
+    assert back == rows
+    archive.write(reads, dictionary, str(tmp_path / "b"), percent=30)
+    options = spark.read.parquet(str(tmp_path / "b" / "options")).first()
+    assert (options.phred_offset, options.phred_offset2) == (64, 33) and options.mapping != options.mapping2
+    assert all(r.seq2 == "TTGGCCAA" for r in archive.read(spark, str(tmp_path / "b")).collect())
+
+
 def test_archive_of_nothing_and_synthesized_names(spark, tmp_path):
     reads = spark.createDataFrame([], "read_id long, name string, seq string, qual string")
     dictionary = cores.dictionary(spark.createDataFrame([(0, "AC")], "core_id int, core string"))
