@@ -10,8 +10,9 @@ The benchmark is a stated query set that all documents are held against. It is r
 BLOCK_WINDOWS windows; a block has a fixed size and is broadcast, and a larger benchmark takes more passes.
 
 Tokens are runs of letters and digits (a point or comma between digits belongs to the number); capitals of
-ASCII and Latin-1 count as small letters. A name is a
-capitalised word that begins no sentence; names in a row are one. A unit is a unit word after a number.
+ASCII and Latin-1 count as small letters. Texts are read in more than one way, and a document leaks an item if one reading
+says so. In the first a name is a capitalised word that begins no sentence, in the second any capitalised word;
+names of a sentence in a row are one. A unit is a unit word after a number.
 A window needs LITERAL words that are no placeholders.
 
 Defined cases: null or empty texts match nothing, nor do items with fewer than LITERAL literal words; an
@@ -42,6 +43,7 @@ UNITS = (
     "ml l liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years "
     "percent degree degrees celsius fahrenheit dollar dollars cent cents euro euros usd eur watt watts volt volts meter meters metre metres"
 ).split()
+READINGS = 2
 _NUM, _UNIT, _NAME = 1, 2, 3
 _PLACE = mix(np.arange(4, dtype=np.uint64) + np.uint64(0xABCDEF))
 _code = np.arange(256)
@@ -81,7 +83,8 @@ def _folded(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def template(block: Block) -> Template:
+def readings(block: Block) -> list[Template]:
+    """With words that begin a sentence as words, and as names."""
     data, at = block.data, block.at
     digit = _DIGIT[data]
     inside = _INSIDE[data]
@@ -93,7 +96,7 @@ def template(block: Block) -> Template:
     starts, ends, first = spans(inside, at)
     if not len(starts):
         none = np.zeros(0, dtype=np.uint64)
-        return Template(none, none, np.zeros(0, dtype=np.int8), first)
+        return [Template(none, none, np.zeros(0, dtype=np.int8), first)] * READINGS
     folded = _folded(data)
     raw = hash_spans(folded, starts, ends, lower=True)
     leads = np.zeros(len(starts), dtype=bool)
@@ -108,78 +111,92 @@ def template(block: Block) -> Template:
     capital[: len(data)] = _UPPER[data]
     capital[: len(data) - 1] |= folded[1:] != data[1:]
     following = starts + np.where(data[starts] >= 0xC0, 2, 1)
-    name = capital[starts] & ~capital[following] & (ends > following) & ~sentence
-    kind = np.zeros(len(starts), dtype=np.int8)
-    kind[name] = _NAME
-    kind[after & _among(raw, _UNIT_HASHES)] = _UNIT
-    kind[number] = _NUM
-    keep = np.ones(len(starts), dtype=bool)
-    keep[1:] = ~((kind[1:] == _NAME) & (kind[:-1] == _NAME) & ~leads[1:])
-    count = np.concatenate([[0], np.cumsum(keep)])
-    raw, kind = raw[keep], kind[keep]
-    return Template(np.where(kind == 0, raw, _PLACE[kind]), raw, kind, count[first])
+    capitalised = capital[starts] & ~capital[following] & (ends > following)
+    units, out = after & _among(raw, _UNIT_HASHES), []
+    for name in (capitalised & ~sentence, capitalised):
+        kind = np.zeros(len(starts), dtype=np.int8)
+        kind[name] = _NAME
+        kind[units] = _UNIT
+        kind[number] = _NUM
+        keep = np.ones(len(starts), dtype=bool)
+        keep[1:] = ~((kind[1:] == _NAME) & (kind[:-1] == _NAME) & ~sentence[1:])
+        count = np.concatenate([[0], np.cumsum(keep)])
+        own, kind = raw[keep], kind[keep]
+        out.append(Template(np.where(kind == 0, own, _PLACE[kind]), own, kind, count[first]))
+    return out
 
 
 @dataclass
 class Index:
-    """The template windows of a block of items, by length: sorted hashes and the (item, place) of each."""
+    """The windows of a block of items, by reading and length: sorted hashes and the (item, place) of each."""
 
-    items: list[tuple[int | None, Template]] = field(default_factory=list)
-    found: dict[int, dict[int, list[tuple[int, int]]]] = field(default_factory=lambda: defaultdict(lambda: defaultdict(list)))
-    sizes: list[int] = field(default_factory=list)
-    sorted: dict[int, np.ndarray] = field(default_factory=dict)
+    items: list[tuple[int | None, list[Template]]] = field(default_factory=list)
+    found: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = field(default_factory=lambda: defaultdict(lambda: defaultdict(list)))
+    sizes: list[list[int]] = field(default_factory=list)
+    sorted: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)
     n: int = 0
 
     def add(self, item_id: int | None, text: str | None) -> None:
         data = np.frombuffer((text or "").encode(), dtype=np.uint8)
-        t = template(Block(None, data, np.array([0, len(data)])))
-        length = min(WINDOW, len(t.canon))
-        if (t.kind == 0).sum() < LITERAL:
-            return
-        other = t.canon.copy()
-        other[0] = _PLACE[_NAME]  # inside a text the first word may look like a name
-        seen = 0
-        for canon in (t.canon, other):
-            literal = canon == t.raw
-            for q, h in enumerate(windows(canon, length).tolist()):
-                if (q == 0 or canon is t.canon) and literal[q : q + length].sum() >= min(LITERAL, length):
-                    self.found[length][h].append((len(self.items), q))
-                    seen += canon is t.canon
-        self.items.append((item_id, t))
-        self.sizes.append(max(1, seen))
-        self.n += seen
+        own, sizes = readings(Block(None, data, np.array([0, len(data)]))), []
+        for reading, t in enumerate(own):
+            length, seen = min(WINDOW, len(t.canon)), 0
+            if (t.kind == 0).sum() >= LITERAL:
+                other = t.canon.copy()
+                other[0] = _PLACE[_NAME]  # inside a text the first word may look like a name
+                for canon in (t.canon, other) if reading == 0 else (t.canon,):
+                    literal = canon == t.raw
+                    for q, h in enumerate(windows(canon, length).tolist()):
+                        if (q == 0 or canon is t.canon) and literal[q : q + length].sum() >= min(LITERAL, length):
+                            self.found[reading, length][h].append((len(self.items), q))
+                            seen += canon is t.canon
+            sizes.append(max(1, seen, *sizes[:1]))  # placeholders more do not make a share smaller
+            self.n += seen
+        if any(len(t.canon) >= LITERAL for t in own):
+            self.items.append((item_id, own))
+            self.sizes.append(sizes)
 
     def ready(self) -> Index:
         self.found = {k: dict(v) for k, v in self.found.items()}
         self.sorted = {k: np.sort(np.array(list(v), dtype=np.uint64)) for k, v in self.found.items()}
         return self
 
-    def leaks(self, block: Block) -> list[tuple[int, int, int, int, bool]]:
-        """(row, item, consistent windows, first token, whether all values are the same) of each leak."""
-        t, lines = template(block), defaultdict(list)
+    def leaks(self, block: Block) -> list[tuple[int, int, int, int, int, bool]]:
+        """(row, item, consistent windows, the item's windows, first token, whether all values are the same) of each
+        leak, by the first reading that finds it."""
+        best: dict[tuple[int, int], tuple[int, int, int, bool]] = {}
+        for reading, t in enumerate(readings(block)):
+            for key, got in self._read(reading, t).items():
+                best.setdefault(key, got)
+        return [(d, item, *got) for (d, item), got in sorted(best.items())]
+
+    def _read(self, reading: int, t: Template) -> dict[tuple[int, int], tuple[int, int, int, bool]]:
+        lines = defaultdict(list)
         doc = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
         literal = np.concatenate([[0], np.cumsum(t.kind == 0)])
-        for length, known in self.sorted.items():
+        for (of, length), known in self.sorted.items():
+            if of != reading:
+                continue
             h = windows(t.canon, length)
             places = np.flatnonzero(_among(h, known)) if len(h) else np.zeros(0, dtype=np.int64)
             places = places[(doc[places] == doc[places + length - 1]) & (literal[places + length] - literal[places] >= min(LITERAL, length))]
             for p, d in zip(places.tolist(), doc[places].tolist(), strict=True):
-                for item, q in self.found[length][int(h[p])]:
+                for item, q in self.found[of, length][int(h[p])]:
                     lines[d, item, p - q].append((p, length))
-        best: dict[tuple[int, int], tuple[int, int, bool]] = {}
+        best: dict[tuple[int, int], tuple[int, int, int, bool]] = {}
         for (d, item, shift), hits in lines.items():
-            own = self.items[item][1]
+            own, size = self.items[item][1][reading], self.sizes[item][reading]
             hits = sorted(set(hits))
             tokens = np.unique(np.concatenate([np.arange(p, p + n) for p, n in hits]))
             if not _consistent(own, t, tokens, shift):
                 continue
             run = max(len(x) for x in np.split(tokens, np.flatnonzero(np.diff(tokens) > 1) + 1))
-            if len(hits) >= SHARE * self.sizes[item] or run >= RUN:
+            if len(hits) >= SHARE * size or run >= RUN:
                 same = bool((own.raw[tokens - shift] == t.raw[tokens]).all())
-                got = (len(hits), int(tokens[0] - t.first[d]), same)
+                got = (len(hits), size, int(tokens[0] - t.first[d]), same)
                 if got[0] > best.get((d, item), (0,))[0]:
                     best[d, item] = got
-        return [(d, item, *got) for (d, item), got in sorted(best.items())]
+        return best
 
 
 def _consistent(item: Template, doc: Template, tokens: np.ndarray, shift: int) -> bool:
@@ -218,7 +235,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_WINDOWS) ->
         def search(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for block in blocks(batches, 1):
                 ids, known = block.batch.column(0).to_pylist(), sent.value
-                rows = [(ids[d], known.items[i][0], n, known.sizes[i], at, same) for d, i, n, at, same in known.leaks(block)]
+                rows = [(ids[d], known.items[i][0], n, size, at, same) for d, i, n, size, at, same in known.leaks(block)]
                 yield pa.RecordBatch.from_pylist([dict(zip(_LEAKS.names, r, strict=True)) for r in rows], schema=_LEAKS)
 
         found = docs.mapInArrow(search, schema)

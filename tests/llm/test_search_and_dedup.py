@@ -223,3 +223,14 @@ def test_leaks_of_odd_rows(spark, odd, none, tmp_path):
     items.withColumn("item_id", items.item_id).write.parquet(str(tmp_path / "benchmark.parquet"))
     out = decontaminate.drop_leaks(spark, odd, str(tmp_path))
     assert out.columns == odd.columns and out.count() == odd.count()
+
+
+def leaked(spark, item, text):
+    docs, items = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(2, item)], "item_id long, text string")
+    return decontaminate.leaks(docs, items).count() == 1
+
+
+def test_leaks_with_names_that_begin_sentences(spark):
+    item = "Tom has 3 apples. Tom buys 4 more apples. Tom gives 2 apples to Ann. How many apples does Tom have?"
+    assert leaked(spark, item, "Jim has 5 apples. Jim buys 7 more apples. Jim gives 6 apples to Sue. How many apples does Jim have?")
+    assert not leaked(spark, item, "Jim has 5 pears. Sue eats 7 green plums. Jim sells 6 carts to Sue. How many carts did Bob see?")
