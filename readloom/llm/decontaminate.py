@@ -9,13 +9,14 @@ cover SHARE of the item's windows or RUN tokens in a row.
 The benchmark is a stated query set that all documents are held against. It is read in blocks of at most
 BLOCK_WINDOWS windows; a block has a fixed size and is broadcast, and a larger benchmark takes more passes.
 
-Tokens are runs of letters and digits (a point or comma between digits belongs to the number); capitals of
-ASCII and Latin-1 count as small letters. Texts are read in more than one way, and a document leaks an item if one reading
+Tokens are runs of letters and digits (a point or comma between digits belongs to the number), and single characters
+of Chinese, Japanese, Thai and Lao; capitals count as small letters (letters of up to two bytes). Texts are read in more than one way, and a document leaks an item if one reading
 says so. In the first a name is a capitalised word that begins no sentence, in the second any capitalised word;
-names of a sentence in a row are one. A unit is a unit word after a number.
+names of a sentence in a row are one. In the third nothing is a placeholder, so that copies are found whatever their
+letter case and however few words an item has. A unit is a unit word after a number.
 A window needs LITERAL words that are no placeholders.
 
-Defined cases: null or empty texts match nothing, nor do items with fewer than LITERAL literal words; an
+Defined cases: null or empty texts match nothing, nor do items with fewer than LITERAL tokens; an
 item shorter than a window is one window of its own length; a null doc_id or item_id passes
 through; repeated rows are each reported; empty tables give an empty result; other columns are ignored
 (pipeline stage: kept as they are).
@@ -43,7 +44,7 @@ UNITS = (
     "ml l liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years "
     "percent degree degrees celsius fahrenheit dollar dollars cent cents euro euros usd eur watt watts volt volts meter meters metre metres"
 ).split()
-READINGS = 2
+READINGS = 3
 _NUM, _UNIT, _NAME = 1, 2, 3
 _PLACE = mix(np.arange(4, dtype=np.uint64) + np.uint64(0xABCDEF))
 _code = np.arange(256)
@@ -76,15 +77,38 @@ class Template:
     first: np.ndarray  # number of the first token of each text, and of all tokens
 
 
+_FOLD = np.array([[(a, b) for b in range(256)] for a in range(256)], dtype=np.uint8)
+for _c in map(chr, range(0x80, 0x800)):
+    if len(_c.lower()) == 1 and len(_c.lower().encode()) == 2:
+        _FOLD[tuple(_c.encode())] = tuple(_c.lower().encode())
+
+
 def _folded(data: np.ndarray) -> np.ndarray:
-    """UTF-8 with the capitals of Latin-1 as small letters."""
+    """UTF-8 with capitals of two bytes as small letters."""
     out = data.copy()
-    out[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)] += 32
+    at = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] < 0xE0))
+    pairs = _FOLD[data[at], data[at + 1]]
+    out[at], out[at + 1] = pairs[:, 0], pairs[:, 1]
     return out
 
 
+def _tokens(inside: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of tokens: runs of inside, and each character of a script without blanks for itself."""
+    data, at = block.data, block.at
+    starts, ends, first = spans(inside, at)
+    lone = ((data >= 0xE3) & (data <= 0xE9)) | (data == 0xEF)
+    lone[:-1] |= (data[:-1] == 0xE0) & (data[1:] >= 0xB8) & (data[1:] <= 0xBB)
+    lone = np.flatnonzero(lone)
+    if len(lone):
+        after = lone[lone + 3 < len(data)] + 3
+        starts = np.unique(np.concatenate([starts, lone, after[inside[after]]]))
+        ends = np.unique(np.concatenate([ends, lone + 3, lone[(lone > 0) & inside[lone - 1]]]))
+        first = np.searchsorted(starts, at)
+    return starts, ends, first
+
+
 def readings(block: Block) -> list[Template]:
-    """With words that begin a sentence as words, and as names."""
+    """With words that begin a sentence as words, and as names; and without placeholders."""
     data, at = block.data, block.at
     digit = _DIGIT[data]
     inside = _INSIDE[data]
@@ -93,7 +117,7 @@ def readings(block: Block) -> list[Template]:
         edges = np.concatenate([at[at < len(data)], at[at > 0] - 1])
         joint[edges] = False
         inside[1:-1] |= joint[1:-1] & digit[:-2] & digit[2:]
-    starts, ends, first = spans(inside, at)
+    starts, ends, first = _tokens(inside, block)
     if not len(starts):
         none = np.zeros(0, dtype=np.uint64)
         return [Template(none, none, np.zeros(0, dtype=np.int8), first)] * READINGS
@@ -123,7 +147,7 @@ def readings(block: Block) -> list[Template]:
         count = np.concatenate([[0], np.cumsum(keep)])
         own, kind = raw[keep], kind[keep]
         out.append(Template(np.where(kind == 0, own, _PLACE[kind]), own, kind, count[first]))
-    return out
+    return [*out, Template(raw, raw, np.zeros(len(raw), dtype=np.int8), first)]
 
 
 @dataclass
@@ -150,7 +174,7 @@ class Index:
                         if (q == 0 or canon is t.canon) and literal[q : q + length].sum() >= min(LITERAL, length):
                             self.found[reading, length][h].append((len(self.items), q))
                             seen += canon is t.canon
-            sizes.append(max(1, seen, *sizes[:1]))  # placeholders more do not make a share smaller
+            sizes.append(max(1, seen, *(sizes[:1] if reading == 1 else [])))  # placeholders more do not make a share smaller
             self.n += seen
         if any(len(t.canon) >= LITERAL for t in own):
             self.items.append((item_id, own))

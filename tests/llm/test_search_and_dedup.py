@@ -234,3 +234,13 @@ def test_leaks_with_names_that_begin_sentences(spark):
     item = "Tom has 3 apples. Tom buys 4 more apples. Tom gives 2 apples to Ann. How many apples does Tom have?"
     assert leaked(spark, item, "Jim has 5 apples. Jim buys 7 more apples. Jim gives 6 apples to Sue. How many apples does Jim have?")
     assert not leaked(spark, item, "Jim has 5 pears. Sue eats 7 green plums. Jim sells 6 carts to Sue. How many carts did Bob see?")
+
+
+def test_leaks_of_verbatim_copies(spark):
+    assert leaked(spark, ITEMS[0][1], LEAKS[12][0])
+    assert leaked(spark, ITEMS[0][1], ITEMS[0][1].lower())
+    assert leaked(spark, "What is 12 + 7 * 3?", "Q: what is 12 + 7 * 3? A: 33")
+    assert not leaked(spark, "What is 12 + 7 * 3?", "Q: what is 13 + 7 * 3? A: 34")
+    assert leaked(spark, "小明有三个苹果他又买了四个苹果现在有几个", "题目:小明有三个苹果他又买了四个苹果现在有几个。答案")
+    assert not leaked(spark, "小明有三个苹果他又买了四个苹果现在有几个", "今天天气很好我们去公园看花吧")
+    assert leaked(spark, "В Москве Иван купил три яблока и отдал два яблока Анне", "В МОСКВЕ ИВАН КУПИЛ ТРИ ЯБЛОКА И ОТДАЛ ДВА ЯБЛОКА АННЕ")
