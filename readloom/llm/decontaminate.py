@@ -2,8 +2,8 @@
 
 Numbers, names and units become typed placeholders, so that a benchmark item and a copy of it with other
 values share their template. Windows of WINDOW template tokens are hash-joined with the benchmark's; hits of
-one item on one diagonal are put together, and their slots must be consistent: each value of the item stands
-for one value of the document and the other way round. A document leaks an item if consistent windows
+one item on one diagonal are put together, and the slots of each run must be consistent: each value of the item stands
+for one value of the document, the most frequent one; windows with other values do not count. A document leaks an item if consistent windows
 cover SHARE of the item's windows or RUN tokens in a row.
 
 The benchmark is a stated query set that all documents are held against. It is read in blocks of at most
@@ -24,7 +24,7 @@ through; repeated rows are each reported; empty tables give an empty result; oth
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -211,9 +211,11 @@ class Index:
         for (d, item, shift), hits in lines.items():
             own, size = self.items[item][1][reading], self.sizes[item][reading]
             hits = sorted(set(hits))
-            tokens = np.unique(np.concatenate([np.arange(p, p + n) for p, n in hits]))
-            if not _consistent(own, t, tokens, shift):
+            wrong = _conflicts(own, t, _covered(hits), shift)
+            hits = [(p, n) for p, n in hits if np.searchsorted(wrong, p) == np.searchsorted(wrong, p + n)]
+            if not hits:
                 continue
+            tokens = _covered(hits)
             run = max(len(x) for x in np.split(tokens, np.flatnonzero(np.diff(tokens) > 1) + 1))
             if len(hits) >= SHARE * size or run >= RUN:
                 same = bool((own.raw[tokens - shift] == t.raw[tokens]).all())
@@ -223,15 +225,21 @@ class Index:
         return best
 
 
-def _consistent(item: Template, doc: Template, tokens: np.ndarray, shift: int) -> bool:
-    """Whether the slots pair values one to one, kind by kind."""
+def _covered(hits: list[tuple[int, int]]) -> np.ndarray:
+    return np.unique(np.concatenate([np.arange(p, p + n) for p, n in hits]))
+
+
+def _conflicts(item: Template, doc: Template, tokens: np.ndarray, shift: int) -> np.ndarray:
+    """The slots, run by run, whose item value stands for another value more often (or as often, but earlier)."""
     slots = tokens[doc.kind[tokens] != 0]
-    there: dict[tuple[int, int], int] = {}
-    back: dict[tuple[int, int], int] = {}
-    for kind, a, b in zip(doc.kind[slots].tolist(), item.raw[slots - shift].tolist(), doc.raw[slots].tolist(), strict=True):
-        if there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
-            return False
-    return True
+    run = np.cumsum(np.diff(tokens, prepend=tokens[0]) > 1)[doc.kind[tokens] != 0]
+    keys = list(zip(run.tolist(), doc.kind[slots].tolist(), item.raw[slots - shift].tolist(), strict=True))
+    values = doc.raw[slots].tolist()
+    seen: dict[tuple, Counter] = defaultdict(Counter)
+    for key, value in zip(keys, values, strict=True):
+        seen[key][value] += 1
+    stands = {key: counts.most_common(1)[0][0] for key, counts in seen.items()}
+    return slots[np.array([stands[k] != v for k, v in zip(keys, values, strict=True)], dtype=bool)]
 
 
 def indexes(benchmark: DataFrame, limit: int = BLOCK_WINDOWS) -> Iterator[Index]:

@@ -244,3 +244,11 @@ def test_leaks_of_verbatim_copies(spark):
     assert leaked(spark, "小明有三个苹果他又买了四个苹果现在有几个", "题目:小明有三个苹果他又买了四个苹果现在有几个。答案")
     assert not leaked(spark, "小明有三个苹果他又买了四个苹果现在有几个", "今天天气很好我们去公园看花吧")
     assert leaked(spark, "В Москве Иван купил три яблока и отдал два яблока Анне", "В МОСКВЕ ИВАН КУПИЛ ТРИ ЯБЛОКА И ОТДАЛ ДВА ЯБЛОКА АННЕ")
+
+
+def test_leaks_with_a_slot_out_of_line(spark):
+    words = " ".join("u" + "".join(random.Random(k).choices("aeimnost", k=6)) for k in range(60)).split()
+    item = " ".join([*words[:25], "sold 40 sheep", *words[25:50], "kept 40 sheep", *words[50:]])
+    assert leaked(spark, item, item.replace("kept 40", "kept 41"))
+    two = "a farmer sells 3 apples and 5 pears to people at the market and then walks home"
+    assert leaked(spark, two, two.replace("3", "4").replace("5", "4"))
