@@ -8,8 +8,9 @@ stored manifest lists only the archives of attempts that succeeded, so lost exec
 unlisted files.
 
 Defined cases: a null html is an empty payload; a null url is left out; a record with a null page_id is a
-response; repeated rows with the largest page_id are all responses; an empty table gives no record; other
-columns are ignored.
+response; repeated rows with the largest page_id are all responses; rows that share a page_id are judged each by
+its own payload; a very long payload is a record like any other, one in memory at a time; an empty table gives no
+record; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table
+from .common import Steps, shared_dir, stored, table
 
 REVISIT = 1000
 SAMPLE, SAMPLE_BYTES, DICTIONARY = 512, 16_384, 65_536
@@ -41,8 +42,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6f1c7c0e-6f2b-5a39-9a51-0d7f6e6f2c11")
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, str(page_id)) if page_id is not None else uuid.uuid4()}>"
+def record_id(page_id: int | None = None, digest: bytes = b"") -> str:
+    """Of a page with this payload; without a page_id, a new one."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id} {digest.hex()}') if page_id is not None else uuid.uuid4()}>"
 
 
 def train(samples: list[bytes], size: int = DICTIONARY) -> bytes:
@@ -62,7 +64,7 @@ class Writer:
         self.out, found = out, _dictionary(dictionary)
         self.codec = zstandard.ZstdCompressor(level=LEVEL, dict_data=found) if found else zstandard.ZstdCompressor(level=LEVEL)
         out.write(struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary)
-        self._put({"WARC-Type": "warcinfo", "WARC-Record-ID": record_id(None), "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")
+        self._put({"WARC-Type": "warcinfo", "WARC-Record-ID": record_id(), "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")
 
     def _put(self, head: dict[str, str], body: bytes) -> None:
         fields = head | {"WARC-Date": DATE, "Content-Length": str(len(body))}
@@ -71,7 +73,7 @@ class Writer:
 
     def write(self, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> None:
         digest = hashlib.sha1(payload).digest()
-        head = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": record_id(page_id)}
+        head = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": record_id(page_id, digest)}
         if url is not None:
             head["WARC-Target-URI"] = " ".join(url.split())
         head |= {"WARC-Payload-Digest": f"sha1:{base64.b32encode(digest).decode()}", "Content-Type": "application/http; msgtype=response", "X-Payload-Bytes": str(len(payload))}
@@ -79,7 +81,7 @@ class Writer:
             head["X-Page-Id"] = str(page_id)
         http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
         if refers_to is not None:
-            head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_to), "X-Refers-To-Page-Id": str(refers_to)}
+            head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_to, digest), "X-Refers-To-Page-Id": str(refers_to)}
         self._put(head, http if refers_to is not None else http + payload)
 
 
@@ -154,21 +156,27 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     spark = pages.sparkSession
     raw = F.coalesce(F.encode("html", "UTF-8"), F.lit(b"").cast("binary"))
     pages = pages.select("page_id", "url", raw.alias("payload"))
-    keys = pages.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("size"))
-    keys = stored(keys.where(f"size >= {REVISIT}").drop("size"), "payload-keys")
-    firsts = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    firsts = stored(firsts, "last-of-payload", merge=8)  # before the join, so that it can split a very frequent payload
-    again = keys.join(firsts, "digest").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
-    again = stored(again, "revisits")
-    # Nothing but a counted, small list is broadcast; a longer one is joined by shuffle.
-    small = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = pages.join(F.broadcast(again) if small else again, "page_id", "left")
-    joined = joined.select("page_id", "url", "payload", F.when(F.length("payload") >= REVISIT, F.col("refers_to")).alias("refers_to"))
+    digest = F.when(F.length("payload") >= REVISIT, F.unhex(F.sha2("payload", 256)))
+    with Steps(spark) as steps:
+        keys = steps.kept(pages.select("page_id", digest.alias("digest")).where("digest is not null"), "payload-keys")
+        firsts = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+        firsts = steps.kept(firsts, "last-of-payload")  # before the join, so that it can split a very frequent payload
+        again = keys.join(firsts, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+        again = steps.kept(again, "revisits")
+        # Nothing but a counted, small list is broadcast; a longer one is joined by shuffle.
+        small = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        joined = pages.withColumn("digest", digest).join(F.broadcast(again) if small else again, ["page_id", "digest"], "left")
+        joined = joined.select("page_id", "url", "payload", "refers_to")
+        dictionary = _trained(pages)
+        manifest = joined.mapInArrow(lambda b: _write_task(b, folder, dictionary), "file string, records long")
+        return stored(manifest, "manifest")
+
+
+def _trained(pages: DataFrame) -> bytes:
+    """The dictionary of a sample of the records, picked by a hash of the id."""
     ids = [r.page_id for r in pages.select("page_id").where("page_id is not null").orderBy(F.xxhash64("page_id")).limit(SAMPLE).collect()]
     picked = pages.where(F.col("page_id").isin(ids)).select("page_id", F.substring("payload", 1, SAMPLE_BYTES).alias("p")).limit(SAMPLE)
-    dictionary = train([bytes(r.p) for r in sorted(picked.collect(), key=lambda r: (r.page_id, r.p))])
-    manifest = joined.mapInArrow(lambda b: _write_task(b, folder, dictionary), "file string, records long")
-    return stored(manifest, "manifest")
+    return train([bytes(r.p) for r in sorted(picked.collect(), key=lambda r: (r.page_id, r.p))])
 
 
 def _read_task(batches: Iterable[pa.RecordBatch], with_payload: bool) -> Iterator[pa.RecordBatch]:
