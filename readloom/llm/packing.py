@@ -149,34 +149,32 @@ class Packer:
 
 @cache
 def encoder(name: str = VOCABULARY):
-    """text -> ids (numpy), those that `tokenizers` gives with the vocabulary's JSON file.
+    """text -> ids (numpy), those that `tokenizers` gives with the vocabulary's JSON file and its defaults.
 
-    The same vocabulary's ranks file is read by tiktoken, which is several times as fast; a text on which
-    its regular expression gives up goes through `tokenizers` itself."""
+    The same vocabulary's ranks file is read by tiktoken, which is several times as fast. A text that holds an added
+    token (one with an id of its own, such as an end mark) or on which tiktoken gives up goes through `tokenizers` itself."""
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path(f"{name}.json")
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+        described = json.load(f)
+    vocabulary, added = described["model"]["vocab"], [x["content"] for x in described["added_tokens"]]
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    if any(vocabulary.get(x) != ranks[x.encode()] for x in ("the", "a", "!", "ing")):
+    if described["normalizer"] is not None or any(vocabulary.get(x) != ranks[x.encode()] for x in ("the", "a", "!", "ing")):
         raise ValueError(f"{name}: its two files differ")
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    @cache
-    def slow() -> Tokenizer:
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        return t
+    slow = cache(lambda: Tokenizer.from_file(path))
 
     def encode(text: str) -> np.ndarray:
-        try:
-            return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
-        except (ValueError, RuntimeError):
-            return np.asarray(slow().encode(text, add_special_tokens=False).ids, dtype="<u4")
+        if not any(token in text for token in added):
+            try:
+                return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
+            except (ValueError, RuntimeError):
+                pass
+        return np.asarray(slow().encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     return encode
 
