@@ -1,66 +1,19 @@
-"""What the operators of this subpackage share: tables, the shared folder, stored steps."""
+"""What the operators of this subpackage share: tables, and stored steps under names of their own."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import Steps, deleted, freed_shuffles
+from ..storage import kept as stored
+from ..storage import shared_path as shared_dir
+
+__all__ = ["SEPARATORS", "Steps", "deleted", "freed_shuffles", "shared_dir", "stored", "table"]
+
 #: ASCII white space that separates words everywhere in this subpackage, as a Java/Python class body.
 SEPARATORS = r"\x20\x09-\x0D"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors and the driver share (spark.checkpoint.dir).
-
-    Only where the session names none (tests, a single machine) a local folder is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="readloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-@contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a statement run in here go when it ends; its result must be a written table."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEANUP, before)
-
-
-def stored(df: DataFrame, name: str, merge: int = 1) -> DataFrame:
-    """df as a table in the shared folder: a cut of the lineage that outlives lost executors.
-
-    merge: so many shuffle partitions to a file, for results that are small beside the documents."""
-    spark = df.sparkSession
-    if merge > 1:
-        df = df.coalesce(max(6, int(spark.conf.get("spark.sql.shuffle.partitions")) // merge))
-    path = shared_dir(spark, name)
-    with freed_shuffles(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables of stored(), once nothing reads them any more."""
-    for df in tables:
-        files = df.inputFiles()
-        if files:
-            jvm = df.sparkSession._jvm
-            path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
