@@ -5,15 +5,17 @@ the first filled bin that its own sequence of universal hashes names (optimal de
 texts that agree on a band share a bucket. Texts with equal shingle sets are one class with one
 representative. In each bucket, candidate edges form stars: every member with the smallest id and with the
 one of smallest hash, so their number is linear in the bucket. Links are confirmed on the full shingle
-sets. A star's centre may resemble nobody, so members of a bucket that are still in different components are
-settled too, block against block, by products of incidence matrices: exact, with links alone as rows. Left
-out are those of which other unsettled texts share too few shingles for any link (an exact bound). Components come from alternating large-star and small-star steps
-on tables in the shared folder; no id list goes to the driver.
+sets of 64-bit shingle hashes. A star's centre may resemble nobody, so members of a bucket that are still in
+different components are settled too, block against block, by products of incidence matrices: exact, with one link
+for two roots. Left out are those of which other unsettled texts share too few shingles for any link (an exact bound).
+Components come from alternating large-star and small-star steps on tables in the shared folder; no id list goes to the
+driver. Steps go as soon as nothing reads them; the result is a stored table.
 
 Defined cases: null or empty text and text without words: empty set, linked with nothing; fewer than five
-words: the whole sequence is the one shingle; a null doc_id: kept, its own component (null), linked with
-nothing; rows that share a doc_id are parts of one document and get one component; an empty
-table gives an empty result; other columns are ignored (pipeline stage: kept as they are).
+words: the whole sequence is the one shingle; very long texts are read one at a time, whole; a null doc_id: kept, its
+own component (null), linked with nothing; rows that share a doc_id are parts of one document: each keeps its own set
+and the links of all are the document's; an empty table gives an empty result; other columns are ignored (pipeline
+stage: kept as they are).
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import Steps, stored, table
 from .vecwords import blocks, mix, windows, words
 
 SHINGLE, PERCENT = 5, 75
@@ -81,11 +83,16 @@ def bands(sig: np.ndarray) -> np.ndarray:
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
+def _keys(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits of each set."""
+    return np.array([[s.sum(dtype=np.uint64), mix(s + np.uint64(7)).sum(dtype=np.uint64)] for s in sets], dtype=np.uint64).view(np.int64)
+
+
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, 1):
         found = words(block, lower=True)
         sets = shingle_sets(found.hash, found.first)
-        keys = np.array([[s.sum(dtype=np.uint64), mix(s + np.uint64(7)).sum(dtype=np.uint64)] for s in sets], dtype=np.uint64).view(np.int64)
+        keys = _keys(sets)
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         rows = bands(signatures(sets)).view(np.int64)
         at = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
@@ -93,32 +100,39 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([block.batch.column(0), pa.array(sizes), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], schema=_SIGNED)
 
 
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    """The shingle set of each text; equal texts are read once."""
+    known, out = texts.dictionary_encode(), []
+    for block in blocks([pa.RecordBatch.from_arrays([known.dictionary], names=["text"])], 0):
+        found = words(block, lower=True)
+        out += shingle_sets(found.hash, found.first)
+    return [out[k] for k in known.indices.to_pylist()]
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, text_a, text_b) -> the pairs whose full sets are similar enough."""
+    """Rows (a, b, text_a, text_b) -> the pairs whose full sets are similar enough, each row by its own texts."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            sets: dict[int, np.ndarray] = {}
-            for ids, texts in ((0, 2), (1, 3)):
-                for block in blocks([part], texts):
-                    found = words(block, lower=True)
-                    sets |= zip(block.batch.column(ids).to_pylist(), shingle_sets(found.hash, found.first), strict=True)
-            good = []
-            for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                x, y = sets[a], sets[b]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
+            good = [_alike(x, y) for x, y in zip(_sets(part.column(2)), _sets(part.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in part.columns[:2]], schema=schema)
 
 
 def _spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> a row for each shingle of its set."""
+    """(doc_id, text) -> a row for each shingle of its set; key tells rows that share a doc_id apart."""
     for block in blocks(batches, 1):
         found = words(block, lower=True)
         sets = shingle_sets(found.hash, found.first)
-        ids = np.repeat(np.asarray(block.batch.column(0)), [len(s) for s in sets])
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "h"])
+        sizes = [len(s) for s in sets]
+        ids = np.repeat(np.asarray(block.batch.column(0)), sizes)
+        keys = np.repeat(_keys(sets)[:, 0], sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "key", "h"])
 
 
 def _pairs(x: str, y: str, n: str, m: str) -> list:
@@ -128,10 +142,11 @@ def _pairs(x: str, y: str, n: str, m: str) -> list:
 
 
 def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The confirmed ones of the candidate pairs, as a table."""
+    """The confirmed ones of the candidate pairs. The smaller id, often a star's centre, comes last: its join splits
+    a centre with very many pairs, and no later shuffle gathers the pieces."""
     rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return stored(rows.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"), "links", merge=8)
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
 
 
 def _intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -153,11 +168,10 @@ def _intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def _settle(cell: pa.Table) -> pa.Table:
-    """Links between the members of two blocks of a bucket (or within one) that have different roots."""
+    """Links between the members of two blocks of a bucket (or within one): one for two different roots."""
     sets: list[np.ndarray] = []
-    for block in blocks(cell.to_batches(), cell.column_names.index("text")):
-        found = words(block, lower=True)
-        sets += shingle_sets(found.hash, found.first)
+    for texts in cell.column("text").chunks:
+        sets += _sets(texts)
     ids, roots, slot, i, j = (cell.column(c).to_numpy() for c in ("id", "root", "slot", "i", "j"))
     one, two = np.flatnonzero(slot == i), np.flatnonzero(slot == j)
     n = np.array([len(s) for s in sets])
@@ -167,8 +181,9 @@ def _settle(cell: pa.Table) -> pa.Table:
     both = _intersections([sets[k] for k in one], [sets[k] for k in two])
     good = (100 * both >= PERCENT * (n[one][:, None] + n[two][None, :] - both)) & (roots[one][:, None] != roots[two][None, :]) & (both > 0)
     x, y = np.nonzero(good)
-    a, b = ids[one[x]], ids[two[y]]
-    return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+    a, b, ra, rb = ids[one[x]], ids[two[y]], roots[one[x]], roots[two[y]]
+    _, first = np.unique(np.stack([np.minimum(ra, rb), np.maximum(ra, rb)]), axis=1, return_index=True)
+    return pa.table([pa.array(np.minimum(a, b)[first]), pa.array(np.maximum(a, b)[first])], schema=schema)
 
 
 def settled(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -181,18 +196,20 @@ def settled(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFra
     return cells.groupBy("band", "i", "j").applyInArrow(_settle, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, steps: Steps) -> DataFrame:
     """(id, root): the smallest id reachable, for every id on an edge (a, b)."""
     edges, before = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # The minima are stored before the join, so that it can split a centre with very many neighbours.
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima", merge=8)
+        least = steps.kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "large-star", merge=8)
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "minima", merge=8)
+        large = steps.kept(large, "large-star")
+        steps.drop(least, edges)
+        least = steps.kept(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star", merge=8)
+        small = steps.kept(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        steps.drop(least, large)
         state = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return small.toDF("id", "root")
@@ -200,39 +217,52 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row a row of docs: doc_id, n_shingles, component_id, representative_id (of its equal sets)."""
-    docs = docs.select("doc_id", "text")
-    signed = stored(docs.mapInArrow(_sign, "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"), "signed")
+    """One row a row of docs: doc_id, n_shingles, component_id, representative_id (of its equal sets); a stored table."""
+    with Steps(docs.sparkSession) as steps:
+        return stored(_found(docs.select("doc_id", "text"), steps), "near-duplicates")
+
+
+def _found(docs: DataFrame, steps: Steps) -> DataFrame:
+    signed = steps.kept(docs.mapInArrow(_sign, "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"), "signed")
     real = signed.where("doc_id is not null and n_shingles > 0")
     key = ["set_hi", "set_lo", "n_shingles"]
-    classes = stored(real.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes", merge=8)
-    reps = real.select("doc_id", "bands").join(classes.select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n")), "doc_id")
-    member = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"), "n")
+    counted = real.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"))
+    classes = steps.kept(counted, "classes")
+    if not classes.where("rows > ids").isEmpty():  # a text twice under one id: the joins below take it once
+        real, docs = real.dropDuplicates(["doc_id", *key]), docs.dropDuplicates(["doc_id", "text"])
+    reps = real.join(classes.select(F.col("rep").alias("doc_id"), *key), ["doc_id", *key])
+    member = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.col("set_hi").alias("key"))
     who = lambda h: F.struct(h, F.col("id").alias("id"), F.col("n").alias("n"))
     bucket = member.groupBy("band").agg(
         F.min(F.struct("id", "n")).alias("x"), F.min(who(F.xxhash64("id").alias("h"))).alias("y"), F.min("id").alias("lo"), F.max("id").alias("hi"),
     ).where("lo <> hi")
-    bucket = stored(bucket, "bucket-centres", merge=8)  # before the join, so that it can split a very large bucket
-    inside = stored(member.join(bucket, "band").select("band", "id", "n", F.col("x.id").alias("c1"), F.col("x.n").alias("n1"), F.col("y.id").alias("c2"), F.col("y.n").alias("n2")), "buckets")
+    bucket = steps.kept(bucket, "bucket-centres")  # before the join, so that it can split a very large bucket
+    inside = steps.kept(member.join(bucket, "band").select("band", "id", "n", "key", F.col("x.id").alias("c1"), F.col("x.n").alias("n1"), F.col("y.id").alias("c2"), F.col("y.n").alias("n2")), "buckets")
+    steps.drop(bucket)
     (one, ok1), (two, ok2) = _pairs("id", "c1", "n", "n1"), _pairs("id", "c2", "n", "n2")
-    tried = stored(inside.where(ok1).select(*one).union(inside.where(ok2).select(*two)).distinct(), "stars", merge=8)
-    texts = stored(docs.join(inside.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidates")
-    found = links(tried, texts)
-    roots = components(found)
+    tried = steps.kept(inside.where(ok1).select(*one).union(inside.where(ok2).select(*two)).distinct(), "stars")
+    texts = steps.kept(docs.join(inside.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidates")
+    found = steps.kept(links(tried, texts), "links")
+    steps.drop(tried)
+    roots = components(found, steps)
     # Members of one bucket in different components that were not compared yet: no link may rest on a star's centre.
-    labelled = inside.select("band", "id", "n").join(roots, "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
-    labelled = stored(labelled, "labelled", merge=8)
+    labelled = inside.select("band", "id", "n", "key").join(roots, "id", "left").select("band", "id", "n", "key", F.coalesce("root", "id").alias("root"))
+    labelled = steps.kept(labelled, "labelled")
+    steps.drop(inside)
     split = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    split = stored(split, "split-buckets", merge=8)
-    left = stored(labelled.join(split, "band").select("band", "id", "n", "root"), "unsettled", merge=8)
+    split = steps.kept(split, "split-buckets")
+    left = steps.kept(labelled.join(split, "band").select("band", "id", "n", "key", "root"), "unsettled")
+    steps.drop(labelled, split)
     # What no other of them shares can't be in an intersection: an exact bound on each one's similarities.
-    spread = texts.join(left.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_spread, "id long, h long")
-    alone = spread.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count("*").alias("alone"))
-    left = left.join(alone, "id", "left").withColumn("m", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").where(100 * F.col("m") >= PERCENT * F.col("n"))
-    left = stored(left, "open", merge=8)
-    more = stored(settled(left, texts), "late-links", merge=8)
+    spread = texts.join(left.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_spread, "id long, key long, h long")
+    who = F.struct("id", "key")
+    alone = spread.groupBy("h").agg(F.min(who).alias("who"), F.max(who).alias("other")).where("who = other").groupBy("who.id", "who.key").agg(F.count("*").alias("alone"))
+    open_ = left.join(alone, ["id", "key"], "left").withColumn("m", F.col("n") - F.coalesce("alone", F.lit(0))).where(100 * F.col("m") >= PERCENT * F.col("n"))
+    open_ = steps.kept(open_.select("band", "id", "root"), "open")
+    more = steps.kept(settled(open_, texts), "late-links")
+    steps.drop(left, open_, texts)
     if not more.isEmpty():
-        roots = components(found.union(more))
+        roots = components(found.union(more), steps)
     members = real.select("doc_id", *key).join(classes, key).select("doc_id", "rep").groupBy("doc_id").agg(F.min("rep").alias("rep"))
     out = members.join(roots, members.rep == roots.id, "left")
     out = out.select("doc_id", "rep", F.coalesce("root", "rep").alias("root"))
