@@ -160,18 +160,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *COUNTS, "base_failed", "kept", "rule", "stratum")
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """The same rows, computed before any filter above: the optimizer moves filters below projections and
-    would repeat the work on the text for every mention of a column."""
-    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_x")).select("_x.*")
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go. Each row is judged as it passes: the text is read
-    once to certify the cutoffs on the labelled rows and once to apply them, and never shuffled."""
+    """Pipeline stage: documents that the rules reject go. Counts and scores of each text are stored beside its row;
+    labels meet the numbers alone, and rows are filtered as they lie: no text is shuffled or judged twice."""
     labels = table(spark, sf_dir, "labels", "doc_id", "quality")
-    labelled = docs.select("doc_id", "text", "lang").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    cuts = cutoffs(_settled(features(labelled).drop("text")), labels)
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "text", "lang")
-    return judged(_settled(features(rows).drop("text", "lang")), cuts).where("kept").select("_row.*")
+    names = [c for c in ("doc_id", "text", "lang") if c in docs.columns]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *names)
+    scored = stored(features(rows).drop("text", "lang"), "quality")
+    return judged(scored, cutoffs(scored.drop("_row"), labels)).where("kept").select("_row.*")
