@@ -12,6 +12,7 @@ import pytest
 
 from readloom.llm import decontaminate, neardup, substring
 from readloom.llm.vecwords import blocks, words
+from readloom.storage import Steps
 
 
 def passages(rows):
@@ -54,6 +55,31 @@ def test_passages_of_odd_rows(odd, none):
     assert substring.dedup(none).count() == 0
 
 
+def twins():
+    """Two different words of 1024 letters on which a polynomial hash modulo 2**64 agrees, whatever its odd base."""
+    signs = [bin(k).count("1") % 2 for k in range(1024)]
+    return "".join("ab"[k] for k in signs), "".join("ba"[k] for k in signs)
+
+
+def test_words_are_told_apart(spark):
+    """Windows and shingles that differ in one long word are different."""
+    one, two = twins()
+    rest = [f"r{k}" for k in range(20)]
+    rows = [(1, " ".join([*rest[:10], one, *rest[10:]])), (2, " ".join([*rest[:10], two, *rest[10:]])), (3, one), (4, two), (5, f"{one} x"), (6, f"{one} x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup(df).collect()} == passages(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df).collect()} == components(rows)
+
+
+def test_passages_of_rows_that_share_an_id(spark):
+    """What is kept of each is its own."""
+    shared = " ".join(f"s{k}" for k in range(30))
+    rows = [(1, shared + " end"), (2, "a b c " + shared), (2, "d e f " + shared), (2, "a b c " + shared)]
+    got = sorted((r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    kept = [hashlib.sha256(t.encode()).hexdigest() for t in (shared + " end", "a b c", "a b c", "d e f")]
+    assert got == sorted(zip((31, 33, 33, 33), (0, 30, 30, 30), kept, strict=True))
+
+
 def components(rows):
     sets = {}
     for i, text in rows:
@@ -118,10 +144,68 @@ def test_blocks_settle_all_links(spark):
         assert {(r.a, r.b) for r in neardup.settled(members, texts, block).collect()} == want
 
 
+def test_rows_that_share_an_id(spark):
+    """Each keeps its own set, and the links of all are the document's, whatever their order."""
+    rng = random.Random(31)
+    prose = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c, other = prose(60), prose(60), prose(60), prose(60)
+    for rows in (
+        [(1, a), (2, a + " more"), (2, other)], [(2, other), (2, a + " more"), (1, a)], [(1, other), (1, a), (2, a + " more")],
+        [(1, a), (2, a + " more"), (2, b), (3, b + " more"), (3, c), (4, c + " more"), (5, other)], [(7, a), (7, a), (7, other), (9, other + " x"), (8, a + " x"), (8, a + " x")],
+    ):
+        sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, (_, t) in enumerate(rows)}
+        root = {i: i for i, _ in rows}
+        for _ in rows:
+            for x, y in combinations(range(len(rows)), 2):
+                if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]):
+                    i, j = rows[x][0], rows[y][0]
+                    low = min(root[i], root[j])
+                    root = {k: low if r in (root[i], root[j]) else r for k, r in root.items()}
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == sorted((i, len(sets[k]), root[i]) for k, (i, _) in enumerate(rows))
+
+
+def test_bands_meet_at_the_threshold():
+    """Sets whose similarity is exactly 0.75 share a bucket, small or large."""
+    rng = np.random.default_rng(7)
+    for n in (3, 9, 60, 600):
+        met = 0
+        for _ in range(200):
+            pool = rng.integers(0, 2**64 - 1, 4 * n, dtype=np.uint64)
+            x, y = np.sort(pool[: 3 * n]), np.sort(pool)
+            one, two = neardup.bands(neardup.signatures([x, y]))
+            met += bool((one == two).any())
+        assert met >= 199
+
+
+def test_a_hot_centre(spark):
+    """Every copy is linked with the smallest id; the groups' other links go through it alone."""
+    rng = random.Random(5)
+    base = [f"h{k}" for k in range(80)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 1500):
+        copy = list(base)
+        copy[rng.randrange(80)] = f"t{i}"
+        rows.append((i, " ".join(copy)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    assert {r.component_id for r in got.collect()} == {0}
+
+
+def test_steps_go(spark, docs):
+    """Nothing but the result stays in the shared folder."""
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    neardup.near_duplicates(docs)
+    substring.dedup(docs)
+    assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before) == ["near-duplicates", "passages"]
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 400 + k) for k in range(50)] + [(rng.randrange(600, 700), rng.randrange(600, 700)) for _ in range(60)]
-    got = {r.id: r.root for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.id: r.root for r in neardup.components(spark.createDataFrame(edges, "a long, b long"), Steps(spark)).collect()}
     root = {x: x for e in edges for x in e}
     for _ in root:
         for a, b in edges:
