@@ -6,8 +6,9 @@ one item on one diagonal are put together, and the slots of each run must be con
 for one value of the document, the most frequent one; windows with other values do not count. A document leaks an item if consistent windows
 cover SHARE of the item's windows or RUN tokens in a row.
 
-The benchmark is a stated query set that all documents are held against. It is read in blocks of at most
-BLOCK_WINDOWS windows; a block has a fixed size and is broadcast, and a larger benchmark takes more passes.
+The benchmark is a stated query set that all documents are held against. It is read in blocks of about
+BLOCK_WINDOWS windows; a block is the bounded build side of a hash join and is broadcast. A larger benchmark takes
+a pass for each block, whose result is stored before the block goes, so that one is alive at a time.
 
 Tokens are runs of letters and digits (a point or comma between digits belongs to the number), and single characters
 of Chinese, Japanese, Thai and Lao; capitals count as small letters (letters of up to two bytes). Texts are read in more than one way, and a document leaks an item if one reading
@@ -18,7 +19,7 @@ A window needs LITERAL words that are no placeholders.
 
 Defined cases: null or empty texts match nothing, nor do items with fewer than LITERAL tokens; an
 item shorter than a window is one window of its own length; a null doc_id or item_id passes
-through; repeated rows are each reported; empty tables give an empty result; other columns are ignored
+through; very long texts are read one at a time, whole; repeated rows are each reported; empty tables give an empty result; other columns are ignored
 (pipeline stage: kept as they are).
 """
 
@@ -32,11 +33,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import stored, table
 from .vecwords import Block, blocks, hash_spans, mix, spans, windows
 
 WINDOW, LITERAL, SHARE, RUN = 8, 4, 0.5, 13
-BLOCK_WINDOWS = 500_000
+BLOCK_WINDOWS, JOINED = 500_000, 2_000_000
 # Words that are numbers, and units.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million billion".split()
 UNITS = (
@@ -150,14 +151,24 @@ def readings(block: Block) -> list[Template]:
     return [*out, Template(raw, raw, np.zeros(len(raw), dtype=np.int8), first)]
 
 
+@dataclass
+class Postings:
+    """Windows of one reading and length: sorted hashes, and where each one's (item, place) begin."""
+
+    hash: np.ndarray
+    begin: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+
+
 @dataclass
 class Index:
-    """The windows of a block of items, by reading and length: sorted hashes and the (item, place) of each."""
+    """The windows of a block of items, by reading and length."""
 
     items: list[tuple[int | None, list[Template]]] = field(default_factory=list)
-    found: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = field(default_factory=lambda: defaultdict(lambda: defaultdict(list)))
+    found: dict[tuple[int, int], set[tuple[int, int, int]]] = field(default_factory=lambda: defaultdict(set))
     sizes: list[list[int]] = field(default_factory=list)
-    sorted: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)
+    postings: dict[tuple[int, int], Postings] = field(default_factory=dict)
     n: int = 0
 
     def add(self, item_id: int | None, text: str | None) -> None:
@@ -172,7 +183,7 @@ class Index:
                     literal = canon == t.raw
                     for q, h in enumerate(windows(canon, length).tolist()):
                         if (q == 0 or canon is t.canon) and literal[q : q + length].sum() >= min(LITERAL, length):
-                            self.found[reading, length][h].append((len(self.items), q))
+                            self.found[reading, length].add((h, len(self.items), q))
                             seen += canon is t.canon
             sizes.append(max(1, seen, *(sizes[:1] if reading == 1 else [])))  # placeholders more do not make a share smaller
             self.n += seen
@@ -181,8 +192,12 @@ class Index:
             self.sizes.append(sizes)
 
     def ready(self) -> Index:
-        self.found = {k: dict(v) for k, v in self.found.items()}
-        self.sorted = {k: np.sort(np.array(list(v), dtype=np.uint64)) for k, v in self.found.items()}
+        for key, rows in self.found.items():
+            ordered = sorted(rows)
+            hashes, begin = np.unique(np.array([r[0] for r in ordered], dtype=np.uint64), return_index=True)
+            item, place = (np.array([r[k] for r in ordered], dtype=np.int64) for k in (1, 2))
+            self.postings[key] = Postings(hashes, np.append(begin, len(ordered)), item, place)
+        self.found = {}
         return self
 
     def leaks(self, block: Block) -> list[tuple[int, int, int, int, int, bool]]:
@@ -194,39 +209,67 @@ class Index:
                 best.setdefault(key, got)
         return [(d, item, *got) for (d, item), got in sorted(best.items())]
 
-    def _read(self, reading: int, t: Template) -> dict[tuple[int, int], tuple[int, int, int, bool]]:
-        lines = defaultdict(list)
+    def _hits(self, reading: int, length: int, of: Postings, t: Template) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(row, item, document's place less the item's, places) of each diagonal whose windows, values aside, would do."""
+        h = windows(t.canon, length)
+        if not len(h) or not len(of.hash):
+            return
         doc = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
         literal = np.concatenate([[0], np.cumsum(t.kind == 0)])
-        for (of, length), known in self.sorted.items():
-            if of != reading:
-                continue
-            h = windows(t.canon, length)
-            places = np.flatnonzero(_among(h, known)) if len(h) else np.zeros(0, dtype=np.int64)
-            places = places[(doc[places] == doc[places + length - 1]) & (literal[places + length] - literal[places] >= min(LITERAL, length))]
-            for p, d in zip(places.tolist(), doc[places].tolist(), strict=True):
-                for item, q in self.found[of, length][int(h[p])]:
-                    lines[d, item, p - q].append((p, length))
+        places = np.flatnonzero(_among(h, of.hash))
+        places = places[(doc[places] == doc[places + length - 1]) & (literal[places + length] - literal[places] >= min(LITERAL, length))]
+        known = np.searchsorted(of.hash, h[places])
+        counts = of.begin[known + 1] - of.begin[known]
+        sizes = np.array([s[reading] for s in self.sizes])
+        total, lo = np.cumsum(counts), 0
+        while lo < len(places):  # whole documents, of about JOINED rows together
+            hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + JOINED, side="right"))
+            hi = len(places) if hi >= len(places) else int(np.searchsorted(doc[places], doc[places[max(hi, lo)]]))
+            hi = hi if hi > lo else int(np.searchsorted(doc[places], doc[places[lo]], side="right"))
+            n = counts[lo:hi]
+            at = np.repeat(of.begin[known[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            p, item = np.repeat(places[lo:hi], n), of.item[at]
+            shift = p - of.place[at]
+            order = np.lexsort((p, shift, item, doc[p]))
+            p, item, shift = p[order], item[order], shift[order]
+            new = np.ones(len(p), dtype=bool)
+            new[1:] = (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (doc[p[1:]] != doc[p[:-1]])
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], len(p))
+            breaks = new.copy()
+            breaks[1:] |= p[1:] - p[:-1] > length  # a token between the two windows is not covered
+            runs = np.flatnonzero(breaks)
+            covered = p[np.append(runs[1:], len(p)) - 1] + length - p[runs]
+            longest = np.maximum.reduceat(covered, np.searchsorted(runs, starts))
+            for k in np.flatnonzero((ends - starts >= SHARE * sizes[item[starts]]) | (longest >= RUN)).tolist():
+                a = starts[k]
+                yield int(doc[p[a]]), int(item[a]), int(shift[a]), p[a : ends[k]]
+            lo = hi
+
+    def _read(self, reading: int, t: Template) -> dict[tuple[int, int], tuple[int, int, int, bool]]:
         best: dict[tuple[int, int], tuple[int, int, int, bool]] = {}
-        for (d, item, shift), hits in lines.items():
-            own, size = self.items[item][1][reading], self.sizes[item][reading]
-            hits = sorted(set(hits))
-            wrong = _conflicts(own, t, _covered(hits), shift)
-            hits = [(p, n) for p, n in hits if np.searchsorted(wrong, p) == np.searchsorted(wrong, p + n)]
-            if not hits:
+        for (of, length), known in self.postings.items():
+            if of != reading:
                 continue
-            tokens = _covered(hits)
-            run = max(len(x) for x in np.split(tokens, np.flatnonzero(np.diff(tokens) > 1) + 1))
-            if len(hits) >= SHARE * size or run >= RUN:
-                same = bool((own.raw[tokens - shift] == t.raw[tokens]).all())
-                got = (len(hits), size, int(tokens[0] - t.first[d]), same)
-                if got[0] > best.get((d, item), (0,))[0]:
-                    best[d, item] = got
+            for d, item, shift, places in self._hits(reading, length, known, t):
+                own, size = self.items[item][1][reading], self.sizes[item][reading]
+                wrong = _conflicts(own, t, _covered(places, length), shift)
+                places = places[np.searchsorted(wrong, places) == np.searchsorted(wrong, places + length)]
+                if not len(places):
+                    continue
+                tokens = _covered(places, length)
+                run = max(len(x) for x in np.split(tokens, np.flatnonzero(np.diff(tokens) > 1) + 1))
+                if len(places) >= SHARE * size or run >= RUN:
+                    same = bool((own.raw[tokens - shift] == t.raw[tokens]).all())
+                    got = (len(places), size, int(tokens[0] - t.first[d]), same)
+                    # Of several places the one with most windows counts; ties go to the earliest.
+                    if (d, item) not in best or (-got[0], got[2]) < (-best[d, item][0], best[d, item][2]):
+                        best[d, item] = got
         return best
 
 
-def _covered(hits: list[tuple[int, int]]) -> np.ndarray:
-    return np.unique(np.concatenate([np.arange(p, p + n) for p, n in hits]))
+def _covered(places: np.ndarray, length: int) -> np.ndarray:
+    return np.unique(places[:, None] + np.arange(length))
 
 
 def _conflicts(item: Template, doc: Template, tokens: np.ndarray, shift: int) -> np.ndarray:
@@ -242,35 +285,46 @@ def _conflicts(item: Template, doc: Template, tokens: np.ndarray, shift: int) ->
     return slots[np.array([stands[k] != v for k, v in zip(keys, values, strict=True)], dtype=bool)]
 
 
-def indexes(benchmark: DataFrame, limit: int = BLOCK_WINDOWS) -> Iterator[Index]:
-    """The benchmark in blocks of about limit windows; one block at a time on the driver."""
-    index = Index()
+def indexes(benchmark: DataFrame, limit: int = BLOCK_WINDOWS) -> Iterator[tuple[Index, bool]]:
+    """The benchmark in blocks of about limit windows, each with whether it is the only one; one at a time on the driver."""
+    index, more = Index(), False
     for row in benchmark.select("item_id", "text").toLocalIterator():
         index.add(row.item_id, row.text)
         if index.n >= limit:
-            yield index.ready()
-            index = Index()
+            yield index.ready(), False
+            index, more = Index(), True
     if index.n:
-        yield index.ready()
+        yield index.ready(), not more
 
 
 _LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()), ("item_windows", pa.int64()), ("first_token", pa.int64()), ("same_values", pa.bool_())])
 
 
+def _passes(docs: DataFrame, benchmark: DataFrame, limit: int, search, schema, chained: bool) -> Iterator[DataFrame]:
+    """docs through search(batches, broadcast index) for each block; but for an only block, stored before the block goes.
+    chained: each pass reads what the one before left."""
+    for index, only in indexes(benchmark, limit):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+        found = docs.mapInArrow(lambda batches, sent=sent: search(batches, sent.value), schema)
+        if not only:
+            found = stored(found, "decontamination-pass")
+            sent.destroy()
+        yield found
+        docs = found if chained else docs
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_WINDOWS) -> DataFrame:
     """One row for each document and item that it leaks."""
-    docs, out = docs.select("doc_id", "text"), None
     schema = "doc_id long, item_id long, n_windows long, item_windows long, first_token long, same_values boolean"
-    for index in indexes(benchmark, limit):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        def search(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for block in blocks(batches, 1):
-                ids, known = block.batch.column(0).to_pylist(), sent.value
-                rows = [(ids[d], known.items[i][0], n, size, at, same) for d, i, n, size, at, same in known.leaks(block)]
-                yield pa.RecordBatch.from_pylist([dict(zip(_LEAKS.names, r, strict=True)) for r in rows], schema=_LEAKS)
+    def search(batches: Iterable[pa.RecordBatch], known: Index) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, 1):
+            ids = block.batch.column(0).to_pylist()
+            rows = [(ids[d], known.items[i][0], n, size, at, same) for d, i, n, size, at, same in known.leaks(block)]
+            yield pa.RecordBatch.from_pylist([dict(zip(_LEAKS.names, r, strict=True)) for r in rows], schema=_LEAKS)
 
-        found = docs.mapInArrow(search, schema)
+    out = None
+    for found in _passes(docs.select("doc_id", "text"), benchmark, limit, search, schema, chained=False):
         out = found if out is None else out.union(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -279,17 +333,15 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str, limit: int = BLOCK_WINDOWS) -> DataFrame:
     """Pipeline stage: documents that leak an item go. Rows are judged as they pass, without a shuffle."""
-    names = docs.columns
-    place = names.index("text")
-    for index in indexes(table(spark, sf_dir, "benchmark")):
-        sent = spark.sparkContext.broadcast(index)
+    place = docs.columns.index("text")
 
-        def keep(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for block in blocks(batches, place):
-                bad = {leak[0] for leak in sent.value.leaks(block)}
-                yield block.batch.filter(pa.array([i not in bad for i in range(block.batch.num_rows)]))
+    def keep(batches: Iterable[pa.RecordBatch], known: Index) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, place):
+            bad = {leak[0] for leak in known.leaks(block)}
+            yield block.batch.filter(pa.array([i not in bad for i in range(block.batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+    for kept in _passes(docs, table(spark, sf_dir, "benchmark"), limit, keep, docs.schema, chained=True):
+        docs = kept
     return docs
