@@ -267,7 +267,7 @@ ITEMS = [
 LEAKS = {
     10: ("Intro text. A train leaves Boston at 60 km per hour while Anna walks home across the old bridge with 12 apples. More text", {1}),
     11: ("so a train leaves Denver at 75 miles per hour while Maria walks home across the old bridge with 31 apples", {1}),
-    12: ("A TRAIN LEAVES BOSTON AT 60 KM PER HOUR WHILE ANNA WALKS HOME ACROSS THE OLD BRIDGE WITH 12 APPLES", set()),
+    12: ("A TRAIN LEAVES BOSTON AT 60 KM PER HOUR WHILE ANNA WALKS HOME ACROSS THE OLD BRIDGE WITH 12 APPLES", {1}),
     13: ("we saw a short item of words here", {2}),
     14: ("three words only", set()),
     15: ("In the valley, Peter sold 55 sheep for 55 dollars and kept the remaining sheep behind the tall wooden fence", {5}),
@@ -286,10 +286,55 @@ def test_leaks(spark, limit):
     for r in decontaminate.leaks(docs, items, limit).collect():
         got.setdefault(r.doc_id, set()).add(r.item_id)
     want = {i: found for i, (_, found) in LEAKS.items() if found}
-    got.pop(12, None)  # capitals hide which words are names: either answer is right
     assert got == want
 
 
+def test_leaks_against_brute_force(spark):
+    """Without placeholders: the share of an item's windows that a text holds on one diagonal, or a run of words."""
+    rng = random.Random(14)
+    vocabulary = ["w" + "".join(rng.choices("aeimnost", k=5)) for _ in range(40)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.choice([5, 8, 12, 30, 60]))] for _ in range(30)]
+    items += [items[0] + items[1], items[2][:4] * 6]  # shared windows, and one that repeats itself
+    texts = []
+    for _ in range(150):
+        own = [rng.choice(vocabulary) for _ in range(rng.randint(0, 30))]
+        part = rng.choice(items)
+        at = rng.randrange(len(part))
+        own += part[at : at + rng.randint(1, 40)] + [rng.choice(vocabulary) for _ in range(rng.randint(0, 9))] + part[: rng.randint(0, 20)]
+        texts.append(own)
+    want = set()
+    for d, text in enumerate(texts):
+        for k, item in enumerate(items):
+            n = min(8, len(item))
+            total = len(item) - n + 1
+            for shift in range(-len(item), len(text) + 1):
+                hits = [p for p in range(len(text) - n + 1) if 0 <= p - shift < total and text[p : p + n] == item[p - shift : p - shift + n]]
+                covered = sorted({p + j for p in hits for j in range(n)})
+                run = longest = 0
+                for x, y in zip([None, *covered], covered, strict=False):
+                    run = run + 1 if x is not None and y == x + 1 else 1
+                    longest = max(longest, run)
+                if hits and (len(hits) >= 0.5 * total or longest >= 13):
+                    want.add((d, k))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    assert 20 < len(want) < len(texts) * len(items) // 4
+    for limit in (500_000, 200):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, limit).collect()} == want
+
+
+def test_hits_join_in_any_portions(monkeypatch):
+    """Portions of documents change nothing, also where one document has more hits than a portion."""
+    rows = pa.RecordBatch.from_pydict({"i": list(LEAKS), "t": [t for t, _ in LEAKS.values()]})
+    index = decontaminate.Index()
+    for k in range(30):
+        index.add(k, ITEMS[0][1] + f" copy {k}")
+    index.ready()
+    whole = [index.leaks(b) for b in blocks([rows], 1)]
+    monkeypatch.setattr(decontaminate, "JOINED", 3)
+    assert [index.leaks(b) for b in blocks([rows], 1)] == whole and whole[0]
+
+
 def test_whole_items_are_found(spark, docs, corpus):
     """Any item of enough words put into any text is found, and nothing else is."""
     rng = random.Random(12)
