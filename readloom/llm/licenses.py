@@ -1,15 +1,16 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
 A paragraph is a run of lines that hold a letter or digit; comment marks at the ends of its lines do not count. Its
-lines, and the sentences and two sentences in a row that reach over a line's end, are classified if they have a licence cue; cues are derived so that no text that a template could confirm lacks one. The classifier is a multinomial
+lines, and the sentences and two sentences in a row that reach over a line's end, are classified if they have a licence
+cue; cues are derived so that no text that a template could confirm lacks one. The classifier is a multinomial
 logistic regression on the presence of one to three words in a row, made sparse by an L1 penalty. It knows one
 class for each licence family and the class `unknown` for cues that name none. It is trained on the driver on
-labelled paragraphs (a bounded set; by default generated from the templates below). A temperature is fitted and
-the least confidence chosen on labelled paragraphs that training did not see; less confident predictions
-are `unknown`. A family counts as confirmed when one of its templates is contained in the paragraph, by the share
+labelled paragraphs (a bounded set; by default generated from the templates below). The temperature is fitted on
+predictions of wordings that training did not see: whole templates are held out in turn. The least confidence
+is chosen on other paragraphs held out; less confident predictions are `unknown`. A family counts as confirmed when one of its templates is contained in the paragraph, by the share
 of its word bigrams. Everything over the corpus is Spark SQL on arrays within a row: no shuffle.
 
-Defined cases: null and empty texts have no paragraph; a null doc_id passes through; repeated rows are each
+Defined cases: null and empty texts have no paragraph; very long texts are scanned whole; a null doc_id passes through; repeated rows are each
 reported; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-UNKNOWN, SEED, CONTAINED, PRECISION = "unknown", 11, 0.6, 0.99
+UNKNOWN, SEED, CONTAINED, PRECISION, FOLDS = "unknown", 11, 0.6, 0.99, 5
 CUE = r"(?i)licen[cs]|copyright|copyleft|creative commons|public domain|all rights reserved|spdx|unlicense|warrant(y|ies)|redistribut|\(c\)\s*[0-9]{4}|©|\bcc[ -](by|0|zero)|\b(a|l)?gpl|gnu "
 MARK, BREAK = "\x01", r"[\s*#/;-]+"
 EDGES = r"^(?i:[^\p{L}\p{N}(©]|(rem|dnl)\b)+|[\s*#/|;-]+$"
@@ -141,20 +142,22 @@ def grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, _grams(words, 2), _grams(words, 3)))
 
 
-def labelled_paragraphs(seed: int = SEED) -> list[tuple[str, str]]:
-    """Generated paragraphs with their family: the default training set."""
+def labelled_paragraphs(seed: int = SEED) -> list[tuple[str, str, int]]:
+    """Generated paragraphs with their family and the number of their wording: the default training set."""
     rng = np.random.default_rng(seed)
     pick = lambda items: items[int(rng.integers(len(items)))]
-    out = []
+    out, wording = [], 0
     for family, templates in TEMPLATES.items():
         for template in templates:
+            wording += 1
             for carrier in CARRIERS:
                 words = template.split()
                 if len(words) > 8 and rng.random() < 0.5:  # a longer notice may lose a word
                     words.pop(int(rng.integers(len(words))))
-                out.append((carrier.replace("{name}", pick(NAMES)).replace("{}", " ".join(words)), family))
+                out.append((carrier.replace("{name}", pick(NAMES)).replace("{}", " ".join(words)), family, wording))
     for text in NO_FAMILY:
-        out += [(carrier.replace("{name}", pick(NAMES)).replace("{}", text.replace("{}", pick(NAMES))), UNKNOWN) for carrier in CARRIERS for _ in range(2)]
+        wording += 1
+        out += [(carrier.replace("{name}", pick(NAMES)).replace("{}", text.replace("{}", pick(NAMES))), UNKNOWN, wording) for carrier in CARRIERS for _ in range(2)]
     return out
 
 
@@ -168,43 +171,52 @@ class Model:
     cue: str = ""
 
 
-def fit(examples: list[tuple[list[str], str]], seed: int = SEED, l1: float = 2e-4, steps: int = 400) -> Model:
-    """Proximal gradient descent; every fourth example calibrates."""
-    order = np.random.default_rng(seed).permutation(len(examples))
-    held, seen = [examples[i] for i in order[::4]], [examples[i] for k, i in enumerate(order) if k % 4]
-    families = sorted({y for _, y in examples})
-    vocabulary = {g: i for i, g in enumerate(sorted({g for x, _ in seen for g in x}))}
+def _softmax(s: np.ndarray) -> np.ndarray:
+    e = np.exp(s - s.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
-    def matrix(rows: list[tuple[list[str], str]]) -> tuple[np.ndarray, np.ndarray]:
-        x = np.zeros((len(rows), len(vocabulary)), dtype=np.float32)
-        for i, (gs, _) in enumerate(rows):
-            x[i, [vocabulary[g] for g in gs if g in vocabulary]] = 1
-        return x, np.array([families.index(y) for _, y in rows])
 
-    def softmax(s: np.ndarray) -> np.ndarray:
-        e = np.exp(s - s.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
-
-    x, y = matrix(seen)
-    truth = np.eye(len(families), dtype=np.float32)[y]
-    w, b, rate = np.zeros((x.shape[1], len(families)), dtype=np.float32), np.zeros(len(families), dtype=np.float32), np.float32(0.5)
+def _regression(x: np.ndarray, y: np.ndarray, classes: int, l1: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias by proximal gradient descent."""
+    used = np.flatnonzero(x.any(axis=0))
+    part, truth = x[:, used], np.eye(classes, dtype=np.float32)[y]
+    w, b, rate = np.zeros((len(used), classes), dtype=np.float32), np.zeros(classes, dtype=np.float32), np.float32(0.5)
     for _ in range(steps):
-        error = (softmax(x @ w + b) - truth) / np.float32(len(x))
-        w -= rate * (x.T @ error)
+        error = (_softmax(part @ w + b) - truth) / np.float32(len(part))
+        w -= rate * (part.T @ error)
         w = np.sign(w) * np.maximum(np.abs(w) - rate * np.float32(l1), 0)
         b -= rate * error.sum(axis=0)
-    w, b = w.astype(np.float64).round(6), b.astype(np.float64).round(6)
-    xh, yh = matrix(held)
-    s = xh @ w + b
+    out = np.zeros((x.shape[1], classes))
+    out[used] = w.astype(np.float64).round(6)
+    return out, b.astype(np.float64).round(6)
+
+
+def fit(examples: list[tuple[list[str], str, int]], seed: int = SEED, l1: float = 2e-4, steps: int = 400) -> Model:
+    """Of (n-grams, family, wording): the temperature from wordings held out in turn, the least confidence from
+    every fourth example, the weights from the others."""
+    rng = np.random.default_rng(seed)
+    families = sorted({y for _, y, _ in examples})
+    vocabulary = {g: i for i, g in enumerate(sorted({g for x, *_ in examples for g in x}))}
+    x, y = np.zeros((len(examples), len(vocabulary)), dtype=np.float32), np.array([families.index(f) for _, f, _ in examples])
+    for i, (gs, *_rest) in enumerate(examples):
+        x[i, [vocabulary[g] for g in gs]] = 1
+    wordings, number = np.unique([k for *_, k in examples], return_inverse=True)
+    fold, s = rng.permutation(len(wordings))[number] % FOLDS, np.zeros((len(y), len(families)))
+    for k in range(FOLDS):
+        if (fold == k).any() and (fold != k).any():
+            w, b = _regression(x[fold != k], y[fold != k], len(families), l1, steps)
+            s[fold == k] = x[fold == k] @ w + b
     heats = np.exp(np.linspace(-2, 2, 81))
-    heat = float(min(heats, key=lambda t: -np.log(softmax(s / t)[np.arange(len(yh)), yh] + 1e-12).mean()))
-    p = softmax(s / heat)
+    heat = float(min(heats, key=lambda t: -np.log(_softmax(s / t)[np.arange(len(y)), y] + 1e-12).mean()))
+    held = np.zeros(len(y), dtype=bool)
+    held[rng.permutation(len(y))[::4]] = True
+    w, b = _regression(x[~held], y[~held], len(families), l1, steps)
+    p = _softmax((x[held] @ w + b) / heat)
     best, unknown = p.argmax(axis=1), families.index(UNKNOWN)
-    least = 0.5
-    for cut in np.linspace(0.5, 0.95, 46):
+    for cut in np.linspace(0.25, 0.95, 71):
         taken = (best != unknown) & (p.max(axis=1) >= cut)
         least = float(round(cut, 4))
-        if not taken.any() or (best[taken] == yh[taken]).mean() >= PRECISION:
+        if not taken.any() or (best[taken] == y[held][taken]).mean() >= PRECISION:
             break
     kept = {g: w[i].tolist() for g, i in vocabulary.items() if w[i].any()}
     return Model(families, kept, b.tolist(), round(heat, 6), least)
@@ -213,14 +225,15 @@ def fit(examples: list[tuple[list[str], str]], seed: int = SEED, l1: float = 2e-
 @cache
 def _model(app: str, paragraphs: tuple) -> Model:
     spark = SparkSession.active()
-    data = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(paragraphs)], "i int, text string, family string")
-    rows = data.select("i", "family", grams(terms(F.col("text"))).alias("g")).orderBy("i").collect()
-    m = fit([(list(r.g), r.family) for r in rows])
-    m.cue = cue([t for t, y in paragraphs if y != UNKNOWN])
+    data = spark.createDataFrame([(i, *row) for i, row in enumerate(paragraphs)], "i int, text string, family string, wording int")
+    rows = data.select("i", "family", "wording", grams(terms(F.col("text"))).alias("g")).orderBy("i").collect()
+    m = fit([(list(r.g), r.family, r.wording) for r in rows])
+    m.cue = cue([t for t, y, _ in paragraphs if y != UNKNOWN])
     return m
 
 
-def model(spark: SparkSession, paragraphs: list[tuple[str, str]] | None = None) -> Model:
+def model(spark: SparkSession, paragraphs: list[tuple[str, str, int]] | None = None) -> Model:
+    """paragraphs: (text, family, number of the wording; equal for those that differ in what is around it alone)."""
     return _model(spark.sparkContext.applicationId, tuple(paragraphs or labelled_paragraphs()))
 
 
