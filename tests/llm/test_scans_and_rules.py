@@ -159,10 +159,24 @@ def test_licences(spark, odd, none):
     assert licenses.scan(odd).count() == licenses.scan(none).count() == 0
 
 
+def test_every_template_is_found(spark):
+    """Alone, wrapped, behind other words, and as a comment; none as another family."""
+    docs, want = [], {}
+    for family, templates in licenses.TEMPLATES.items():
+        for t in templates:
+            for form in (t, textwrap.fill(t, 72), textwrap.fill(f"Words before it in this file. {t}", 40), "# " + textwrap.fill(t, 60).replace("\n", "\n# ")):
+                want[len(docs)] = {family}
+                docs.append((len(docs), form))
+    found = {}
+    for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).where("confirmed").collect():
+        found.setdefault(r.doc_id, set()).add(r.license)
+    assert found == want
+
+
 def test_licence_model_is_sparse_and_right(spark):
     m = licenses.model(spark)
     assert 0 < len(m.weights) < 1500
-    fresh = spark.createDataFrame([(t, y) for t, y in licenses.labelled_paragraphs(seed=99)], "paragraph string, truth string")
+    fresh = spark.createDataFrame([(t, y) for t, y, _ in licenses.labelled_paragraphs(seed=99)], "paragraph string, truth string")
     out = licenses.classify(fresh, m).collect()
     taken = [r for r in out if r.family != licenses.UNKNOWN]
     assert sum(r.family == r.truth for r in taken) >= 0.97 * len(taken)
