@@ -1,13 +1,16 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least 12 token characters with a digit in it. Its features are length, character
-make-up, transitions between character classes, common letter pairs, the share that dictionary words cover,
-marks of a path or URL around it, and the words beside it. The forest is grown on the driver from labelled
+A candidate is a run of at least 12 token characters with a digit in it; a run of at least 20 of them whose letters
+change case often; a value of 6 or more characters that a secret word is assigned (in quotes also with blanks); the
+password of a URL; or a block of a private key. Other shapes, such as a short password without a secret word before
+it, are not judged. Features are length, character make-up, transitions between character classes, common letter
+pairs, the shares that dictionary words and words of placeholders cover, marks of a path or URL around it, and the
+words beside it. The forest is grown on the driver from labelled
 findings (a bounded set; by default the generated ones below) whose features the same expressions compute, and
 becomes one SQL expression. Everything over the corpus is Spark SQL on arrays within a row: no shuffle, so
 no key can be hot.
 
-Defined cases: null and empty texts have no candidate; a null doc_id passes through; repeated rows are each
+Defined cases: null and empty texts have no candidate; very long texts are scanned whole; a null doc_id passes through; repeated rows are each
 reported; an empty table gives an empty result; other columns are ignored (pipeline stage: kept as they are).
 """
 
@@ -22,7 +25,19 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,}+={0,2}"
+# Shapes of candidates. What LEAD finds at the beginning of a match stays outside the candidate.
+_ASSIGNED = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|(?:access|auth|private)[_-]?key|credentials?)[A-Za-z0-9_-]{0,12}[\"']?\s{0,2}(?:=>|:=|[:=])\s{0,2}"
+_USER = r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@]{0,64}:"
+_KEY = r"(?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+_BREAK = r"(?:\s|\\[nr]){1,4}"
+CANDIDATE = "|".join((
+    rf"-----BEGIN {_KEY}(?:{_BREAK}[A-Za-z0-9+/]{{16,200}}={{0,2}}){{0,400}}(?:{_BREAK}[A-Za-z0-9+/]{{1,15}}={{0,2}}(?={_BREAK}-----END))?(?:{_BREAK}-----END {_KEY})?",
+    rf"{_USER}[^\s/@]{{3,}}(?=@)",
+    rf"{_ASSIGNED}(?:\"(?=[^\"\n]{{6,200}}\")[^\"\n]+|'(?=[^'\n]{{6,200}}')[^'\n]+|[\"'`]?[^\s\"'`,;<>]{{5,}}[^\s\"'`,;<>.:)])",
+    r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,}+={0,2}",
+    r"(?<![A-Za-z0-9_+/-])(?=(?:[a-z]{0,3}[A-Z]{1,3}){5})[A-Za-z_+/-]{20,}+",
+))
+LEAD = rf"^(?:{_USER}|{_ASSIGNED}[\"'`]?)(?=[\s\S]{{3}})"
 BEFORE, AFTER, THRESHOLD, MASK = 40, 12, 0.5, "[SECRET]"
 GROUP = 256
 TREES, DEPTH, SEED = 25, 7, 7
@@ -38,6 +53,7 @@ DICTIONARY = (
     "value version video view were what when which will window with word world write year your nicht eine einer und der die das pour dans avec "
     "les des que para como una los las"
 ).split()
+PLACEHOLDERS = "required optional none null true false undefined empty redacted hidden changeme placeholder example sample dummy your enter insert please must should contain unset unknown string value here environ getenv config settings input prompt".split()
 SECRET_WORDS = "password passwd pwd passphrase secret token api_key apikey api-key key credential credentials auth authorization bearer private access_key access login".split()
 OTHER_WORDS = "sha sha1 sha256 md5 checksum digest hash commit revision rev uuid guid etag id isbn doi order invoice phone tel card version build ticket serial ref figure".split()
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ch ei ie de le ou la qu co ra".split()
@@ -63,9 +79,12 @@ def features(token: Column, before: Column, after: Column) -> dict[str, Column]:
         "pairs": F.regexp_count(low, F.lit(f"(?={_any(PAIRS)})")) / n,
         "distinct": F.size(F.array_distinct(F.split(token, ""))) / F.least(n, F.lit(40.0)),
         "dictionary": (n - F.length(F.regexp_replace(low, _any([w for w in DICTIONARY if len(w) > 3]), ""))) / n,
+        "placeholder": (n - F.length(F.regexp_replace(low, _any(PLACEHOLDERS), ""))) / n,
+        "template": flag(token.rlike(r"^[\[{<$%(*]|[({]\S*[)}]$|\$\{|\{\{|\w\[|[a-z]\.[a-z]|^(.)\1+$")),
+        "user": flag(before.rlike(r"://[^\s:/@]*:$")),
         "hexadecimal": flag(token.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         "grouped": flag(token.rlike("^[0-9A-Fa-f]+(-[0-9A-Fa-f]+)+$|^[0-9]+([-/][0-9A-Za-z]+)+$")),
-        "prefix": flag(token.rlike("^(AKIA|ASIA|gh[pousr]_|sk[-_]|pk_|xox[abprs]-|AIza|eyJ|glpat-|npm_)")),
+        "prefix": flag(token.rlike("^(AKIA|ASIA|gh[pousr]_|sk[-_]|pk_|xox[abprs]-|AIza|eyJ|glpat-|npm_|-----BEGIN )")),
         "path": F.regexp_count(token, F.lit("/")) / n + flag(before.rlike(r"([/.@]|https?:\S*|[A-Za-z]:\\)$") | after.rlike(r"^([.@][A-Za-z]|/)")),
         "assigned": flag(before.rlike("[=:]\\s*[\"'`]?$")),
         "quoted": flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
@@ -75,7 +94,7 @@ def features(token: Column, before: Column, after: Column) -> dict[str, Column]:
 
 
 NAMES = [
-    "length", "digits", "capitals", "marks", "transitions", "pairs", "distinct", "dictionary", "hexadecimal", "grouped", "prefix", "path",
+    "length", "digits", "capitals", "marks", "transitions", "pairs", "distinct", "dictionary", "placeholder", "template", "user", "hexadecimal", "grouped", "prefix", "path",
     "assigned", "quoted", "secret_word", "other_word",
 ]
 
@@ -97,18 +116,20 @@ def _before(sizes: Column) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    """array<struct<token, before, after, start>>; gaps are the texts between candidates."""
+    """array<struct<lead, token, before, after, start>>; gaps are the texts between matches, lead what a match has
+    before its candidate."""
     tokens, gaps = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
 
     def described(parts: Column) -> Column:
         t, g = parts.tokens, parts.gaps
         return _bind(F.transform(t, lambda x, i: F.length(x) + F.length(F.get(g, i))), lambda sizes: _bind(_before(sizes), lambda ends: F.transform(
-            t, lambda x, i: F.struct(
-                x.alias("token"), F.substring(F.get(g, i), -BEFORE, BEFORE).alias("before"), F.substring(F.get(g, i + 1), 1, AFTER).alias("after"),
-                (F.get(ends, (i / GROUP).cast("int")) + _total(F.slice(sizes, (i / GROUP).cast("int") * GROUP + 1, i % GROUP + 1)) - F.length(x)).cast("long").alias("start")))))
+            t, lambda x, i: _bind(F.regexp_extract(x, LEAD, 0), lambda lead: F.struct(
+                lead.alias("lead"), F.substring(x, F.length(lead) + 1, F.length(x)).alias("token"),
+                F.substring(F.concat(F.get(g, i), lead), -BEFORE, BEFORE).alias("before"), F.substring(F.get(g, i + 1), 1, AFTER).alias("after"),
+                (F.get(ends, (i / GROUP).cast("int")) + _total(F.slice(sizes, (i / GROUP).cast("int") * GROUP + 1, i % GROUP + 1)) - F.length(x) + F.length(lead)).cast("long").alias("start"))))))
 
     parts = F.array(F.struct(tokens.alias("tokens"), gaps.alias("gaps")))
-    none = F.array().cast("array<struct<token:string,before:string,after:string,start:bigint>>")
+    none = F.array().cast("array<struct<lead:string,token:string,before:string,after:string,start:bigint>>")
     return F.when(text.rlike(CANDIDATE), F.get(F.transform(parts, described), F.lit(0))).otherwise(none)
 
 
@@ -183,6 +204,31 @@ def labelled_findings(seed: int = SEED, each: int = 60) -> list[tuple[str, str,
         end = {'"': '"', "'": "'"}.get(sign[-1], pick([" ", "\n", ", "]))
         for token in (draw(hexa, pick([18, 24, 32, 40, 64])), mixed(pick([16, 20, 32, 40])), draw(lower + digit, 14) + "7", mixed(30) + "/" + mixed(9), draw(lower, 8) + draw(digit, 5)):
             out.append((token, prose() + word + sign, end + prose()[:8], 1))
+        assigned = prose() + pick(SECRET_WORDS[:9]) + pick(["=", ": ", " = \"", ": '"])
+        special = lambda: pick("!@#$%^&*?+")
+        words = [pick(DICTIONARY) for _ in range(4)]
+        case = lambda n: "".join(pick(lower) + pick(upper) if rng.random() < 0.7 else pick(lower + upper) for _ in range(n))
+        for token in (
+            draw(lower, int(rng.integers(4, 8))) + draw(digit, int(rng.integers(1, 4))) + draw(lower, int(rng.integers(0, 3))),
+            words[0].title() + special() + draw(digit, int(rng.integers(2, 5))), "".join(pick(lower + upper + digit + "!@#$%&*?") for _ in range(int(rng.integers(7, 16)))),
+            pick(words).replace("a", "4").replace("e", "3").replace("o", "0") + draw(digit, 2) + special(), case(int(rng.integers(9, 16))), pick("-_ ").join(words),
+            draw(lower, int(rng.integers(8, 13))),
+        ):
+            out.append((token, assigned, end + prose()[:8], 1))
+        out.append((case(int(rng.integers(12, 18))), prose() + pick(["", word + sign]), pick([" ", "\n", ". "]) + prose()[:6], 1))
+        for token in (draw(lower, 6) + draw(digit, 2), mixed(9), "".join(pick(lower + upper + digit + "!#$%") for _ in range(10)), draw(lower, 5)):
+            out.append((token, prose() + pick(["postgres", "https", "redis", "ftp", "mysql", "amqp"]) + "://" + pick(["admin", "root", "app", ""]) + ":", "@" + pick(["db", "host", "10.0.0.1"]) + pick([":5432/x", "/"]), 1))
+        out.append((f"-----BEGIN {pick(['RSA ', 'EC ', 'OPENSSH ', ''])}PRIVATE KEY-----" + pick(["", "\n" + mixed(64) + "\n" + mixed(64)]), prose(), pick(["\n", " "]), 1))
+        placeholder = pick(PLACEHOLDERS)
+        for token in (
+            placeholder + pick(["", "_" + pick(words), " " + pick(words)]), pick(words) + pick(["", "s", " " + pick(words)]) + " " + placeholder, f"${{{pick(words).upper()}_{word.upper()}}}", f"{{{{ {pick(words)} }}}}",
+            f"os.environ['{word.upper()}']", f"process.env.{word.upper()}", f"config.{pick(words)}.{word}", f"get_{pick(words)}()", pick("*x.") * int(rng.integers(6, 13)), f"<{pick(words)}-{word}>", f"[{placeholder.upper()}]",
+            f"${pick(words).upper()}", f"self.{pick(words)}_{word}", pick(words) + "ing", f"{pick(['str', 'Optional[str]', 'string', 'boolean'])}",
+        ):
+            out.append((token, assigned, pick([end, " "]) + prose()[:8], 0))
+        for token in ("password", "pass", "secret", f"${{{pick(words).upper()}}}", f"<{placeholder}>", "***", f"${word.upper()}"):
+            out.append((token, prose() + pick(["postgres", "https", "redis"]) + "://" + pick(["user", "username", "admin"]) + ":", "@" + pick(["host", "localhost", "db"]), 0))
+        out.append((pick(lower).join(w.title() for w in words) + pick(["", "Handler", "Factory"]), prose() + pick(["", "class ", "= new "]), pick(["(", ".", " "]), 0))
         for token in ("AKIA" + draw(upper + "234567", 15) + "3", "ghp_" + mixed(36), "sk-" + mixed(40), "xoxb-" + draw(digit, 12) + "-" + mixed(20), "AIza" + mixed(35), "eyJ" + mixed(60)):
             out.append((token, prose() + pick(["", "", word + sign]), " " + prose()[:8], 1))
         uuid = "-".join(draw(hexa, n) for n in (8, 4, 4, 4, 12))
@@ -224,12 +270,12 @@ def forest(spark: SparkSession, findings: list[tuple[str, str, str, int]] | None
 
 
 def with_findings(docs: DataFrame, trees: list[Node]) -> DataFrame:
-    """docs and _findings: array<struct<token, start, score>> of every candidate of the whole text."""
+    """docs and _findings: array<struct<lead, token, start, score>> of every candidate of the whole text."""
     described = F.transform(
         _candidates(F.col("text")),
-        lambda c: F.struct(c.token.alias("token"), c.start.alias("start"), F.struct(*[x.cast("double").alias(k) for k, x in features(c.token, c.before, c.after).items()]).alias("f")),
+        lambda c: F.struct(c.lead.alias("lead"), c.token.alias("token"), c.start.alias("start"), F.struct(*[x.cast("double").alias(k) for k, x in features(c.token, c.before, c.after).items()]).alias("f")),
     )
-    judged = F.transform(described, lambda c: F.struct(c.token.alias("token"), c.start.alias("start"), scored(trees, c.f).alias("score")))
+    judged = F.transform(described, lambda c: F.struct(c.lead.alias("lead"), c.token.alias("token"), c.start.alias("start"), scored(trees, c.f).alias("score")))
     return docs.withColumn("_findings", judged)
 
 
@@ -252,12 +298,12 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text"))
     found = with_findings(rows, forest(spark))
-    shown = F.transform("_findings", lambda c: F.when(c.score >= THRESHOLD, F.lit(MASK)).otherwise(c.token))
+    shown = F.transform("_findings", lambda c: F.concat(c.lead, F.when(c.score >= THRESHOLD, F.lit(MASK)).otherwise(c.token)))
     gaps = F.split("text", CANDIDATE, -1)
     text = F.when(
         F.exists("_findings", lambda c: c.score >= THRESHOLD),
         F.array_join(F.zip_with(gaps, shown, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), ""),
     ).otherwise(F.col("text"))
-    out = found.select("_row", text.alias("_text")).select(F.col("_row").alias("_row"), F.col("_text"))
+    out = found.select("_row", text.alias("_text"))
     columns = [F.col("_text").alias(c) if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in names]
     return out.select(*columns)
