@@ -236,6 +236,62 @@ def test_forest_on_fresh_findings(spark):
     assert sum((r.s >= secrets.THRESHOLD) == bool(r.label) for r in rows) >= 0.97 * len(rows)
 
 
+def planted(rng):
+    """Texts with a secret (kind, text, value) or a like shape that is none (kind, text, None), by other words and shapes
+    than those of the training set."""
+    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    draw = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    nouns = "river castle monkey dragon summer coffee garden silver thunder pepper".split()
+    alternating = lambda n: "".join(rng.choice(up) + rng.choice(low) for _ in range(n))
+    fill = lambda: " ".join(rng.choices(nouns + ["walks", "under", "seven", "blue"], k=5))
+    quoted = rng.choice(['"', "'"])
+    return [
+        ("short password", f"{fill()} password={(v := rng.choice(nouns) + draw(dig, 2) + draw(low, 1))} {fill()}", v),
+        ("marks", f"{fill()}\nDB_PASSWORD: {quoted}{(v := rng.choice(nouns).title() + rng.choice('!@#$') + draw(dig, 3) + draw(low, 2))}{quoted}\n{fill()}", v),
+        ("random", f'{{"user": "x", "password": "{(v := draw(low + up + dig + "!#$%&", 11) + "Z9")}"}}', v),
+        ("no digit", f"api_key: {(v := alternating(12))}\n{fill()}", v),
+        ("alone", f"{fill()} {(v := alternating(14))} {fill()}", v),
+        ("passphrase", f"{fill()} passphrase = {quoted}{(v := ' '.join(rng.choices(nouns, k=4)))}{quoted}", v),
+        ("url", f"{fill()} mysql://svc:{(v := draw(low, 5) + draw(dig, 3))}@db.internal:3306/main {fill()}", v),
+        ("hexadecimal", f"{fill()} secret_key={(v := draw('0123456789abcdef', 40))}\n", v),
+        ("prefix", f"{fill()} {(v := 'ghp_' + draw(low + up + dig, 35) + '7')} {fill()}", v),
+        ("pem", f"{fill()}\n{(v := '-----BEGIN EC PRIVATE KEY-----' + chr(10) + draw(low + up + dig, 63) + '7' + chr(10) + draw(low, 11) + '=' + chr(10) + '-----END EC PRIVATE KEY-----')}\n{fill()}", v),
+        ("none: variable", f"password=${{{draw(up, 6)}_SECRET}} {fill()}", None), ("none: stars", f"password: ******** {fill()}", None), ("none: call", f"token = get_token() {fill()}", None),
+        ("none: required", f"password: required {fill()}", None), ("none: lookup", f"secret = os.environ['{draw(up, 5)}'] {fill()}", None), ("none: template", f"api_key: {{{{ {rng.choice(nouns)}.key }}}} {fill()}", None),
+        ("none: commit", f"{fill()} commit {draw('0123456789abcdef', 40)} {fill()}", None), ("none: camel case", f"{fill()} new {''.join(x.title() for x in rng.choices(nouns, k=4))}Factory() {fill()}", None),
+        ("none: order", f"{fill()} order {draw(dig, 14)} {fill()}", None), ("none: url", f"{fill()} https://example.org/{rng.choice(nouns)}/{draw(dig, 8)}/index.html {fill()}", None),
+    ]
+
+
+def test_recall_by_kind(spark):
+    rng = random.Random(41)
+    rows = [row for _ in range(30) for row in planted(rng)]
+    found = {}
+    for r in secrets.scan(spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(rows)], "doc_id long, text string")).where("is_secret").collect():
+        found.setdefault(r.doc_id, []).append(rows[r.doc_id][1][r.start : r.start + r.length])
+    right, total = {}, {}
+    for i, (kind, _, value) in enumerate(rows):
+        total[kind] = total.get(kind, 0) + 1
+        right[kind] = right.get(kind, 0) + (found.get(i, []) == ([value] if value else []))
+    shares = {k: right[k] / total[k] for k in total}
+    assert min(shares.values()) >= 0.8 and sum(right.values()) >= 0.93 * sum(total.values()), shares
+
+
+def test_forest_votes_like_plain_python(spark):
+    trees = secrets.forest(spark)
+    fresh = spark.createDataFrame(secrets.labelled_findings(seed=5, each=4), "token string, before string, after string, label int")
+    f = F.struct(*[c.cast("double").alias(k) for k, c in secrets.features(F.col("token"), F.col("before"), F.col("after")).items()])
+    rows = fresh.select("token", f.alias("f")).select("token", "f", secrets.scored(trees, F.col("f")).alias("s")).collect()
+    for r in rows:
+        votes = []
+        for node in trees:
+            while node.feature >= 0:
+                node = node.high if r.f[secrets.NAMES[node.feature]] > node.cut else node.low
+            votes.append(node.share)
+        assert abs(sum(votes) / len(votes) - r.s) < 1e-9
+        assert r.f["length"] == len(r.token) and abs(r.f["digits"] - sum(c in "0123456789" for c in r.token) / len(r.token)) < 1e-9
+
+
 def test_wrapped_licences(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software"
     bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
