@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +31,16 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     encode.add_argument("-s", "--sample", type=int, default=100_000, help="reads that the quality table is made from")
     encode.add_argument("-n", "--library", help="names are not kept; reads are numbered under this name")
     encode.add_argument("-c", "--codec", choices=sorted(archive.CODECS), default="zstd")
+    encode.add_argument("-A", "--no-arithmetic", action="store_true", help="qualities are not entropy-coded but left to the codec")
     encode.add_argument("-B", "--memory", help="of the driver of a local run, such as 4G")
     decode = parts.add_parser("decode", help="an archive to read files")
     decode.add_argument("inputs", nargs=1)
     decode.add_argument("-o", "--output", required=True, help="a folder, or - for standard output")
     decode.add_argument("-S", "--split", type=int, help="reads a part")
     decode.add_argument("-Q", "--no-qualities", action="store_true")
+    decode.add_argument("-c", "--codec", choices=["none", "gzip", "bzip2"], default="none", help="of the files written")
     for p in (encode, decode):
+        p.add_argument("-t", "--temp-directory", help="folder for steps in between, which all machines of a run share")
         p.add_argument("-T", "--threads", type=int, default=max(1, min(4, (os.cpu_count() or 2) - 1)))
     return parser.parse_args(argv)
 
@@ -52,7 +56,12 @@ def encode(spark: SparkSession, a: argparse.Namespace) -> None:
         reads = reads.withColumns({c: F.lit(None).cast("string") for c in ("qual", "qual2") if c in reads.columns})
     reads = with_ordinal(checks.non_empty(reads), "file", "ordinal", name="read_id").drop("file", "ordinal")
     entries = textfiles.read_patterns(spark, a.patterns) if a.patterns else cores.frequent(reads)
-    archive.write(reads, cores.dictionary(entries), a.output, a.percent, a.sample, a.codec, a.library)
+    started = time.monotonic()
+    archive.write(reads, cores.dictionary(entries), a.output, a.percent, a.sample, a.codec, a.library, arithmetic=not a.no_arithmetic)
+    mates = [checks.mate_file(p) for p in a.inputs] if a.paired else []
+    for name, value in archive.run_report(spark, a.output, [*a.inputs, *mates]).items():
+        print(f"{name.replace('_', ' ')}: {value}", file=sys.stderr)
+    print(f"seconds: {time.monotonic() - started:.1f}", file=sys.stderr)
 
 
 def decode(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -72,9 +81,9 @@ def decode(spark: SparkSession, a: argparse.Namespace) -> None:
     for number, one in mates:
         path = f"{a.output}/{number}" if len(mates) > 1 else a.output
         if a.split:
-            textfiles.write_parts(cluster.parts(one, a.split), path, with_quality)
+            textfiles.write_parts(cluster.parts(one, a.split), path, with_quality, a.codec)
         else:
-            textfiles.write_records(one, path, "place", with_quality)
+            textfiles.write_records(one, path, "place", with_quality, a.codec)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -85,6 +94,8 @@ def main(argv: list[str] | None = None) -> int:
         if getattr(a, "memory", None):
             builder = builder.config("spark.driver.memory", str(checks.size_in_bytes(a.memory)))
     spark = builder.getOrCreate()
+    if a.temp_directory:
+        spark.conf.set("spark.checkpoint.dir", a.temp_directory)
     ship(spark)
     try:
         (encode if a.command == "encode" else decode)(spark, a)

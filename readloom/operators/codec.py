@@ -1,7 +1,9 @@
 """Entropy coding of quality symbols with a fixed order-2 model, block by block.
 
-A block is coded on its own: 32-bit range coding with carry propagation, the first two symbols in plain. Blocks are
-independent rows, so they are coded and decoded in any number of tasks; a block's size bounds the memory.
+A block's symbols are cut into lanes of LANE symbols, each coded on its own: 32-bit range coding with carry propagation,
+a lane's first two symbols in plain. The lanes of a batch of blocks go through numpy together, a symbol of each at a time.
+Blocks are independent rows, so they are coded and decoded in any number of tasks; a block's size bounds the memory.
+A coded block: the bytes of each lane (four bytes a number, little-endian), then the lanes.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .context import DEPTH
 
-TOP, BOTTOM = 1 << 24, 1 << 16
+TOP, BOTTOM, MASK, LANE = 1 << 24, 1 << 16, 0xFFFFFFFF, 4096
 
 
 @dataclass
@@ -37,44 +39,98 @@ class Model:
         return cls(np.concatenate([np.zeros((depth, depth, 1), dtype=np.int64), np.cumsum(n, axis=2)], axis=2))
 
 
-def encode(symbols: bytes, model: Model) -> bytes:
-    out, low, width = bytearray(symbols[:2]), 0, 0xFFFFFFFF
-    for i in range(2, len(symbols)):
-        row = model.bounds[symbols[i - 2], symbols[i - 1]]
-        lo, hi, total = int(row[symbols[i]]), int(row[symbols[i] + 1]), int(row[-1])
-        width //= total
-        low += lo * width
-        width *= hi - lo
-        while (low ^ (low + width)) < TOP or width < BOTTOM:
-            if (low ^ (low + width)) >= TOP:
-                width = -low & (BOTTOM - 1)
-            out.append((low >> 24) & 0xFF)
-            low, width = (low << 8) & 0xFFFFFFFF, (width << 8) & 0xFFFFFFFF
+def _renormalised(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The lanes that give away a byte; where none of its bits is settled yet, width is cut so that they are."""
+    settled = (low ^ (low + width)) < TOP
+    cut = ~settled & (width < BOTTOM)
+    width[cut] = -low[cut] & (BOTTOM - 1)
+    return np.flatnonzero(settled | cut)
+
+
+def _lanes(sizes: list[int]) -> np.ndarray:
+    """The number of symbols of each lane of blocks of these sizes, block after block."""
+    return np.array([min(LANE, n - at) for n in sizes for at in range(0, n, LANE)], dtype=np.int64)
+
+
+def encode(blocks: list[bytes], model: Model) -> list[bytes]:
+    sizes = _lanes([len(x) for x in blocks])
+    text = np.zeros((len(sizes), LANE), dtype=np.int64)
+    data, at = np.frombuffer(b"".join(blocks), dtype=np.uint8), 0
+    for k, n in enumerate(sizes.tolist()):
+        text[k, :n] = data[at : at + n]
+        at += n
+    out, end = np.zeros((len(sizes), 2 * LANE + 8), dtype=np.uint8), np.minimum(sizes, 2)
+    out[:, :2] = text[:, :2]
+    low, width = np.zeros(len(sizes), dtype=np.int64), np.full(len(sizes), MASK, dtype=np.int64)
+    for i in range(2, int(sizes.max(initial=0))):
+        lanes = np.flatnonzero(sizes > i)
+        p2, p1, v = text[lanes, i - 2], text[lanes, i - 1], text[lanes, i]
+        lo, hi = model.bounds[p2, p1, v], model.bounds[p2, p1, v + 1]
+        step = width[lanes] // model.bounds[p2, p1, -1]
+        l, w = low[lanes] + lo * step, step * (hi - lo)
+        while len(go := _renormalised(l, w)):
+            at = lanes[go]
+            out[at, end[at]] = (l[go] >> 24) & 0xFF
+            end[at] += 1
+            l[go], w[go] = (l[go] << 8) & MASK, (w[go] << 8) & MASK
+        low[lanes], width[lanes] = l, w
+    for shift in (24, 16, 8, 0):
+        out[np.arange(len(sizes)), end] = (low >> shift) & 0xFF
+        end += 1
+    done, k = [], 0
+    for x in blocks:
+        n = -(-len(x) // LANE)
+        part = range(k, k + n)
+        done.append(end[k : k + n].astype("<u4").tobytes() + b"".join([out[j, : end[j]].tobytes() for j in part]))
+        k += n
+    return done
+
+
+def decode(blocks: list[bytes], counts: list[int], model: Model) -> list[bytes]:
+    sizes, parts = _lanes(counts), []
+    for x, n in zip(blocks, counts, strict=True):
+        lanes = -(-n // LANE)
+        at = 4 * lanes
+        for size in np.frombuffer(x[:at], dtype="<u4").tolist():
+            parts.append(x[at : at + size])
+            at += size
+    data = np.zeros((len(parts), max(map(len, parts), default=0) + 8), dtype=np.int64)
+    for k, x in enumerate(parts):
+        data[k, : len(x)] = np.frombuffer(x, dtype=np.uint8)
+    text, at, rows = np.zeros((len(sizes), LANE), dtype=np.int64), np.minimum(sizes, 2), np.arange(len(sizes))
+    if len(sizes):
+        text[:, :2] = np.where(np.arange(2) < sizes[:, None], data[:, :2], 0)
+    low, width, code = np.zeros(len(sizes), dtype=np.int64), np.full(len(sizes), MASK, dtype=np.int64), np.zeros(len(sizes), dtype=np.int64)
     for _ in range(4):
-        out.append((low >> 24) & 0xFF)
-        low = (low << 8) & 0xFFFFFFFF
-    return bytes(out)
-
-
-def decode(data: bytes, n: int, model: Model) -> bytes:
-    out = bytearray(data[: min(2, n)])
-    at = len(out)
-    code = int.from_bytes(data[at : at + 4].ljust(4, b"\0"), "big")
-    at, low, width = at + 4, 0, 0xFFFFFFFF
-    while len(out) < n:
-        row = model.bounds[out[-2], out[-1]]
-        width //= int(row[-1])
-        v = int(np.searchsorted(row, min((code - low) // width, int(row[-1]) - 1), side="right")) - 1
-        out.append(v)
-        low += int(row[v]) * width
-        width *= int(row[v + 1] - row[v])
-        while (low ^ (low + width)) < TOP or width < BOTTOM:
-            if (low ^ (low + width)) >= TOP:
-                width = -low & (BOTTOM - 1)
-            code = ((code << 8) | (data[at] if at < len(data) else 0)) & 0xFFFFFFFF
-            at += 1
-            low, width = (low << 8) & 0xFFFFFFFF, (width << 8) & 0xFFFFFFFF
-    return bytes(out)
+        code = (code << 8) | data[rows, at]
+        at += 1
+    depth = model.bounds.shape[2] - 1
+    for i in range(2, int(sizes.max(initial=0))):
+        lanes = np.flatnonzero(sizes > i)
+        bounds = model.bounds[text[lanes, i - 2], text[lanes, i - 1]]
+        l, c = low[lanes], code[lanes]
+        step = width[lanes] // bounds[:, -1]
+        want = np.minimum((c - l) // step, bounds[:, -1] - 1)
+        v, span = np.zeros(len(lanes), dtype=np.int64), 1 << (depth.bit_length() - 1)
+        while span:  # the last bound that is at most the value
+            near = np.minimum(v + span, depth)
+            v = np.where((v + span <= depth) & (bounds[np.arange(len(lanes)), near] <= want), near, v)
+            span >>= 1
+        text[lanes, i] = v
+        lo, hi = bounds[np.arange(len(lanes)), v], bounds[np.arange(len(lanes)), v + 1]
+        l, w = l + lo * step, step * (hi - lo)
+        while len(go := _renormalised(l, w)):
+            j = lanes[go]
+            c[go] = ((c[go] << 8) & MASK) | data[j, np.minimum(at[j], data.shape[1] - 1)]
+            at[j] += 1
+            l[go], w[go] = (l[go] << 8) & MASK, (w[go] << 8) & MASK
+        low[lanes], width[lanes], code[lanes] = l, w, c
+    out, k = [], 0
+    for n in counts:
+        lanes = -(-n // LANE)
+        out.append(text[k : k + lanes].astype(np.uint8).reshape(-1)[:n].tobytes())
+        k += lanes
+    return out
 
 
 def model_of(counts: DataFrame) -> Model:
@@ -96,8 +152,10 @@ def _each(df: DataFrame, column: str, new: str, f, model: Model) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("block", pa.int64()), ("n", pa.int32()), (new, pa.binary())])
         for batch in batches:
-            done = [f(bytes(x.as_py()), n.as_py(), sent.value) for n, x in zip(batch.column(1), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(done, pa.binary())], schema=schema)
+            for lo in range(0, batch.num_rows, 8):
+                part = batch.slice(lo, 8)
+                done = f([bytes(x) for x in part.column(2).to_pylist()], part.column(1).to_pylist(), sent.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(done, pa.binary())], schema=schema)
 
     return df.select("block", "n", column).mapInArrow(run, f"block long, n int, {new} binary")
 

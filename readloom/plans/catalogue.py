@@ -19,7 +19,7 @@ from .derived import CANDIDATES_SQL, CORES_SQL, FOUND_SQL, FREQUENT_SQL, MATES_S
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-SAMPLE, OFFSET, PERCENT = 1000, 33, 30
+SAMPLE, OFFSET, PERCENT = 100_000, 33, 30
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -76,10 +76,14 @@ def fastq_roundtrip(spark, sf_dir):
 
 @query(over_reads("select read_id % 3 as file, count(*) as n_reads, cast(sum(length(seq)) as bigint) as n_bases from reads group by 1"))
 def multi_file_union(spark, sf_dir):
+    """Files in three codecs, read together; the file tells where a read comes from."""
+    path = shared_path(spark, "files")
     reads = derived.reads(spark, sf_dir)
-    files = [reads.where(F.col("read_id") % 3 == k).withColumn("file", F.lit(k).cast("long")) for k in range(3)]
-    whole = files[0].unionByName(files[1]).unionByName(files[2])
-    return whole.groupBy("file").agg(F.count("*").alias("n_reads"), F.sum(F.length("seq")).alias("n_bases"))
+    for k, codec in enumerate(("none", "gzip", "bzip2")):
+        textfiles.write_records(reads.where(F.col("read_id") % 3 == k), f"{path}/{k}", "read_id", codec=codec)
+    whole = textfiles.read_records(spark, [f"{path}/{k}" for k in range(3)])
+    source = F.element_at(F.split("file", "/"), -2).cast("long")
+    return whole.groupBy(source.alias("file")).agg(F.count("*").alias("n_reads"), F.sum(F.length("seq")).alias("n_bases"))
 
 
 @query("select p_partkey, case p_partkey % 3 when 0 then 'gzip' when 1 then 'bzip2' else 'plain' end as codec from part")
@@ -391,12 +395,12 @@ def ctx_order2(spark, sf_dir):
     return context.order2(_stream(spark, sf_dir))
 
 
-_DEPTH = 44
-_SMOOTH = f"full_ctx as (select a.i::integer as p2, b.i::integer as p1, c.i::integer as v, coalesce(n, 0) + 1 as n from range({_DEPTH}) a(i) cross join range({_DEPTH}) b(i) cross join range({_DEPTH}) c(i) left join ctx on p2 = a.i and p1 = b.i and v = c.i), smooth as (select p2, p1, v, greatest(1, n // (1 + (select sum(n)::bigint from full_ctx) // 100000)) as n from full_ctx)"
+_DEPTH, _LARGEST = context.DEPTH, context.LARGEST
+_SMOOTH = f"full_ctx as (select a.i::integer as p2, b.i::integer as p1, c.i::integer as v, coalesce(n, 0) + 1 as n from range({_DEPTH}) a(i) cross join range({_DEPTH}) b(i) cross join range({_DEPTH}) c(i) left join ctx on p2 = a.i and p1 = b.i and v = c.i), smooth as (select p2, p1, v, greatest(1, n // (1 + (select sum(n)::bigint from full_ctx) // {_LARGEST})) as n from full_ctx)"
 
 
 def _smooth(spark, sf_dir):
-    return context.smoothed(context.order2(_stream(spark, sf_dir)), depth=_DEPTH, largest=100_000)
+    return context.smoothed(context.order2(_stream(spark, sf_dir)), depth=_DEPTH, largest=_LARGEST)
 
 
 @query(f"with {_ORDER2}, {_SMOOTH} select * from smooth")
@@ -453,6 +457,14 @@ def archive_roundtrip(spark, sf_dir):
     return archive.read(spark, path).select("read_id", "name", "seq", "qual")
 
 
+@query(SQL["archive_roundtrip"])
+def archive_arithmetic(spark, sf_dir):
+    """The same with entropy-coded qualities and their stored model."""
+    path = shared_path(spark, "archive")
+    archive.write(derived.reads(spark, sf_dir), derived.cores(spark, sf_dir), path, arithmetic=True)
+    return archive.read(spark, path).select("read_id", "name", "seq", "qual")
+
+
 @query(over_found(f"select count(*) as n_reads, sum(length(seq))::bigint as n_bases, round(sum(ceil((length(seq) - coalesce(length(core), 0)) / 4.0)) * 8.0 / sum(length(seq)), 6)::double as bits_per_base, round(sum(length(qual)) * 8.0 / sum(length(seq)), 6)::double as bits_per_quality from found"))
 def size_report(spark, sf_dir):
     return archive.size_report(archive.encode(derived.reads(spark, sf_dir), derived.cores(spark, sf_dir), {}, OFFSET))

@@ -1,4 +1,5 @@
-"""The archive: Parquet tables of encoded reads in bin order, of the cores, and of the options.
+"""The archive: Parquet tables of encoded reads in bin order, of the cores, and of the options; with arithmetic coding
+also of the qualities in coded blocks and of the model, a pair of tables for each mate.
 
 Reading an archive gives the reads back in bin order. Lost by design: what follows the first blank of a name, letter
 case, other letters than the four bases and N (they become A), the quality of an N; a base of quality 0 becomes N.
@@ -6,15 +7,20 @@ case, other letters than the four bases and N (they become A), the quality of an
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases, names, quality
-from ..operators import cluster, cores, lossy
+from ..operators import cluster, codec, context, cores, lossy
+from ..storage import Steps
 
-CODECS = {"none": "none", "gzip": "gzip", "bzip2": "zstd", "parallel-gzip": "gzip", "zstd": "zstd"}  # Parquet has no bzip2
+#: Names of codecs and what Parquet calls them; it has no bzip2.
+CODECS = {"none": "none", "gzip": "gzip", "parallel-gzip": "gzip", "zstd": "zstd"}
+READS_A_BLOCK = 4096
 
 
 def _quality(seq, qual, mapping: Mapping[int, int], offset: int):
@@ -61,27 +67,107 @@ def decode(encoded: DataFrame, dictionary: DataFrame, offset: int, library: str
     return rows.select(*out)
 
 
-def write(reads: DataFrame, dictionary: DataFrame, path: str, percent: int = 0, sample: int = 100_000, codec: str = "zstd", library: str | None = None) -> None:
-    """Encodes reads and writes the archive: reads/, cores/ and options/ under path."""
+def _coded(rows: DataFrame, column: str, offset: int, path: str, compression: str) -> None:
+    """Writes the symbols of a column of qualities as coded blocks of READS_A_BLOCK reads in their order, and the model.
+    lengths: of the reads of a block, -1 for a null."""
+    spark = rows.sparkSession
+    values = quality.rebased(quality.symbols(F.col(column)), F.lit(offset))
+    known = rows.select("place", F.col(column).isNull().alias("none"), F.coalesce(values, F.array().cast("array<int>")).alias("v"))
+    if not known.where(F.exists("v", lambda x: x >= context.DEPTH)).isEmpty():
+        raise ValueError(f"a quality of {context.DEPTH} or more can't be coded: write without arithmetic coding")
+    counts = context.order2(context.streams(known.where("size(v) > 0"), F.col("v"), order="place"))
+    counts.write.option("compression", compression).parquet(f"{path}/model")
+    model = codec.model_of(spark.read.parquet(f"{path}/model"))
+    block = F.expr(f"place div {READS_A_BLOCK}")
+    ordered = F.array_sort(F.collect_list(F.struct("place", F.when(F.col("none"), -1).otherwise(F.size("v")).alias("n"))))  # at most READS_A_BLOCK
+    lengths = known.groupBy(block.alias("block")).agg(F.transform(ordered, lambda x: x.n).alias("lengths"), F.min("place").alias("first"))
+    done = codec.encoded(codec.blocks(known, "v", ordinal="place", reads_a_block=READS_A_BLOCK), model)
+    done.join(lengths, "block").write.option("compression", compression).parquet(f"{path}/blocks")
+
+
+def _decoded(spark: SparkSession, path: str, offset: int, name: str) -> DataFrame:
+    """(place, name): the qualities of coded blocks."""
+    stored = spark.read.parquet(f"{path}/blocks")
+    symbols = codec.decoded(stored, codec.model_of(spark.read.parquet(f"{path}/model")))
+    rows = symbols.join(stored.select("block", "first", "lengths"), "block").select("first", "lengths", "symbols")
+
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, lengths, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = (np.frombuffer(data, dtype=np.uint8) + np.uint8(offset)).tobytes().decode("latin-1")
+                ends = np.cumsum(np.maximum(lengths, 0)).tolist()
+                cut = [None if n < 0 else text[e - n : e] for n, e in zip(lengths, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(cut)), pa.int64()), pa.array(cut, pa.string())], names=["place", name])
+
+    return rows.mapInArrow(split, f"place long, {name} string")
+
+
+def write(
+    reads: DataFrame, dictionary: DataFrame, path: str, percent: int = 0, sample: int = 100_000, compression: str = "zstd", library: str | None = None, arithmetic: bool = False,
+) -> None:
+    """Encodes reads and writes the archive: reads/, cores/ and options/ under path. arithmetic: qualities are entropy-coded
+    in tables of their own (arithmetic/qual and arithmetic/qual2), else they are strings that the codec compresses."""
+    if compression not in CODECS:
+        raise ValueError(f"{compression}: an archive is compressed by one of {', '.join(sorted(CODECS))}")
     spark = reads.sparkSession
     mapping, offset = lossy.fitted(reads, percent, sample)
     mapping2, offset2 = mapping, offset
     if "qual2" in reads.columns:
         mapping2, offset2 = lossy.fitted(reads.select("read_id", F.col("qual2").alias("qual")), percent, sample)
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = encode(reads, dictionary, mapping, offset, mapping2=mapping2, offset2=offset2)
     if library:
         rows = rows.drop("name").withColumn("name", F.lit(None).cast("string"))
-    rows.repartitionByRange(n, "place").sortWithinPartitions("place").write.option("compression", CODECS[codec]).parquet(f"{path}/reads")
+    # The ranges of places are written as they were sorted and stored.
+    qualities = [(c, o) for c, o in (("qual", offset), ("qual2", offset2)) if arithmetic and c in rows.columns]
+    rows.drop(*[c for c, _ in qualities]).write.option("compression", CODECS[compression]).parquet(f"{path}/reads")
+    with Steps(spark) as steps:
+        if qualities:
+            rows = steps.kept(rows.select("place", *[c for c, _ in qualities]), "qualities")
+        for column, base in qualities:
+            _coded(rows, column, base, f"{path}/arithmetic/{column}", CODECS[compression])
     dictionary.write.parquet(f"{path}/cores")
     tables = [{int(a): int(b) for a, b in m.items()} for m in (mapping, mapping2)]
-    schema = "phred_offset int, percent int, library string, mapping map<int,int>, phred_offset2 int, mapping2 map<int,int>"
-    spark.createDataFrame([(offset, percent, library, tables[0], offset2, tables[1])], schema).coalesce(1).write.parquet(f"{path}/options")
+    schema = "phred_offset int, percent int, library string, mapping map<int,int>, phred_offset2 int, mapping2 map<int,int>, arithmetic array<string>"
+    spark.createDataFrame([(offset, percent, library, tables[0], offset2, tables[1], [c for c, _ in qualities])], schema).coalesce(1).write.parquet(f"{path}/options")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    options = spark.read.parquet(f"{path}/options").first()
-    return decode(spark.read.parquet(f"{path}/reads"), spark.read.parquet(f"{path}/cores"), options.phred_offset, options.library, options.asDict().get("phred_offset2"))
+    options = spark.read.parquet(f"{path}/options").first().asDict()
+    rows, offset2 = spark.read.parquet(f"{path}/reads"), options.get("phred_offset2")
+    for column in options.get("arithmetic") or []:
+        base = offset2 if column == "qual2" else options["phred_offset"]
+        rows = rows.join(_decoded(spark, f"{path}/arithmetic/{column}", base, column), "place")
+    return decode(rows, spark.read.parquet(f"{path}/cores"), options["phred_offset"], options["library"], offset2)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Of a file, or of all files in a folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def run_report(spark: SparkSession, path: str, inputs: list[str]) -> dict[str, float]:
+    """What an archive holds and what it saves: reads, those in bins in percent, bits a base and a quality symbol as
+    stored in memory, bytes of the input files and of the archive, and their factor."""
+    rows = spark.read.parquet(f"{path}/reads")
+    coded = spark.read.parquet(f"{path}/options").first().asDict().get("arithmetic") or []
+    mates = [m for m in ("", "2") if f"payload{m}" in rows.columns]
+    total = lambda column: F.coalesce(F.sum(column), F.lit(0))
+    found = rows.agg(
+        F.count("*").alias("reads"), F.count("core_id").alias("binned"),
+        *[total(F.octet_length(f"payload{m}")).alias(f"packed{m}") for m in mates], *[total(f"read_length{m}").alias(f"bases{m}") for m in mates],
+        *[total(F.octet_length(f"qual{m}")).alias(f"quality{m}") for m in mates if f"qual{m}" in rows.columns],
+    ).first().asDict()
+    for column in coded:
+        blocks = spark.read.parquet(f"{path}/arithmetic/{column}/blocks").agg(total(F.octet_length("coded")).alias("n")).first()
+        found[column.replace("qual", "quality")] = blocks.n
+    out: dict[str, float] = {"reads": found["reads"], "bucketed_percent": round(100 * found["binned"] / max(1, found["reads"]), 2)}
+    for m in mates:
+        n = max(1, found[f"bases{m}"])
+        out[f"bits_per_base{m}"], out[f"bits_per_quality{m}"] = round(8 * found[f"packed{m}"] / n, 3), round(8 * found[f"quality{m}"] / n, 3)
+    out["original_bytes"], out["new_bytes"] = sum(stored_bytes(spark, p) for p in inputs), stored_bytes(spark, path)
+    out["factor"] = round(out["original_bytes"] / max(1, out["new_bytes"]), 3)
+    return out
 
 
 def size_report(encoded: DataFrame) -> DataFrame:

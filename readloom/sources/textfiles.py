@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bz2
 import gzip
 from collections.abc import Iterable, Iterator
 
@@ -42,7 +43,8 @@ def _unsuffixed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path in batch.column(0).to_pylist():
             fs, name = _opened(path)
-            with fs.open_input_file(name) as raw, gzip.open(raw, "rt", encoding="utf-8", newline="\n") as lines:
+            unpacked = {"gzip": gzip.open, "bzip2": bz2.open}[codec(path)]
+            with fs.open_input_file(name) as raw, unpacked(raw, "rt", encoding="utf-8", newline="\n") as lines:
                 part: list[str] = []
                 at = 0
                 for line in lines:
@@ -56,7 +58,7 @@ def _unsuffixed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file, line_no, value): every line with its number from 0. A plain file is read in blocks by many tasks; the
     lines of each block are counted (a number a block goes to the driver) and a block's start added."""
-    hidden = [p for p in paths if not p.endswith((".gz", ".bz2")) and codec(p) == "gzip"]
+    hidden = [p for p in paths if not p.endswith((".gz", ".bz2")) and codec(p) != "plain"]
     plain = [p for p in paths if p not in hidden]
     columns = ["value", "file", "block", "m"]
     parts = []
@@ -153,7 +155,7 @@ def write_records(reads: DataFrame, path: str, order: str, qualities: bool = Tru
     sorted_.select(record_text(F.col("name"), F.col("seq"), F.col("qual") if qualities else None).alias("value")).write.option("compression", codec).text(path)
 
 
-def write_parts(placed: DataFrame, path: str, qualities: bool = True) -> None:
+def write_parts(placed: DataFrame, path: str, qualities: bool = True, codec: str = "none") -> None:
     """A folder part=k for each part of operators.cluster.parts."""
     sorted_ = placed.repartition("part").sortWithinPartitions("part", "at")
-    sorted_.select("part", record_text(F.col("name"), F.col("seq"), F.col("qual") if qualities else None).alias("value")).write.partitionBy("part").text(path)
+    sorted_.select("part", record_text(F.col("name"), F.col("seq"), F.col("qual") if qualities else None).alias("value")).write.partitionBy("part").option("compression", codec).text(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bz2
 import gzip
 import random
 
@@ -25,13 +26,13 @@ def records():
     return out + [(f"x{i}", "".join(rng.choices("ACGT", k=5)), "".join(rng.choices("@#$IJ", k=5))) for i in range(200)]
 
 
-@pytest.mark.parametrize("name", ["a.fq", "a.fq.gz", "hidden"])
+@pytest.mark.parametrize("name", ["a.fq", "a.fq.gz", "hidden", "hidden-bz", "a.fq.bz2"])
 def test_reading(spark, tmp_path, records, name):
     path, text = tmp_path / name, four_lines(records) + "@incomplete\nACG\n"
-    path.write_bytes(text.encode() if name == "a.fq" else gzip.compress(text.encode()))
+    path.write_bytes(text.encode() if name == "a.fq" else (bz2 if "bz" in name else gzip).compress(text.encode()))
     got = textfiles.read_records(spark, [str(path)]).orderBy("ordinal").collect()
     assert [(r.name, r.seq, r.qual) for r in got] == [(f"@{n}", s, q) for n, s, q in records]
-    assert textfiles.codec(str(path)) == ("plain" if name == "a.fq" else "gzip")
+    assert textfiles.codec(str(path)) == ("plain" if name == "a.fq" else "bzip2" if "bz" in name else "gzip")
 
 
 def test_blocks_of_a_file_keep_their_order(spark, tmp_path, records):
@@ -72,8 +73,8 @@ def test_bin_order(spark):
     assert [r.core for r in cluster.bin_order(found).orderBy("bin").collect()] == ["AC", "TT", "AAC", "GTA", None]
 
 
-@pytest.mark.parametrize("percent", [0, 30])
-def test_archive(spark, tmp_path, percent):
+@pytest.mark.parametrize(("percent", "arithmetic"), [(0, False), (30, False), (0, True)])
+def test_archive(spark, tmp_path, percent, arithmetic):
     rng = random.Random(2)
     entries = ["ACGT", "GGATC", "TTTTTT"]
     rows = []
@@ -83,7 +84,7 @@ def test_archive(spark, tmp_path, percent):
         rows.append((i, f"@n{i} x", seq, qual, seq[::-1], qual[::-1]))
     reads = spark.createDataFrame(rows, "read_id long, name string, seq string, qual string, seq2 string, qual2 string")
     dictionary = cores.dictionary(spark.createDataFrame(list(enumerate(entries)), "core_id int, core string"))
-    archive.write(reads, dictionary, str(tmp_path / "a"), percent=percent)
+    archive.write(reads, dictionary, str(tmp_path / "a"), percent=percent, arithmetic=arithmetic)
     back = {r.read_id: r for r in archive.read(spark, str(tmp_path / "a")).collect()}
     assert len(back) == len(rows)
     for i, name, seq, qual, seq2, qual2 in rows:
@@ -130,10 +131,30 @@ def test_ordinals_do_not_depend_on_partitions(spark):
 def test_coder():
     rng = random.Random(4)
     for k in (1, 2, 7, 40, 80):
-        for n in (0, 1, 2, 3, 600):
+        for n in (0, 1, 2, 3, 600, codec.LANE, codec.LANE + 1, codec.LANE + 2, 9000):
             text = bytes(rng.choices(range(k), k=n))
             model = codec.Model.of((a, b, c, 5) for a, b, c in zip(text, text[1:], text[2:]))
-            assert codec.decode(codec.encode(text, model), n, model) == text
+            several = [text, text[:5], b"", text[::-1]]
+            assert codec.decode(codec.encode(several, model), [len(x) for x in several], model) == several
+    skewed = bytes(rng.choices(range(16), weights=[2**k for k in range(16)], k=50_000))
+    model = codec.Model.of((a, b, c, 1) for a, b, c in zip(skewed, skewed[1:], skewed[2:]))
+    assert len(codec.encode([skewed], model)[0]) < 0.3 * len(skewed)
+
+
+def test_arithmetic_archive_of_odd_qualities(spark, tmp_path):
+    """Missing, short and long ones; a symbol that the model can't hold is refused."""
+    rows = [(i, f"@n{i}", "ACGT" * (i % 4 + 1), None if i % 5 == 0 else "5GI"[i % 3] * (4 * (i % 4 + 1))) for i in range(9000)]
+    reads = spark.createDataFrame(rows, "read_id long, name string, seq string, qual string")
+    dictionary = cores.dictionary(spark.createDataFrame([(0, "GTAC")], "core_id int, core string"))
+    archive.write(reads, dictionary, str(tmp_path / "a"), arithmetic=True)
+    assert sorted((r.read_id, r.name, r.seq, r.qual) for r in archive.read(spark, str(tmp_path / "a")).collect()) == rows
+    report = archive.run_report(spark, str(tmp_path / "a"), [])
+    assert report["reads"] == 9000 and report["bits_per_quality"] < 3
+    high = spark.createDataFrame([(1, "@n", "ACGT", "!~~!")], reads.schema)
+    with pytest.raises(ValueError):
+        archive.write(high, dictionary, str(tmp_path / "b"), arithmetic=True)
+    with pytest.raises(ValueError):
+        archive.write(high, dictionary, str(tmp_path / "c"), compression="bzip2")
 
 
 def test_contexts_cross_reads(spark):
@@ -165,11 +186,13 @@ def test_command_line(spark, tmp_path, records, capsys):
     (tmp_path / "p.txt").write_text("ACG TTT\nGAT\n")
     out, one = str(tmp_path / "arch"), str(tmp_path / "a_1.fq")
     assert main(["encode", one, "-o", out, "-P", str(tmp_path / "p.txt")]) == 0
+    said = capsys.readouterr().err
+    assert f"reads: {len(records)}" in said and "factor: " in said and "bits per quality: " in said
     assert main(["decode", out, "-o", "-"]) == 0
     lines = capsys.readouterr().out.splitlines()
     got = sorted(zip(lines[::4], lines[1::4], lines[3::4], strict=True))
     assert [(n, q) for n, _, q in got] == sorted((f"@{n.split(' ')[0]}", "".join("!" if c == "N" else x for c, x in zip(s, q, strict=True))) for n, s, q in plain)
-    assert main(["encode", one, "-o", out + "2", "-r", "-n", "lib"]) == 0
+    assert main(["encode", one, "-o", out + "2", "-r", "-n", "lib", "-A"]) == 0
     assert main(["decode", out + "2", "-o", str(tmp_path / "d"), "-S", "50"]) == 0
     assert sorted(spark.read.text(f"{tmp_path}/d/2/part=5").toPandas().value.str.startswith("@lib.").tolist()).count(True) >= 3
     assert main(["encode", one, "-o", "x", "-p", "101"]) == 1
