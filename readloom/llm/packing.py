@@ -7,8 +7,12 @@ Whole sequences cut from long documents never wait. Each task packs what it read
 of pieces waiting, so nothing is shuffled and memory does not depend on the input; what is left at the end
 of a task goes into sequences whose lengths are powers of two, which need no padding.
 
-Defined cases: null and empty texts are the end token alone; null ids pass through; repeated rows are
-packed each; an empty table gives an empty result; other columns are ignored.
+In instruction data the turns of the assistant bear loss: pack_conversations has a limit of its own on their tokens. Of
+plain documents all tokens bear loss.
+
+Defined cases: null and empty texts are the end token alone; very long texts are cut into whole sequences; null ids pass
+through; a null in the column of loss bears none; repeated rows are packed each; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +28,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
 VOCABULARY, END = "byte_bpe_50k", 1
 LENGTH, SEGMENTS, WAITING = 2048, 512, 1024
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
+COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
 @dataclass
@@ -180,14 +185,15 @@ def encoder(name: str = VOCABULARY):
 
 
 def _row(piece: Piece, sequence: int, offset: int) -> tuple:
-    return (piece.key, piece.start, len(piece.ids), zlib.crc32(piece.ids.tobytes()), piece.total, sequence, offset, piece.lossy)
+    return (*piece.key, piece.start, len(piece.ids), zlib.crc32(piece.ids.tobytes()), piece.total, sequence, offset, piece.lossy)
 
 
-def _packed(batches: Iterable[pa.RecordBatch], options: dict, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...], options: dict, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (keys, text, whether it bears loss)."""
     encode, packer = encoder(), Packer(**options)
     base, rows, ids = TaskContext.get().partitionId() << 40, [], []
     count = 0
-    types = [("doc_id", pa.int64()), *((x, pa.int64()) for x in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"))]
+    types = [(x, pa.int64()) for x in (*keys, *COLUMNS)]
     schema = pa.schema(types + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def put(sequences: Iterable[list[Piece]]) -> None:
@@ -209,21 +215,31 @@ def _packed(batches: Iterable[pa.RecordBatch], options: dict, with_ids: bool) ->
         return out
 
     for batch in batches:
-        texts = batch.column(1)
-        for i, key in enumerate(batch.column(0).to_pylist()):
+        texts, bears = batch.column(len(keys)), batch.column(len(keys) + 1)
+        for i, key in enumerate(zip(*(c.to_pylist() for c in batch.columns[: len(keys)]), strict=True)):
             got = np.append(encode(texts[i].as_py() or ""), np.uint32(END)).astype("<u4")
-            put(packer.add(Piece(key, got, len(got))))
+            put(packer.add(Piece(key, got, len(got), loss=None if bears[i].as_py() else np.zeros(len(got), dtype=bool))))
             if len(rows) >= 4096:
                 yield flush()
     put(packer.finish())
     yield flush()
 
 
+def _pack(rows: DataFrame, keys: tuple[str, ...], limits: dict[str, int], with_ids: bool) -> DataFrame:
+    schema = ", ".join(f"{x} long" for x in (*keys, *COLUMNS)) + ", ids array<int>" * with_ids
+    return rows.mapInArrow(lambda batches: _packed(batches, keys, limits, with_ids), schema)
+
+
 def pack_documents(docs: DataFrame, with_ids: bool = False, **limits: int) -> DataFrame:
     """A row a piece; sequence_id has the task's number in its high bits. with_ids adds the token ids."""
-    return docs.select("doc_id", "text").mapInArrow(
-        lambda batches: _packed(batches, limits, with_ids), SCHEMA + ", ids array<int>" * with_ids
-    )
+    return _pack(docs.select("doc_id", "text", F.lit(True)), ("doc_id",), limits, with_ids)
+
+
+def pack_conversations(turns: DataFrame, with_ids: bool = False, loss_tokens: int = LENGTH // 2, role: str = "assistant", **limits: int) -> DataFrame:
+    """A row a piece of the turns (conv_id, turn, role, text), an example each; the turns of role bear loss, and
+    no sequence holds more than loss_tokens of them. start and doc_tokens count within the turn."""
+    rows = turns.select("conv_id", "turn", "text", F.coalesce(F.col("role") == role, F.lit(False)))
+    return _pack(rows, ("conv_id", "turn"), {"loss_tokens": loss_tokens, **limits}, with_ids)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
