@@ -176,6 +176,29 @@ def test_limits_hold_together(seed):
     assert all(sorted(x) == list(range(len(x))) for x in seen.values())
 
 
+def test_packing_conversations(spark):
+    """All three limits bind, and every id of every turn lies in exactly one piece."""
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    rows = [(c, t, ("user", "assistant", "system", None)[(t + c) % (2 if c % 3 else 4)], say(rng.choice([0, 1, 3, 40, 700]))) for c in range(60) for t in range(5)]
+    rows += [(None, 0, "assistant", "a b c"), (90, 0, "assistant", None), (7, 1, "user", "twice"), (7, 1, "user", "twice")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("offset", F.lit(1)).repartition(2)
+    got = packing.pack_conversations(turns, with_ids=True, tokens=512, segments=6, loss_tokens=128).collect()
+    back, sequences = {}, {}
+    for r in got:
+        back.setdefault((r.conv_id, r.turn), []).extend(r.ids)
+        sequences.setdefault(r.sequence_id, []).append(r)
+    want = {}
+    for c, t, _, text in rows:
+        want.setdefault((c, t), []).extend(tokens(text))
+    assert {k: sorted(v) for k, v in back.items()} == {k: sorted(v) for k, v in want.items()}
+    totals = [(sum(r.length for r in s), len(s), sum(r.loss_tokens for r in s)) for s in sequences.values()]
+    assert all(a <= 512 and b <= 6 and c <= 128 for a, b, c in totals)
+    assert any(a == 512 for a, _, _ in totals) and any(b == 6 for _, b, _ in totals) and any(c == 128 for _, _, c in totals)
+    lossy = sum(len(tokens(text)) for _, _, role, text in rows if role == "assistant")
+    assert sum(c for _, _, c in totals) == lossy
+
+
 def test_an_example_over_the_limits():
     with pytest.raises(ValueError):
         list(packing.Packer(cuts=False).add(packing.Piece(1, np.zeros(3000, dtype="<u4"), 3000)))
