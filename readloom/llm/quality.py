@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import Steps, stored, table
 
 RISK, CONFIDENCE, LOSS, WINDOW = 0.05, 0.95, 20, 5
 #: From lenient to strict.
@@ -160,11 +160,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *COUNTS, "base_failed", "kept", "rule", "stratum")
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """The same rows, computed before any filter above: the optimizer moves filters below projections and
+    would repeat the work on the text for every mention of a column."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_x")).select("_x.*")
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go. Counts and scores of each text are stored beside its row;
-    labels meet the numbers alone, and rows are filtered as they lie: no text is shuffled or judged twice."""
+    """Pipeline stage: documents that the rules reject go. Numbers of all texts are stored and meet the labels; rows are
+    then judged as they pass. So a text is judged twice, but neither shuffled nor stored beside the result."""
     labels = table(spark, sf_dir, "labels", "doc_id", "quality")
     names = [c for c in ("doc_id", "text", "lang") if c in docs.columns]
+    with Steps(spark) as steps:
+        numbers = steps.kept(features(docs.select(*names)).drop("text", "lang"), "quality")
+        cuts = cutoffs(numbers, labels)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *names)
-    scored = stored(features(rows).drop("text", "lang"), "quality")
-    return judged(scored, cutoffs(scored.drop("_row"), labels)).where("kept").select("_row.*")
+    return judged(_settled(features(rows).drop("text", "lang")), cuts).where("kept").select("_row.*")
