@@ -159,6 +159,16 @@ def test_licences(spark, odd, none):
     assert licenses.scan(odd).count() == licenses.scan(none).count() == 0
 
 
+def test_quality_stage(spark, docs, odd, none, tmp_path):
+    """Tables without languages, with clashing columns, and empty ones."""
+    spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for df in (docs, docs.drop("lang"), odd, none):
+        out = quality.keep_good(spark, df, str(tmp_path))
+        assert out.columns == df.columns
+        good = [r for r in df.collect() if not counted(r.text)[-1]]
+        assert sorted(map(str, out.collect())) == sorted(map(str, good))
+
+
 def test_every_template_is_found(spark):
     """Alone, wrapped, behind other words, and as a comment; none as another family."""
     docs, want = [], {}
