@@ -258,7 +258,28 @@ def symbol_local_maxima(spark, sf_dir):
     return lossy.local_maxima(_counts(spark, sf_dir))
 
 
-@query()
+_ERROR = "power(10.0::double, -({c} - base) / 10.0::double)"
+_MEAN = f"list_sum(list_transform(range({{lo}}, {{hi}}), lambda x: {_ERROR.format(c='x')})) / ({{hi}} - {{lo}})"
+_ABOVE = f"{_MEAN.format(lo='c', hi='sym + 1')} > {_ERROR.format(c='sym')} * (1 + {PERCENT} / 100.0::double)"
+_BELOW = f"{_MEAN.format(lo='sym', hi='c + 1')} < {_ERROR.format(c='sym')} * (1 - {PERCENT} / 100.0::double)"
+#: Frequent maxima in turn: a walk to either side ends before the first symbol that is taken or moves the mean too far.
+_FITTED = f"""{READS_SQL}, hist as materialized ({_HISTOGRAM}),
+base as materialized (select case when bool_or(sym between 33 and 63) then 33 else 64 end as base from hist),
+maxima as (select sym, n from (select sym, n, lag(n, 1, 0) over (order by sym) as a, lead(n, 1, 0) over (order by sym) as b
+  from (select i as sym, coalesce(n, 0) as n from range({lossy.SYMBOLS}) r(i) left join hist on hist.sym = i) d) e where n > 0 and n >= a and n >= b),
+turns as materialized (select sym, row_number() over (order by n desc, sym) as turn from maxima),
+steps as (
+  select 0::bigint as turn, base, list_transform(range({lossy.SYMBOLS}), lambda c: case when c >= base and 100 * {_ERROR.format(c='c')} > {lossy.DISCARD_PERCENT} then base::bigint else -1 end) as repl from base
+  union all
+  select turn, base, case when repl[sym + 1] >= 0 then repl else list_transform(range({lossy.SYMBOLS}), lambda c: case when c between lo and hi then sym else repl[c + 1] end) end
+  from (select t.turn, base, repl, sym,
+    coalesce(list_max(list_filter(range(0, sym), lambda c: repl[c + 1] >= 0 or {_ABOVE})) + 1, sym) as lo,
+    coalesce(list_min(list_filter(range(sym + 1, {lossy.SYMBOLS}), lambda c: repl[c + 1] >= 0 or {_BELOW})) - 1, sym) as hi
+    from steps s join turns t on t.turn = s.turn + 1) w),
+fitted as materialized (select base, list_transform(repl, lambda r, i: case when r < 0 then i - 1 else r end) as repl from steps order by turn desc limit 1)"""
+
+
+@query(f"with recursive {_FITTED} select i::integer as sym, repl[i + 1]::integer as repl, base::integer as \"offset\" from fitted cross join range({lossy.SYMBOLS}) r(i)")
 def lossy_table(spark, sf_dir):
     """All symbols with their replacements."""
     mapping, base = lossy.fitted(derived.reads(spark, sf_dir, unknown=False), PERCENT, SAMPLE)
@@ -266,7 +287,7 @@ def lossy_table(spark, sf_dir):
     return spark.createDataFrame(rows, "sym int, repl int, offset int")
 
 
-@query()
+@query(f"with recursive {_FITTED} select read_id, {each('range(1, length(qual) + 1)', 'chr(repl[ord(substr(qual, i, 1)) + 1]::integer)')} as qual from reads cross join fitted")
 def lossy_apply(spark, sf_dir):
     reads = derived.reads(spark, sf_dir, unknown=False)
     mapping, base = lossy.fitted(reads, PERCENT, SAMPLE)
