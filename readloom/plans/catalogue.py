@@ -94,6 +94,26 @@ def codec_sniff(spark, sf_dir):
     return part.select("p_partkey", textfiles.codec_column(head).alias("codec"))
 
 
+_ORDERED_CORES = f"with {CORES_SQL} select core_id, core from cores"
+
+
+@query(_ORDERED_CORES)
+def pattern_text(spark, sf_dir):
+    """The cores as words of one text file, read again; a dictionary is small beside the reads."""
+    path = shared_path(spark, "words")
+    derived.cores(spark, sf_dir).orderBy("core_id").coalesce(1).select("core").write.text(path)
+    return textfiles.read_patterns(spark, path)
+
+
+@query(_ORDERED_CORES)
+def pattern_packed(spark, sf_dir):
+    """The same in a packed file."""
+    path = shared_path(spark, "packed")
+    cores = [r.core for r in derived.cores(spark, sf_dir).orderBy("core_id").select("core").collect()]
+    textfiles.write_packed_patterns(cores, path)
+    return textfiles.read_packed_patterns(spark, path)
+
+
 # Names.
 
 
@@ -486,6 +506,16 @@ def archive_arithmetic(spark, sf_dir):
     return archive.read(spark, path).select("read_id", "name", "seq", "qual")
 
 
+@query(f"with t as ({SQL['archive_roundtrip']}) select read_id, name, substr(seq, 1, 48 - (read_id % 9)::integer) as seq, substr(qual, 1, 48 - (read_id % 9)::integer) as qual from t")
+def archive_variable_length(spark, sf_dir):
+    """The same with reads of 40 to 48 bases: each row keeps its own length."""
+    path = shared_path(spark, "archive")
+    n = (48 - F.col("read_id") % 9).cast("int")
+    cut = derived.reads(spark, sf_dir).withColumns({c: F.substring(c, F.lit(1), n) for c in ("seq", "qual")})
+    archive.write(cut, derived.cores(spark, sf_dir), path, arithmetic=True)
+    return archive.read(spark, path).select("read_id", "name", "seq", "qual")
+
+
 @query(over_found(f"select count(*) as n_reads, sum(length(seq))::bigint as n_bases, round(sum(ceil((length(seq) - coalesce(length(core), 0)) / 4.0)) * 8.0 / sum(length(seq)), 6)::double as bits_per_base, round(sum(length(qual)) * 8.0 / sum(length(seq)), 6)::double as bits_per_quality from found"))
 def size_report(spark, sf_dir):
     return archive.size_report(archive.encode(derived.reads(spark, sf_dir), derived.cores(spark, sf_dir), {}, OFFSET))

@@ -135,6 +135,13 @@ def packed_patterns(cores: list[str]) -> bytes:
     return bytes(out)
 
 
+def write_packed_patterns(cores: list[str], path: str) -> None:
+    fs, name = _opened(path)
+    fs.create_dir(name.rpartition("/")[0] or ".")
+    with fs.open_output_stream(name) as f:
+        f.write(packed_patterns(cores))
+
+
 def read_packed_patterns(spark: SparkSession, path: str) -> DataFrame:
     fs, name = _opened(path)
     with fs.open_input_file(name) as f:
