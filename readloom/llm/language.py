@@ -5,8 +5,9 @@ DIMENSIONS counts. Training is follow-the-regularised-leader (per-coordinate ste
 on a bounded sample of labelled rows, on the driver; a temperature is then fitted on the part of the sample
 that training did not see. Predictions read every whole text, block by block.
 
-The sample has at most about SAMPLE documents, dealt evenly to the languages by a hash of the id; it is the only
-thing that is bounded, and what it holds of a text is its counts.
+The sample has at most about SAMPLE documents, dealt evenly to the languages by a hash of the id, and never over twice
+that, also where many rows share an id. Of a column with more than LANGUAGES values the most frequent are learned (ties
+by name). Only these two are bounded, and what the sample holds of a text is its counts.
 
 Defined cases: text that is null or has no letter: `und` with score 0, so also everything where no language
 can be learned; null labels are not learned from; a null doc_id is never held out nor learned from;
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SAMPLE, DIMENSIONS, EPOCHS, FOLDS, HELD_OUT = 4000, 1 << 14, 3, 4, 2
+SAMPLE, LANGUAGES, DIMENSIONS, EPOCHS, FOLDS, HELD_OUT = 4000, 256, 1 << 14, 3, 4, 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.1
 UNDETERMINED = "und"
 _LETTER = np.array([chr(c).isalpha() for c in range(1 << 16)])
@@ -152,15 +153,15 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     known = docs.where((fold() != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    totals = known.groupBy("lang").count().collect()  # a row a language
+    totals = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not totals:
         return Model([], np.zeros(DIMENSIONS))
     each = max(1, sample // len(totals))
     share = F.create_map(*[F.lit(x) for r in totals for x in (r.lang, min(1.0, each / r["count"]))])
     h = F.xxhash64("doc_id", F.lit("train"))
     picked = known.where(F.pmod(h, F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).select(h.alias("h"), "lang", "text")
-    rows = picked.mapInArrow(_count, "h long, lang string, at binary, tf binary").collect()
-    rows.sort(key=lambda r: (r.h, r.lang))
+    counted = picked.mapInArrow(_count, "h long, lang string, at binary, tf binary")
+    rows = counted.orderBy("h", "lang", "at", "tf").limit(2 * sample).collect()
     return train([(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r.tf, "<u4").astype(np.float64), r.lang) for r in rows])
 
 
