@@ -4,7 +4,7 @@ Every record hashes into one of a fixed number of virtual slots. Bytes are summe
 versioned map says which shard holds each slot. Rebalancing and growing edit the map, never the hash,
 so only the records of moved slots move.
 
-Defined cases: a null doc_id hashes like any other value (all nulls share a slot); a null text has no
+Defined cases: a record with a null doc_id is placed by the hash of its text; a null text has no
 bytes (size 8, checksum 0); repeated rows are separate records, numbered one after the other; an empty
 table gives an empty result and a valid map; other columns of the input are ignored.
 """
@@ -107,7 +107,7 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         "doc_id",
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64("doc_id")), F.lit(slots)).cast("int").alias("virtual_slot"),
     )
 
 
