@@ -325,3 +325,29 @@ def test_every_template_has_a_cue():
     for templates in licenses.TEMPLATES.values():
         for text in templates:
             assert re.search(licenses.cue([]).replace(r"\p{L}\p{N}", r"a-zA-Z0-9"), text, re.IGNORECASE)
+
+
+def test_dirty_languages_are_bounded(spark, monkeypatch):
+    """Many language values, and many rows that share an id, of which a model learns the most frequent only."""
+    from readloom.llm import language
+
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    rows = [(i, f"{'abc def ghi' if i % 2 else 'xyz uvw rst'} {i}", "one" if i % 2 else "two") for i in range(400)]
+    rows += [(1000 + i, "qqq rrr", f"junk{i:03}") for i in range(60)] + [(5, f"abc def {i}", "one") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, sample=100)
+    assert len(model.languages) == 3 and {"one", "two"} <= set(model.languages)
+    got = {r.lang_pred for r in language.identify(docs.where("doc_id < 400"), model).collect()}
+    assert got <= set(model.languages)
+
+
+def test_null_ids_are_spread(spark):
+    from readloom.llm import sharding
+
+    docs = spark.createDataFrame([(None, f"text {i % 500}") for i in range(1000)], "doc_id long, text string")
+    rows = sharding.shard(docs, shards=4).collect()
+    assert len({r.virtual_slot for r in rows}) > 300
+    for k in range(4):
+        own = sorted(r.slot for r in rows if r.shard == k)
+        assert own == list(range(len(own)))
+    assert len(rows) == 1000
