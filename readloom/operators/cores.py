@@ -7,16 +7,21 @@ the one that most reads contain, then the leftmost. The search runs on normalize
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bases import normalized
 
-#: A dictionary of up to so many entries is broadcast (some 50 MB); a larger one is joined by shuffle.
-BROADCAST_CORES = 500_000
+#: A dictionary of up to so many entries of at most LONGEST bases is sent to every task as numbers (12 bytes an entry); a larger
+#: one, or one with longer entries, is joined by shuffle.
+BROADCAST_CORES, LONGEST = 4_000_000, 31
+#: Entries of so many bases are looked up by their number in a table of 4**DIRECT places, longer ones by binary search.
+DIRECT = 10
 
 
 def dictionary(entries: DataFrame) -> DataFrame:
@@ -33,28 +38,184 @@ def frequent(reads: DataFrame, k: int = 12, n: int = 10_000) -> DataFrame:
     return reads.sparkSession.createDataFrame(list(enumerate(top)), "core_id int, core string")
 
 
-def _lengths(cores: DataFrame) -> tuple[list[int], bool]:
-    """The distinct lengths (a handful of numbers), and whether the dictionary is small."""
-    rows = cores.groupBy("len").count().collect()
-    return sorted(r["len"] for r in rows), sum(r["count"] for r in rows) <= BROADCAST_CORES
+@dataclass
+class Table:
+    """Entries of k bases as numbers of two bits a base, rising, with their ids and how many reads contain them (if known)."""
+
+    k: int
+    values: np.ndarray
+    ids: np.ndarray
+    often: np.ndarray | None = None
+    direct: np.ndarray | None = None
+
+    def places(self, kmers: np.ndarray) -> np.ndarray:
+        """The place in values of each number, -1 for none."""
+        if self.direct is not None:
+            return self.direct[kmers]
+        at = np.minimum(np.searchsorted(self.values, kmers), len(self.values) - 1)
+        return np.where(self.values[at] == kmers, at, -1)
+
+
+_CODE = np.zeros(256, dtype=np.uint8)
+_CODE[np.frombuffer(b"ACGT", dtype=np.uint8)] = range(4)
+
+
+def _tables(cores: DataFrame, every: bool = False) -> list[Table] | None:
+    """By rising length; None for a dictionary that only a join takes. Entries with other letters are in no normalized read.
+    Of equal entries the smallest id holds; every: such a dictionary is left to the join."""
+    n = F.length("core")
+    known = cores.where(F.col("core").rlike("^[ACGT]*$")).select(F.col("core_id").cast("int").alias("core_id"), "core")
+    seen = known.agg(F.count("*").alias("n"), F.min(n).alias("least"), F.max(n).alias("most")).first()
+    if seen.n > BROADCAST_CORES or seen.n and not 0 < seen.least <= seen.most <= LONGEST:
+        return None
+    rows = known.toArrow()
+    text, ids = rows.column("core").cast(pa.binary()), rows.column("core_id").to_numpy()
+    sizes, tables = pc.binary_length(text).to_numpy(), []
+    for k in np.unique(sizes).tolist():
+        chosen = sizes == k
+        letters = _CODE[np.frombuffer(b"".join(text.filter(pa.array(chosen)).to_pylist()), dtype=np.uint8)].reshape(-1, k)
+        values = np.zeros(len(letters), dtype=np.int64)
+        for j in range(k):
+            values = values * 4 + letters[:, j]
+        order = np.lexsort((ids[chosen], values))
+        values, own = values[order], ids[chosen][order]
+        first = np.concatenate([[True], values[1:] != values[:-1]])
+        if every and not first.all():
+            return None
+        table = Table(k, values[first], own[first].astype(np.int32))
+        if k <= DIRECT:
+            table.direct = np.full(4**k, -1, dtype=np.int32)
+            table.direct[table.values] = np.arange(len(table.values), dtype=np.int32)
+        tables.append(table)
+    return tables
+
+
+def _hits(text: pa.Array, tables: list[Table]) -> Iterator[tuple[Table, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of normalized reads, for each length: the rows with an entry, where it starts (from 0) and its place in the table; in
+    the order of rows and starts."""
+    text = text.cast(pa.large_binary()).fill_null(b"")
+    if not len(text):
+        return
+    _, offsets, data = text.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[text.offset : text.offset + len(text) + 1]
+    raw = _CODE[np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]]] if at[-1] > at[0] else np.zeros(0, dtype=np.uint8)
+    at = at - at[0]
+    row = np.repeat(np.arange(len(text)), np.diff(at))
+    kmers, k = np.zeros(len(raw), dtype=np.int64), 0
+    for table in tables:
+        while k < table.k and len(kmers):
+            tail = raw[k:]
+            kmers, k = kmers[: len(tail)] * 4 + tail, k + 1
+        if not len(kmers):
+            return
+        place = table.places(kmers)
+        hit = np.flatnonzero((place >= 0) & (row[: len(kmers)] == row[k - 1 :]))
+        yield table, row[hit], hit - at[row[hit]], place[hit]
+
+
+def _each_row(tables: list[Table], spark, f, schema: str):
+    """An Arrow function of normalized reads: f of a batch's number of rows and its hits."""
+    sent = spark.sparkContext.broadcast(tables)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield f(len(batch), _hits(batch, sent.value))
 
+    return F.arrow_udf(run, schema)
 
-def candidates(reads: DataFrame, cores: DataFrame) -> DataFrame:
-    """(read_id, core_id, core, pos) of every entry found at every place (from 1)."""
-    lengths, small = _lengths(cores)
+
+def _every(n: int, hits: Iterable) -> pa.Array:
+    """All hits of each row, as lists of (core_id, pos, len)."""
+    parts = [(row, table.ids[place], start + 1, np.full(len(row), table.k)) for table, row, start, place in hits]
+    row, ids, pos, size = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (zip(*parts, strict=True) if parts else [()] * 4))
+    order = np.argsort(row, kind="stable")
+    fields = [pa.array(x[order].astype(np.int32)) for x in (ids, pos, size)]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, names=["core_id", "pos", "len"]))
+
+
+def _winner(n: int, hits: Iterable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The id (-1 for none), the last place from 1 and the length of each row's core."""
+    ids, end, size = (np.full(n, x, dtype=np.int32) for x in (-1, 0, 0))
+    for table, row, start, place in hits:  # a longer entry takes the row over
+        if table.often is not None and len(row):
+            often, firsts = table.often[place], np.flatnonzero(np.diff(row, prepend=-1))
+            top = np.repeat(np.maximum.reduceat(often, firsts), np.diff(np.append(firsts, len(row))))
+            row, start, place = (x[often == top] for x in (row, start, place))
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        ids[row[first]], end[row[first]], size[row[first]] = table.ids[place[first]], start[first] + table.k, table.k
+    return ids, end, size
+
+
+def _best(n: int, hits: Iterable) -> pa.Array:
+    ids, end, size = _winner(n, hits)
+    return pa.StructArray.from_arrays([pa.array(ids, mask=ids < 0), pa.array(end), pa.array(size)], names=["core_id", "core_end", "len"])
+
+
+def _with_frequency(reads: DataFrame, tables: list[Table]) -> list[Table]:
+    """The tables with the number of reads that contain each entry: a task adds up its own, at most one row an entry."""
+    sent = reads.sparkSession.sparkContext.broadcast(tables)
+    schema = pa.schema([("table", pa.int32()), ("place", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {t.k: np.zeros(len(t.values), dtype=np.int64) for t in sent.value}
+        for batch in batches:
+            for table, row, _start, place in _hits(batch.column(0), sent.value):
+                once = np.unique(row * len(table.values) + place) % len(table.values)
+                counts[table.k] += np.bincount(once, minlength=len(table.values))
+        for i, n in enumerate(counts.values()):
+            seen = np.flatnonzero(n)
+            for lo in range(0, len(seen), 100_000):
+                part = seen[lo : lo + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i), pa.int32()), pa.array(part, pa.int32()), pa.array(n[part])], schema=schema)
+
+    parts = reads.select(normalized(F.col("seq")).alias("_s")).mapInArrow(run, "table int, place int, n long")
+    known = parts.groupBy("table", "place").agg(F.sum("n").alias("n")).toArrow()  # at most one row an entry
+    table, place, n = (known.column(c).to_numpy() for c in ("table", "place", "n"))
+    out = []
+    for i, t in enumerate(tables):
+        often = np.zeros(len(t.values), dtype=np.int64)
+        often[place[table == i]] = n[table == i]
+        out.append(replace(t, often=often))
+    return out
+
+
+def _joined(reads: DataFrame, cores: DataFrame) -> DataFrame:
+    """candidates by a join with k-mers of every length."""
+    lengths = sorted(r["len"] for r in cores.groupBy("len").count().collect())  # a handful of numbers
     sizes = F.array(*[F.lit(k) for k in lengths]).cast("array<int>")
     rows = reads.select("read_id", normalized(F.col("seq")).alias("_s")).select("read_id", "_s", F.explode(sizes).alias("_k")).where(F.length("_s") >= F.col("_k"))
     places = rows.select("read_id", "_s", "_k", F.explode(F.sequence(F.lit(1), F.length("_s") - F.col("_k") + 1)).alias("pos"))
     spread = places.select("read_id", F.substr("_s", "pos", "_k").alias("core"), "pos")
-    known = cores.select("core_id", "core")
-    return spread.join(F.broadcast(known) if small else known, "core").select("read_id", "core_id", "core", "pos")
+    return spread.join(cores.select("core_id", "core"), "core").select("read_id", "core_id", "core", "pos")
+
+
+def candidates(reads: DataFrame, cores: DataFrame) -> DataFrame:
+    """(read_id, core_id, core, pos) of every entry found at every place (from 1)."""
+    tables = _tables(cores, every=True)
+    if tables is None:
+        return _joined(reads, cores)
+    every = _each_row(tables, reads.sparkSession, _every, "array<struct<core_id:int,pos:int,len:int>>")
+    rows = reads.select("read_id", normalized(F.col("seq")).alias("_s")).select("read_id", "_s", F.explode(every("_s")).alias("x"))
+    return rows.select("read_id", "x.core_id", F.substr("_s", "x.pos", "x.len").alias("core"), "x.pos")
 
 
 def search(reads: DataFrame, cores: DataFrame, by_frequency: bool = False) -> DataFrame:
     """reads with core_id, core (null for none) and core_end (last place from 1, 0 for none).
 
-    Only matches are aggregated, one row a read after partial aggregation."""
-    found = candidates(reads, cores).withColumn("_len", -F.length("core"))
+    Each batch of reads is searched where it is; reads are neither spread nor dealt anew."""
+    tables = _tables(cores)
+    if tables is None:
+        return _search_joined(reads, cores, by_frequency)
+    best = _each_row(_with_frequency(reads, tables) if by_frequency else tables, reads.sparkSession, _best, "core_id int, core_end int, len int")
+    rows = reads.withColumn("_s", normalized(F.col("seq"))).withColumn("_b", best("_s"))
+    core = F.when(F.col("_b.core_id").isNotNull(), F.substr("_s", F.col("_b.core_end") - F.col("_b.len") + 1, F.col("_b.len")))
+    return rows.select(*reads.columns, F.col("_b.core_id").alias("core_id"), core.alias("core"), F.col("_b.core_end").alias("core_end"))
+
+
+def _search_joined(reads: DataFrame, cores: DataFrame, by_frequency: bool) -> DataFrame:
+    """search by a join: only matches are aggregated, one row a read after partial aggregation."""
+    found = _joined(reads, cores).withColumn("_len", -F.length("core"))
     if by_frequency:
         often = found.groupBy("core_id").agg((-F.countDistinct("read_id")).alias("_often"))
         found = found.join(often, "core_id")
@@ -69,44 +230,17 @@ def search(reads: DataFrame, cores: DataFrame, by_frequency: bool = False) -> Da
 
 
 def search_arrow(reads: DataFrame, cores: DataFrame) -> DataFrame:
-    """(read_id, core_id, core_end), as search finds them: per length, all k-mers of a batch as integers, looked up
-    in the sorted dictionary. For dictionaries of at most BROADCAST_CORES entries of at most 31 bases."""
-    rows = cores.select("core_id", "core").limit(BROADCAST_CORES + 1).collect()
-    if len(rows) > BROADCAST_CORES:
-        raise ValueError("the dictionary is too large to broadcast; use search")
-    by_length: dict[int, list[tuple[int, int]]] = {}
-    for r in rows:
-        by_length.setdefault(len(r.core), []).append((int(r.core.translate(str.maketrans("ACGT", "0123")), 4), r.core_id))
-    if max(by_length, default=0) > 31:
-        raise ValueError("cores of more than 31 bases; use search")
-    tables = [(k, *(np.array(x, dtype=np.int64) for x in zip(*sorted(v), strict=True))) for k, v in sorted(by_length.items(), reverse=True)]
+    """(read_id, core_id, core_end), as search finds them, of reads that pass through as Arrow batches. For dictionaries of at
+    most BROADCAST_CORES entries of at most LONGEST bases."""
+    tables = _tables(cores)
+    if tables is None:
+        raise ValueError(f"more than {BROADCAST_CORES} cores, or some of more than {LONGEST} bases or none; use search")
     sent = reads.sparkSession.sparkContext.broadcast(tables)
-    code = np.zeros(256, dtype=np.int64)
-    for i, c in enumerate("ACGT"):
-        code[ord(c)] = code[ord(c.lower())] = i
     schema = pa.schema([("read_id", pa.int64()), ("core_id", pa.int32()), ("core_end", pa.int32())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(1).cast(pa.large_binary()).fill_null(b"")
-            _, offsets, data = text.buffers()
-            at = np.frombuffer(offsets, dtype=np.int64)[text.offset : text.offset + len(text) + 1]
-            raw = code[np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]]] if at[-1] > at[0] else np.zeros(0, dtype=np.int64)
-            at = at - at[0]
-            row = np.repeat(np.arange(len(text)), np.diff(at))
-            ids, ends = np.full(len(text), -1, dtype=np.int64), np.zeros(len(text), dtype=np.int64)
-            for k, values, core_ids in sent.value:
-                n = len(raw) - k + 1
-                if n <= 0:
-                    continue
-                kmers = np.zeros(n, dtype=np.int64)
-                for j in range(k):
-                    kmers = kmers * 4 + raw[j : j + n]
-                place = np.minimum(np.searchsorted(values, kmers), len(values) - 1)
-                hit = np.flatnonzero((values[place] == kmers) & (row[:n] == row[k - 1 :]) & (ids[row[:n]] < 0))
-                owners, first = np.unique(row[hit], return_index=True)
-                ids[owners] = core_ids[place[hit[first]]]
-                ends[owners] = hit[first] - at[owners] + k
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int32(), mask=ids < 0), pa.array(ends, pa.int32())], schema=schema)
-
-    return reads.select("read_id", "seq").mapInArrow(run, "read_id long, core_id int, core_end int")
+            ids, ends, _size = _winner(batch.num_rows, _hits(batch.column(1), sent.value))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, mask=ids < 0), pa.array(ends)], schema=schema)
+
+    return reads.select("read_id", normalized(F.col("seq")).alias("_s")).mapInArrow(run, "read_id long, core_id int, core_end int")

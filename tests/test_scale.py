@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import re
 
+import pytest
+
+from readloom.operators import cores
 from readloom.plans import derived
 
 
@@ -34,3 +39,29 @@ def test_reads_hold_no_whole_genome(spark, tmp_path):
             seq = "".join("N" if q == "!" else b for b, q in zip(genome[at : at + 48].translate(bases), qual, strict=True))
             assert (rows[e].name, rows[e].seq, rows[e].qual) == (f"@run.{e}/1 view", seq, qual)
     assert sorted(derived.qualities(spark, sf).collect()) == sorted((r.read_id, r.name, r.qual) for r in rows.values())
+
+
+@pytest.mark.parametrize("by_frequency", [False, True])
+def test_search_where_reads_are(spark, monkeypatch, by_frequency):
+    """The same by numbers and by a join, for odd reads and entries; by numbers nothing is exploded, joined or dealt anew."""
+    rng = random.Random(8)
+    pick = lambda n: "".join(rng.choices("ACGTNacgé", weights=[9, 9, 9, 9, 1, 1, 1, 1, 1], k=n))
+    texts = [None, "", "A", "Ré", "ß" * 9, "CGT" * 500, *(pick(rng.randint(0, 70)) for _ in range(200))]
+    reads = spark.createDataFrame(list(enumerate(texts)), "read_id long, seq string")
+    entries = sorted({"".join(rng.choices("ACGT", k=rng.choice([2, 3, 4, 12]))) for _ in range(90)}) + ["NNN", "acg", "CGT" * 10]
+    dictionary = spark.createDataFrame(list(enumerate(entries)), "core_id int, core string").selectExpr("core_id", "core", "length(core) as len")
+    fast, all_fast = cores.search(reads, dictionary, by_frequency), cores.candidates(reads, dictionary)
+    assert not re.search("Exchange|Generate|Join", fast._jdf.queryExecution().executedPlan().toString())
+    assert "Join" not in plan(all_fast)
+    rows = (sorted(fast.collect()[1:]), sorted(all_fast.collect()))
+    monkeypatch.setattr(cores, "BROADCAST_CORES", 3)
+    slow, all_slow = cores.search(reads, dictionary, by_frequency), cores.candidates(reads, dictionary)
+    assert "Join" in plan(slow) and rows == (sorted(r for r in slow.collect() if r.seq is not None), sorted(all_slow.collect()))
+    assert fast.dtypes == slow.dtypes and all_fast.dtypes == all_slow.dtypes
+    twice = dictionary.union(dictionary.selectExpr("core_id + 1000", "core", "len"))
+    monkeypatch.undo()
+    assert sorted(cores.search(reads, twice, by_frequency).collect()[1:]) == rows[0] and cores.candidates(reads, twice).count() == 2 * len(rows[1])
+    longer = spark.createDataFrame([(0, "ACGT" * 9), (1, "TT")], "core_id int, core string").selectExpr("core_id", "core", "length(core) as len")
+    assert [r.core_id for r in cores.search(spark.createDataFrame([(1, "TT" + "ACGT" * 9)], "read_id long, seq string"), longer).collect()] == [0]
+    none = cores.search(reads, dictionary.limit(0), by_frequency)
+    assert none.where("core is null and core_end = 0 and core_id is null").count() == len(texts)
