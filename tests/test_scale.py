@@ -8,7 +8,7 @@ import re
 
 import pytest
 
-from readloom.operators import cores
+from readloom.operators import cores, lossy
 from readloom.plans import derived
 
 
@@ -65,3 +65,18 @@ def test_search_where_reads_are(spark, monkeypatch, by_frequency):
     assert [r.core_id for r in cores.search(spark.createDataFrame([(1, "TT" + "ACGT" * 9)], "read_id long, seq string"), longer).collect()] == [0]
     none = cores.search(reads, dictionary.limit(0), by_frequency)
     assert none.where("core is null and core_end = 0 and core_id is null").count() == len(texts)
+
+
+def test_sample_is_counted_before(spark, monkeypatch):
+    """The first n by id, of which only about n come to the top-n; ids of both signs, far apart, few, with nulls, repeated."""
+    monkeypatch.setattr(lossy, "RANGES", 8)
+    rng = random.Random(4)
+    for ids in (range(1000), [rng.randint(-(2**63), 2**63 - 1) for _ in range(500)], [-(2**63), *range(300), 2**63 - 1], [5] * 300 + [4, 9], [None] * 30 + list(range(400)), [3], []):
+        reads = spark.createDataFrame([(i,) for i in ids], "read_id long").repartition(4)
+        for n in (1, 20, 60):
+            want = sorted(ids, key=lambda i: (i is not None, i))[:n]
+            assert [r.read_id for r in lossy.sample(reads, n).collect()] == want
+            last = lossy._enough(reads, n)
+            if ids and ids[0] != 5 and last is not None:
+                assert sum(i is None or i <= last for i in ids) <= 2 * n + 30
+    assert lossy.sample(spark.createDataFrame([("b",), ("a",)], "read_id string"), 1).first().read_id == "a"
