@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import walks
+
 #: The four bases in the order of their codes.
 BASES = "ACGT"
 
@@ -29,7 +31,7 @@ def packed_hex(seq: Column) -> Column:
 
 
 def packed(seq: Column) -> Column:
-    return F.unhex(packed_hex(seq))
+    return walks.packed(seq, F.unhex(packed_hex(seq)))
 
 
 def unpacked(hexadecimal: Column, length: Column) -> Column:
@@ -55,4 +57,4 @@ def restored(payload_: Column, core: Column, end: Column) -> Column:
 def sort_key(seq: Column, core: Column, end: Column, read_length: Column) -> Column:
     """What follows the core, filled with A to the length of the read without it."""
     width = (read_length - F.when(end > 0, F.length(core)).otherwise(0)).cast("int")
-    return F.rpad(normalized(F.when(end > 0, F.substr(seq, end + 1)).otherwise(seq)), width, F.lit("A"))
+    return walks.sort_key(seq, core, end, width, F.rpad(normalized(F.when(end > 0, F.substr(seq, end + 1)).otherwise(seq)), width, F.lit("A")))

@@ -22,9 +22,13 @@ def keyed(found: DataFrame) -> DataFrame:
     return found.withColumn("sort_key", sort_key(F.col("seq"), F.coalesce("core", F.lit("")), F.col("core_end"), F.length("seq")))
 
 
-def clustered(found: DataFrame, ordinal: str = "place") -> DataFrame:
-    """Reads in archive order with their place from 0. Ranges take the sort key in, so a large bin is split."""
-    return with_ordinal(keyed(found), *bin_columns(), F.col("sort_key"), F.col("read_id"), name=ordinal)
+def clustered(found: DataFrame, ordinal: str = "place", columns: list[str] | None = None) -> DataFrame:
+    """Reads in archive order with their place from 0. Ranges take the sort key in, so a large bin is split.
+    columns: those to keep, by default all; only what they and the order need is dealt."""
+    rows = keyed(found)
+    if columns is not None:
+        rows = rows.select(*dict.fromkeys([*columns, "core", "sort_key", "read_id"]))
+    return with_ordinal(rows, *bin_columns(), F.col("sort_key"), F.col("read_id"), name=ordinal, by="read_id", columns=columns)
 
 
 def bin_counts(found: DataFrame) -> DataFrame:
@@ -71,7 +75,7 @@ def parts(placed: DataFrame, size: int, place: str = "place") -> DataFrame:
 
 def rank_in_bin(found: DataFrame) -> DataFrame:
     """Place within the bin from 0, from global places: the first place of each bin is a small aggregate."""
-    placed = clustered(found)
+    placed = clustered(found, columns=["read_id", "core_id", "sort_key"])
     first = placed.groupBy(F.coalesce("core_id", F.lit(-1)).alias("b")).agg(F.min("place").alias("first"))
     return placed.withColumn("b", F.coalesce("core_id", F.lit(-1))).join(first, "b").withColumn("at", F.col("place") - F.col("first")).drop("b", "first")
 

@@ -12,9 +12,10 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import walks
 from ..functions.bases import normalized
 
 #: A dictionary of up to so many entries of at most LONGEST bases is sent to every task as numbers (12 bytes an entry); a larger
@@ -56,8 +57,9 @@ class Table:
         return np.where(self.values[at] == kmers, at, -1)
 
 
-_CODE = np.zeros(256, dtype=np.uint8)
-_CODE[np.frombuffer(b"ACGT", dtype=np.uint8)] = range(4)
+def _letters(seq: Column) -> Column:
+    """What _hits reads as the normalized read: it takes letters of either case, and all others as A."""
+    return F.when(walks.plain(seq), seq).otherwise(normalized(seq))
 
 
 def _tables(cores: DataFrame, every: bool = False) -> list[Table] | None:
@@ -73,7 +75,7 @@ def _tables(cores: DataFrame, every: bool = False) -> list[Table] | None:
     sizes, tables = pc.binary_length(text).to_numpy(), []
     for k in np.unique(sizes).tolist():
         chosen = sizes == k
-        letters = _CODE[np.frombuffer(b"".join(text.filter(pa.array(chosen)).to_pylist()), dtype=np.uint8)].reshape(-1, k)
+        letters = walks.CODE[np.frombuffer(b"".join(text.filter(pa.array(chosen)).to_pylist()), dtype=np.uint8)].reshape(-1, k)
         values = np.zeros(len(letters), dtype=np.int64)
         for j in range(k):
             values = values * 4 + letters[:, j]
@@ -93,13 +95,8 @@ def _tables(cores: DataFrame, every: bool = False) -> list[Table] | None:
 def _hits(text: pa.Array, tables: list[Table]) -> Iterator[tuple[Table, np.ndarray, np.ndarray, np.ndarray]]:
     """Of normalized reads, for each length: the rows with an entry, where it starts (from 0) and its place in the table; in
     the order of rows and starts."""
-    text = text.cast(pa.large_binary()).fill_null(b"")
-    if not len(text):
-        return
-    _, offsets, data = text.buffers()
-    at = np.frombuffer(offsets, dtype=np.int64)[text.offset : text.offset + len(text) + 1]
-    raw = _CODE[np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]]] if at[-1] > at[0] else np.zeros(0, dtype=np.uint8)
-    at = at - at[0]
+    data, at = walks.raw(text)
+    raw = walks.CODE[data]
     row = np.repeat(np.arange(len(text)), np.diff(at))
     kmers, k = np.zeros(len(raw), dtype=np.int64), 0
     for table in tables:
@@ -169,7 +166,7 @@ def _with_frequency(reads: DataFrame, tables: list[Table]) -> list[Table]:
                 part = seen[lo : lo + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i), pa.int32()), pa.array(part, pa.int32()), pa.array(n[part])], schema=schema)
 
-    parts = reads.select(normalized(F.col("seq")).alias("_s")).mapInArrow(run, "table int, place int, n long")
+    parts = reads.select(_letters(F.col("seq")).alias("_s")).mapInArrow(run, "table int, place int, n long")
     known = parts.groupBy("table", "place").agg(F.sum("n").alias("n")).toArrow()  # at most one row an entry
     table, place, n = (known.column(c).to_numpy() for c in ("table", "place", "n"))
     out = []
@@ -208,8 +205,8 @@ def search(reads: DataFrame, cores: DataFrame, by_frequency: bool = False) -> Da
     if tables is None:
         return _search_joined(reads, cores, by_frequency)
     best = _each_row(_with_frequency(reads, tables) if by_frequency else tables, reads.sparkSession, _best, "core_id int, core_end int, len int")
-    rows = reads.withColumn("_s", normalized(F.col("seq"))).withColumn("_b", best("_s"))
-    core = F.when(F.col("_b.core_id").isNotNull(), F.substr("_s", F.col("_b.core_end") - F.col("_b.len") + 1, F.col("_b.len")))
+    rows = reads.withColumn("_s", _letters(F.col("seq"))).withColumn("_b", best("_s"))
+    core = F.when(F.col("_b.core_id").isNotNull(), normalized(F.substr("_s", F.col("_b.core_end") - F.col("_b.len") + 1, F.col("_b.len"))))
     return rows.select(*reads.columns, F.col("_b.core_id").alias("core_id"), core.alias("core"), F.col("_b.core_end").alias("core_end"))
 
 
@@ -243,4 +240,4 @@ def search_arrow(reads: DataFrame, cores: DataFrame) -> DataFrame:
             ids, ends, _size = _winner(batch.num_rows, _hits(batch.column(1), sent.value))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, mask=ids < 0), pa.array(ends)], schema=schema)
 
-    return reads.select("read_id", normalized(F.col("seq")).alias("_s")).mapInArrow(run, "read_id long, core_id int, core_end int")
+    return reads.select("read_id", _letters(F.col("seq")).alias("_s")).mapInArrow(run, "read_id long, core_id int, core_end int")

@@ -10,12 +10,36 @@ from ..storage import kept
 _LOCAL = (1 << 33) - 1
 
 
-def with_ordinal(df: DataFrame, *order: str | Column, name: str = "ordinal") -> DataFrame:
+#: One row of so many is sampled for the bounds of ranges.
+SAMPLED = 64
+
+
+def _dealt(df: DataFrame, order: list[Column], by: str, n: int) -> DataFrame:
+    """df in n ranges of order, as repartitionByRange deals them. That would compute every row once more for its sample; here
+    the sample is a condition on a column, so that only its rows are computed. Bounds that fit badly cost balance, no more."""
+    key = F.struct(*[c.alias(f"_{k}") for k, c in enumerate(order)])
+    some = df.where(F.pmod(F.xxhash64(by), F.lit(SAMPLED)) == 0).select(key.alias("k"))
+    least = some.repartitionByRange(n, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k")).collect()  # a row a range
+    bounds = sorted((r.p, r.k) for r in least)[1:]
+    if not bounds:
+        return df.repartitionById(n, F.lit(0))
+    types = some.schema["k"].dataType
+    known = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(k, types, strict=True)]) for _, k in bounds])
+    steps = F.array(*[F.lit(1 << j) for j in reversed(range(len(bounds).bit_length()))])
+    # How many bounds do not exceed the key, by halves.
+    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(known, at + step - 1) <= key, at + step).otherwise(at))
+    return df.repartitionById(n, place)
+
+
+def with_ordinal(df: DataFrame, *order: str | Column, name: str = "ordinal", by: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """Adds the place of each row, from 0. Ranges of rows are sorted apart; a range's rows come after those of
-    the ranges before it, whose counts (a number a range) are summed on the driver."""
+    the ranges before it, whose counts (a number a range) are summed on the driver. by: a column with many values that a
+    condition can be put on where df is read. columns: those to keep, by default all."""
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    by_key = [F.col(c) if isinstance(c, str) else c for c in order]
+    dealt = (df.repartitionByRange(n, *by_key) if by is None else _dealt(df, by_key, by, n)).sortWithinPartitions(*by_key)
+    dealt = dealt if columns is None else dealt.select(*columns)
     placed = kept(dealt.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL))), "ranges")
     before, at = [(-1, 0)], 0
     for r in sorted(placed.groupBy("_range").count().collect(), key=lambda r: r["_range"]):

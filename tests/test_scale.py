@@ -6,10 +6,14 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from readloom.operators import codec, cores, lossy
+from readloom.functions import bases, quality
+from readloom.operators import cluster, codec, cores, lossy, ordinal
 from readloom.plans import derived
+from readloom.sources import archive
 
 
 def plan(df) -> str:
@@ -93,3 +97,64 @@ def test_blocks_are_coded_together(monkeypatch):
     whole = codec.encode(texts, model)
     assert whole == [codec.encode([x], model)[0] for x in texts]
     assert codec.decode(whole, [len(x) for x in texts], model) == texts
+
+
+def test_rows_are_computed_once_to_be_placed(spark):
+    """Bounds of ranges come from few rows, not from a run over all; the places are those of one sort, and a range holds its share."""
+    rng = random.Random(6)
+    n, seen = 20_000, spark.sparkContext.accumulator(0)
+    rows = [(i, rng.choice([None, "A", "AC", "CA"]), "".join(rng.choices("ACGT", k=rng.randint(0, 5)))) for i in range(n)]
+    found = spark.createDataFrame(rows, "read_id long, core string, seq string").select("read_id", "core", F.concat(F.coalesce("core", F.lit("")), "seq").alias("seq"), F.coalesce(F.length("core"), F.lit(0)).alias("core_end"))
+
+    def counted(x: pa.Array) -> pa.Array:
+        seen.add(len(x))
+        return x
+
+    placed = cluster.clustered(found.withColumn("seq", F.arrow_udf(counted, "string")("seq"))).collect()
+    assert n <= seen.value <= 1.2 * n
+    want = sorted(rows, key=lambda r: (r[1] is None, len(r[1] or ""), r[1] or "", r[2], r[0]))
+    assert [r.read_id for r in sorted(placed, key=lambda r: r.place)] == [r[0] for r in want]
+    assert [r.place for r in sorted(placed, key=lambda r: r.place)] == list(range(n))
+    dealt = ordinal._dealt(found, [F.col("core"), F.col("seq"), F.col("read_id")], "read_id", 4)
+    shares = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == n and max(shares) < 0.45 * n
+    few = found.where("read_id < 3")
+    assert sorted(r.place for r in cluster.clustered(few, columns=["read_id"]).collect()) == [0, 1, 2]
+    assert cluster.clustered(found.where("read_id < 0"), columns=["read_id"]).columns == ["read_id", "place"]
+
+
+def test_walks_equal_the_general_form(spark):
+    """Bytes in numpy give what characters in SQL give, on odd rows too; plain rows don't take the form with a step a character."""
+    rng = random.Random(3)
+    pick = lambda letters, n: "".join(rng.choices(letters, k=n))
+    rows = [(None, "II", None, 0), ("AC", None, None, 0), ("", "", None, 0), ("Rßé", "I!#", None, 0), ("ACGT", "I!", None, 0), ("AC", "I!#\u00e9", "A", 1), ("ACG", "!é#", "CG", 3), ("ACG", "!!#", "CG", 99)]
+    for _ in range(300):
+        seq = pick("ACGTNacgn-", rng.randint(0, 30))
+        size = rng.choice([0, 1, 2, 3])
+        end = rng.randint(size, len(seq)) if size and len(seq) >= size else 0
+        rows.append((seq, pick("!#5I~", len(seq)), bases.BASES[:size] if end else None, end))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, seq string, qual string, core string, core_end int")
+    core, end, seq, qual = F.coalesce("core", F.lit("")), F.col("core_end"), F.col("seq"), F.col("qual")
+    rebased = lambda: quality.rebased(quality.remapped(quality.symbols(qual), lossy.as_map({53: 35})), F.lit(33))
+    width = (F.length("seq") - F.when(end > 0, F.length(core)).otherwise(0)).cast("int")
+    pairs = {
+        "packed": (bases.packed(seq), F.unhex(bases.packed_hex(seq))),
+        "key": (bases.sort_key(seq, core, end, F.length("seq")), F.rpad(bases.normalized(F.when(end > 0, F.substr(seq, end + 1)).otherwise(seq)), width, F.lit("A"))),
+        "qual": (archive._quality(seq, qual, {53: 35}, 33), quality.text(quality.masked(seq, rebased()), F.lit(33))),
+    }
+    got = df.select("i", *[x.alias(f"{k}{j}") for k, v in pairs.items() for j, x in enumerate(v)]).collect()
+    for k in pairs:
+        assert [(r.i, r[f"{k}0"]) for r in got] == [(r.i, r[f"{k}1"]) for r in got], k
+    assert plan(df.select(bases.packed(seq))).count("ArrowEvalPython") >= 1
+
+
+def test_archive_keeps_odd_reads(spark, tmp_path):
+    """Other letters, an empty read, one without qualities; places follow the order of the bins."""
+    rows = [(0, "@a x", "ACGTN", "IIII!"), (1, "@b", "ttacg", "I#I#I"), (2, "@c", "", ""), (3, "@d", "GGAC", None), (4, "@e", "RYAC", "!III")]
+    reads = spark.createDataFrame(rows, "read_id long, name string, seq string, qual string")
+    words = spark.createDataFrame([(0, "AC"), (1, "TAC")], "core_id int, core string").selectExpr("core_id", "core", "length(core) as len")
+    archive.write(reads, words, f"{tmp_path}/a")
+    back = {r.read_id: (r.name, r.seq, r.qual) for r in archive.read(spark, f"{tmp_path}/a").collect()}
+    assert back == {0: ("@a", "ACGTN", "IIII!"), 1: ("@b", "TTACG", "I#I#I"), 2: ("@c", "", ""), 3: ("@d", "GGAC", None), 4: ("@e", "NAAC", "!III")}
+    places = [r.read_id for r in archive.read(spark, f"{tmp_path}/a").orderBy("place").collect()]
+    assert places == [3, 4, 0, 1, 2]
