@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bases, names, quality
+from ..functions import bases, names, quality, walks
 from ..operators import cluster, codec, context, cores, lossy
 from ..storage import Steps
 
@@ -26,7 +26,9 @@ READS_A_BLOCK = 4096
 def _quality(seq, qual, mapping: Mapping[int, int], offset: int):
     """The quality string with the lossy map applied and N as the offset's symbol."""
     values = quality.remapped(quality.symbols(qual), lossy.as_map(mapping))
-    return quality.text(quality.masked(seq, quality.rebased(values, F.lit(offset))), F.lit(offset))
+    slow = quality.text(quality.masked(seq, quality.rebased(values, F.lit(offset))), F.lit(offset))
+    new = np.array([mapping.get(x, x) for x in range(256)], dtype=np.uint8)
+    return walks.both(lambda b, q: np.where(b == ord("N"), np.uint8(offset), new[q]), seq, qual, slow)
 
 
 def encode(
@@ -37,16 +39,16 @@ def encode(
     mapping2 and offset2 are those of the second mates, by default the same."""
     mapping2, offset2 = mapping if mapping2 is None else mapping2, offset if offset2 is None else offset2
     found = cores.search(reads, dictionary, by_frequency)
-    placed = cluster.clustered(found)
     core, end, seq = F.coalesce("core", F.lit("")), F.col("core_end"), F.col("seq")
     out = {
-        "place": F.col("place"), "read_id": F.col("read_id"), "core_id": F.col("core_id"), "core_end": end, "name": names.truncated(F.col("name")),
+        "read_id": F.col("read_id"), "core_id": F.col("core_id"), "core_end": end, "name": names.truncated(F.col("name")),
         "payload": bases.packed(bases.payload(bases.normalized(seq), core, end)), "read_length": F.length("seq"),
         "qual": _quality(seq, F.col("qual"), mapping, offset) if "qual" in reads.columns else F.lit(None).cast("string"),
     }
     if "seq2" in reads.columns:
         out |= {"payload2": bases.packed(F.col("seq2")), "read_length2": F.length("seq2"), "qual2": _quality(F.col("seq2"), F.col("qual2"), mapping2, offset2)}
-    return placed.select(*[c.alias(k) for k, c in out.items()])
+    # Reads are placed encoded, since that is less to sort.
+    return cluster.clustered(found.withColumns(out), columns=list(out)).select("place", *out)
 
 
 def decode(encoded: DataFrame, dictionary: DataFrame, offset: int, library: str | None = None, offset2: int | None = None) -> DataFrame:
@@ -54,16 +56,17 @@ def decode(encoded: DataFrame, dictionary: DataFrame, offset: int, library: str
     known = dictionary.select("core_id", "core")
     known = F.broadcast(known) if known.limit(cores.BROADCAST_CORES + 1).count() <= cores.BROADCAST_CORES else known
     rows = encoded.join(known, "core_id", "left").withColumn("_core", F.coalesce("core", F.lit("")))
-    payload = bases.unpacked(F.hex("payload"), (F.col("read_length") - F.length("_core")).cast("int"))
+    payload = walks.unpacked(F.col("payload"), F.col("read_length") - F.length("_core"))
     rows = rows.withColumn("_seq", bases.restored(payload, F.col("_core"), F.col("core_end")))
 
     def unknown(seq, qual, base):
-        return F.when(qual.isNull(), seq).otherwise(quality.with_unknown(seq, quality.rebased(quality.symbols(qual), F.lit(base))))
+        slow = quality.with_unknown(seq, quality.rebased(quality.symbols(qual), F.lit(base)))
+        return F.when(qual.isNull(), seq).otherwise(walks.where(chr(base), "N", seq, qual, slow))
 
     name = names.synthesized(library, F.col("place")) if library else F.concat(F.lit("@"), F.col("name"))
     out = [F.col("place"), F.col("read_id"), name.alias("name"), unknown(F.col("_seq"), F.col("qual"), offset).alias("seq"), "qual"]
     if "payload2" in encoded.columns:
-        out += [unknown(bases.unpacked(F.hex("payload2"), F.col("read_length2")), F.col("qual2"), offset if offset2 is None else offset2).alias("seq2"), "qual2"]
+        out += [unknown(walks.unpacked(F.col("payload2"), F.col("read_length2")), F.col("qual2"), offset if offset2 is None else offset2).alias("seq2"), "qual2"]
     return rows.select(*out)
 
 
