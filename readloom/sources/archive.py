@@ -74,33 +74,33 @@ def _coded(rows: DataFrame, column: str, offset: int, path: str, compression: st
     """Writes the symbols of a column of qualities as coded blocks of READS_A_BLOCK reads in their order, and the model.
     lengths: of the reads of a block, -1 for a null."""
     spark = rows.sparkSession
-    values = quality.rebased(quality.symbols(F.col(column)), F.lit(offset))
-    known = rows.select("place", F.col(column).isNull().alias("none"), F.coalesce(values, F.array().cast("array<int>")).alias("v"))
-    if not known.where(F.exists("v", lambda x: x >= context.DEPTH)).isEmpty():
-        raise ValueError(f"a quality of {context.DEPTH} or more can't be coded: write without arithmetic coding")
-    counts = context.order2(context.streams(known.where("size(v) > 0"), F.col("v"), order="place"))
-    counts.write.option("compression", compression).parquet(f"{path}/model")
-    model = codec.model_of(spark.read.parquet(f"{path}/model"))
-    block = F.expr(f"place div {READS_A_BLOCK}")
-    ordered = F.array_sort(F.collect_list(F.struct("place", F.when(F.col("none"), -1).otherwise(F.size("v")).alias("n"))))  # at most READS_A_BLOCK
-    lengths = known.groupBy(block.alias("block")).agg(F.transform(ordered, lambda x: x.n).alias("lengths"), F.min("place").alias("first"))
-    done = codec.encoded(codec.blocks(known, "v", ordinal="place", reads_a_block=READS_A_BLOCK), model)
-    done.join(lengths, "block").write.option("compression", compression).parquet(f"{path}/blocks")
+    last = offset + context.DEPTH - 1
+    if not rows.where(F.col(column).rlike(f"[^\\x{offset:02x}-\\x{last:02x}]")).isEmpty():
+        raise ValueError(f"a quality below the offset or of {context.DEPTH} or more can't be coded: write without arithmetic coding")
+    with Steps(spark) as steps:
+        blocks = steps.kept(codec.gathered(rows.select("place", column), column, "place", READS_A_BLOCK), "blocks")
+        codec.counts(blocks, offset).write.option("compression", compression).parquet(f"{path}/model")
+        model = codec.model_of(spark.read.parquet(f"{path}/model"))
+        codec.encoded(blocks, model, offset, ["first", "lengths"]).write.option("compression", compression).parquet(f"{path}/blocks")
 
 
 def _decoded(spark: SparkSession, path: str, offset: int, name: str) -> DataFrame:
     """(place, name): the qualities of coded blocks."""
     stored = spark.read.parquet(f"{path}/blocks")
-    symbols = codec.decoded(stored, codec.model_of(spark.read.parquet(f"{path}/model")))
-    rows = symbols.join(stored.select("block", "first", "lengths"), "block").select("first", "lengths", "symbols")
+    rows = codec.decoded(stored, codec.model_of(spark.read.parquet(f"{path}/model")), ["first", "lengths"]).select("first", "lengths", "symbols")
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, lengths, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = (np.frombuffer(data, dtype=np.uint8) + np.uint8(offset)).tobytes().decode("latin-1")
-                ends = np.cumsum(np.maximum(lengths, 0)).tolist()
-                cut = [None if n < 0 else text[e - n : e] for n, e in zip(lengths, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(cut)), pa.int64()), pa.array(cut, pa.string())], names=["place", name])
+            for first, lengths, data in zip(*batch.columns, strict=True):
+                first, lengths = first.as_py(), lengths.values.to_numpy()
+                symbols = np.frombuffer(data.as_buffer(), dtype=np.uint8) + np.uint8(offset)
+                ends = walks.ends(np.maximum(lengths, 0))
+                if symbols.max(initial=0) < 128:
+                    cut = walks.texts(symbols, ends, pa.string(), lengths < 0)
+                else:
+                    text = symbols.tobytes().decode("latin-1")
+                    cut = pa.array([None if n < 0 else text[e : e + n] for n, e in zip(lengths.tolist(), ends.tolist(), strict=False)], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(cut)), pa.int64()), cut], names=["place", name])
 
     return rows.mapInArrow(split, f"place long, {name} string")
 
@@ -123,11 +123,8 @@ def write(
     # The ranges of places are written as they were sorted and stored.
     qualities = [(c, o) for c, o in (("qual", offset), ("qual2", offset2)) if arithmetic and c in rows.columns]
     rows.drop(*[c for c, _ in qualities]).write.option("compression", CODECS[compression]).parquet(f"{path}/reads")
-    with Steps(spark) as steps:
-        if qualities:
-            rows = steps.kept(rows.select("place", *[c for c, _ in qualities]), "qualities")
-        for column, base in qualities:
-            _coded(rows, column, base, f"{path}/arithmetic/{column}", CODECS[compression])
+    for column, base in qualities:
+        _coded(rows, column, base, f"{path}/arithmetic/{column}", CODECS[compression])
     dictionary.write.parquet(f"{path}/cores")
     tables = [{int(a): int(b) for a, b in m.items()} for m in (mapping, mapping2)]
     schema = "phred_offset int, percent int, library string, mapping map<int,int>, phred_offset2 int, mapping2 map<int,int>, arithmetic array<string>"

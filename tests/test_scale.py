@@ -158,3 +158,34 @@ def test_archive_keeps_odd_reads(spark, tmp_path):
     assert back == {0: ("@a", "ACGTN", "IIII!"), 1: ("@b", "TTACG", "I#I#I"), 2: ("@c", "", ""), 3: ("@d", "GGAC", None), 4: ("@e", "NAAC", "!III")}
     places = [r.read_id for r in archive.read(spark, f"{tmp_path}/a").orderBy("place").collect()]
     assert places == [3, 4, 0, 1, 2]
+
+
+def test_contexts_are_counted_in_blocks(spark):
+    """As in one stream, also over the ends of blocks; nothing is exploded or ordered anew. The blocks keep nulls and lengths."""
+    rng = random.Random(9)
+    texts = [None if i == 5 else "".join(chr(33 + rng.choice([0, 2, 7, 79])) for _ in range(rng.randint(2, 9))) for i in range(50)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "place long, q string").repartition(3)
+    blocks = codec.gathered(rows, "q", "place", 7)
+    assert [(r.block, r.first, r.lengths) for r in blocks.orderBy("block").limit(1).collect()] == [(0, 0, [-1 if x is None else len(x) for x in texts[:7]])]
+    stream = [ord(c) - 33 for x in texts for c in x or ""]
+    want: dict = {}
+    for x in zip(stream, stream[1:], stream[2:], strict=False):
+        want[x] = want.get(x, 0) + 1
+    got = codec.counts(blocks, 33)
+    assert {(r.p2, r.p1, r.v): r.n for r in got.collect()} == want
+    assert "Generate" not in plan(got) and "rangepartitioning" not in plan(got)
+
+
+@pytest.mark.parametrize("low", [33, 64])
+def test_coded_qualities_come_back(spark, tmp_path, low):
+    """Nulls, empty ones, the highest symbol, both offsets; one below the offset is refused instead of spoilt."""
+    quals = ["I" * 48, None, "", chr(low) * 3, chr(low + 79) * 2 + "hh", *["dddf"] * 9]
+    rows = [(i, f"@{i}", "C" * len(q or ""), q) for i, q in enumerate(quals)]
+    reads = spark.createDataFrame(rows, "read_id long, name string, seq string, qual string").where(F.lit(True) if low == 33 else "read_id > 2")
+    words = spark.createDataFrame([(0, "AC", 2)], "core_id int, core string, len int")
+    archive.write(reads, words, f"{tmp_path}/a", arithmetic=True)
+    back = {r.read_id: r.qual for r in archive.read(spark, f"{tmp_path}/a").collect()}
+    assert back == {i: q for i, q in enumerate(quals) if low == 33 or i > 2}
+    placed = spark.createDataFrame([(0, "hh>h")], "place long, qual string")
+    with pytest.raises(ValueError, match="below the offset"):
+        archive._coded(placed, "qual", 64, f"{tmp_path}/b", "zstd")
