@@ -61,14 +61,18 @@ CODE[np.frombuffer(b"ACGTacgt", dtype=np.uint8)] = [0, 1, 2, 3, 0, 1, 2, 3]
 FOUR = np.frombuffer(b"ACGT", dtype=np.uint8)[np.arange(256)[:, None] >> np.array([6, 4, 2, 0]) & 3]
 
 
+def pack(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of rows of these sizes as bytes of four codes each, the last of a row filled with zeros, and where each row begins."""
+    held = ends(-(-sizes // 4))
+    four = np.zeros(4 * held[-1], dtype=np.uint8)
+    four[spans(4 * held[:-1], sizes)] = codes
+    four = four.reshape(-1, 4)
+    return four[:, 0] << 6 | four[:, 1] << 4 | four[:, 2] << 2 | four[:, 3], held
+
+
 def _pack(seq: pa.Array) -> pa.Array:
     data, at = raw(seq)
-    sizes = np.diff(at)
-    held = ends(-(-sizes // 4))
-    codes = np.zeros(4 * held[-1], dtype=np.uint8)
-    codes[spans(4 * held[:-1], sizes)] = CODE[data]
-    codes = codes.reshape(-1, 4)
-    return texts(codes[:, 0] << 6 | codes[:, 1] << 4 | codes[:, 2] << 2 | codes[:, 3], held, pa.binary())
+    return texts(*pack(CODE[data], np.diff(at)), pa.binary())
 
 
 def _unpack(payload: pa.Array, length: pa.Array) -> pa.Array:
@@ -107,9 +111,14 @@ def sort_key(seq: Column, core: Column, end: Column, width: Column, slow: Column
     return F.when(ok, _arrow(_key, "string", F.when(ok, seq), end, F.when(ok, width).otherwise(0))).otherwise(slow)
 
 
+def alike(one: Column, two: Column) -> Column:
+    """Both are plain and of one length; null where one is null."""
+    return plain(one, two) & (F.length(one) == F.length(two))
+
+
 def both(f: Callable[[np.ndarray, np.ndarray], np.ndarray], one: Column, two: Column, slow: Column) -> Column:
     """A text of f of the bytes of two texts of one length."""
-    ok = plain(one, two) & (F.length(one) == F.length(two))
+    ok = alike(one, two)
 
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
         (x, at), (y, _) = raw(a), raw(b)
@@ -122,3 +131,27 @@ def where(symbol: str, put: str, seq: Column, qual: Column, slow: Column) -> Col
     """seq with one character wherever qual has another."""
     a, b = ord(symbol), np.uint8(ord(put))
     return both(lambda x, y: np.where(y == a, b, x), seq, qual, slow)
+
+
+def restored(payload: Column, length: Column, core: Column, end: Column, qual: Column, symbol: str) -> Column:
+    """The read of a packed payload without its core, and N wherever a quality of the read's length has the symbol."""
+    low = ord(symbol)
+
+    def run(payload: pa.Array, length: pa.Array, core: pa.Array, end: pa.Array, qual: pa.Array) -> pa.Array:
+        (data, p), (cores, c), (quals, q) = raw(payload), raw(core), raw(qual)
+        size, end = np.diff(c), numbers(end)
+        kept = np.clip(numbers(length) - size, 0, 4 * np.diff(p))
+        tail = np.where(end > 0, kept + size - end, kept)
+        letters, out = FOUR[data].reshape(-1), ends(kept + np.where(end > 0, size, 0))
+        # What precedes the core, the core, what follows it; the payload holds the last of them first.
+        seq = np.empty(out[-1], dtype=np.uint8)
+        head = kept - tail
+        seq[spans(out[:-1], head)] = letters[spans(4 * p[:-1] + tail, head)]
+        seq[spans(out[:-1] + head, size * (end > 0))] = cores[spans(c[:-1], size * (end > 0))]
+        seq[spans(out[1:] - tail, tail)] = letters[spans(4 * p[:-1], tail)]
+        same = np.diff(q) * (np.diff(q) == np.diff(out))
+        masked = spans(out[:-1], same)
+        seq[masked[quals[spans(q[:-1], same)] == low]] = ord("N")
+        return texts(seq, out, pa.string())
+
+    return _arrow(run, "string", payload, length, core, end, F.when(plain(qual), qual))

@@ -111,42 +111,50 @@ def _hits(text: pa.Array, tables: list[Table]) -> Iterator[tuple[Table, np.ndarr
 
 
 def _each_row(tables: list[Table], spark, f, schema: str):
-    """An Arrow function of normalized reads: f of a batch's number of rows and its hits."""
+    """An Arrow function of normalized reads: f of a batch and its hits."""
     sent = spark.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield f(len(batch), _hits(batch, sent.value))
+            yield f(batch, _hits(batch, sent.value))
 
     return F.arrow_udf(run, schema)
 
 
-def _every(n: int, hits: Iterable) -> pa.Array:
+def _every(text: pa.Array, hits: Iterable) -> pa.Array:
     """All hits of each row, as lists of (core_id, pos, len)."""
     parts = [(row, table.ids[place], start + 1, np.full(len(row), table.k)) for table, row, start, place in hits]
     row, ids, pos, size = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (zip(*parts, strict=True) if parts else [()] * 4))
     order = np.argsort(row, kind="stable")
     fields = [pa.array(x[order].astype(np.int32)) for x in (ids, pos, size)]
-    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(text)))]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, names=["core_id", "pos", "len"]))
 
 
-def _winner(n: int, hits: Iterable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The id (-1 for none), the last place from 1 and the length of each row's core."""
+@dataclass
+class Found:
+    """Of each row its core: the id (-1 for none), the last place from 1, the length (both 0 for none), and its number in the order
+    of bins (the number of all entries for none)."""
+
+    ids: np.ndarray
+    end: np.ndarray
+    size: np.ndarray
+    bins: np.ndarray
+
+
+def _winner(n: int, hits: Iterable, tables: list[Table]) -> Found:
     ids, end, size = (np.full(n, x, dtype=np.int32) for x in (-1, 0, 0))
+    firsts = dict(zip([t.k for t in tables], walks.ends(np.array([len(t.values) for t in tables], dtype=np.int64)).tolist(), strict=False))
+    bins = np.full(n, sum(len(t.values) for t in tables), dtype=np.int64)
     for table, row, start, place in hits:  # a longer entry takes the row over
         if table.often is not None and len(row):
-            often, firsts = table.often[place], np.flatnonzero(np.diff(row, prepend=-1))
-            top = np.repeat(np.maximum.reduceat(often, firsts), np.diff(np.append(firsts, len(row))))
+            often, heads = table.often[place], np.flatnonzero(np.diff(row, prepend=-1))
+            top = np.repeat(np.maximum.reduceat(often, heads), np.diff(np.append(heads, len(row))))
             row, start, place = (x[often == top] for x in (row, start, place))
         first = np.flatnonzero(np.diff(row, prepend=-1))
         ids[row[first]], end[row[first]], size[row[first]] = table.ids[place[first]], start[first] + table.k, table.k
-    return ids, end, size
-
-
-def _best(n: int, hits: Iterable) -> pa.Array:
-    ids, end, size = _winner(n, hits)
-    return pa.StructArray.from_arrays([pa.array(ids, mask=ids < 0), pa.array(end), pa.array(size)], names=["core_id", "core_end", "len"])
+        bins[row[first]] = firsts[table.k] + place[first]
+    return Found(ids, end, size, bins)
 
 
 def _with_frequency(reads: DataFrame, tables: list[Table]) -> list[Table]:
@@ -201,13 +209,35 @@ def search(reads: DataFrame, cores: DataFrame, by_frequency: bool = False) -> Da
     """reads with core_id, core (null for none) and core_end (last place from 1, 0 for none).
 
     Each batch of reads is searched where it is; reads are neither spread nor dealt anew."""
+    return _searched(reads, cores, by_frequency) or _search_joined(reads, cores, by_frequency)
+
+
+def search_and(reads: DataFrame, cores: DataFrame, by_frequency: bool, f, kinds: dict[str, str], columns: list[Column]) -> DataFrame | None:
+    """search, and what f makes of the same batches: a column of each name and type of kinds, from the reads as they were searched
+    (in letters of either case where they are plain), what was found, and the columns. None for a dictionary that only a join takes."""
+    return _searched(reads, cores, by_frequency, f, kinds, columns)
+
+
+def _searched(reads: DataFrame, cores: DataFrame, by_frequency: bool, f=None, kinds: dict[str, str] | None = None, columns: Iterable[Column] = ()) -> DataFrame | None:
     tables = _tables(cores)
     if tables is None:
-        return _search_joined(reads, cores, by_frequency)
-    best = _each_row(_with_frequency(reads, tables) if by_frequency else tables, reads.sparkSession, _best, "core_id int, core_end int, len int")
-    rows = reads.withColumn("_s", _letters(F.col("seq"))).withColumn("_b", best("_s"))
-    core = F.when(F.col("_b.core_id").isNotNull(), normalized(F.substr("_s", F.col("_b.core_end") - F.col("_b.len") + 1, F.col("_b.len"))))
-    return rows.select(*reads.columns, F.col("_b.core_id").alias("core_id"), core.alias("core"), F.col("_b.core_end").alias("core_end"))
+        return None
+    kinds = {} if kinds is None else kinds
+    sent = reads.sparkSession.sparkContext.broadcast(_with_frequency(reads, tables) if by_frequency else tables)
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for text, *others in batches:
+            found = _winner(len(text), _hits(text, sent.value), sent.value)
+            data, at = walks.raw(text)
+            core = walks.NORMAL[data[walks.spans(at[:-1] + found.end - found.size, found.size)]]
+            fields = [pa.array(found.ids, mask=found.ids < 0), walks.texts(core, walks.ends(found.size), pa.string(), found.ids < 0), pa.array(found.end)]
+            more = f(data, at, found, *others) if f else []
+            yield pa.StructArray.from_arrays([*fields, *more], names=["core_id", "core", "core_end", *kinds])
+
+    best = F.arrow_udf(run, ", ".join(["core_id int, core string, core_end int", *[f"{c} {k}" for c, k in kinds.items()]]))
+    # One column alone would come without its tuple.
+    rows = reads.withColumn("_b", best(_letters(F.col("seq")), *(columns or [F.lit(0)])))
+    return rows.select(*reads.columns, *[F.col(f"_b.{c}").alias(c) for c in ("core_id", "core", "core_end", *kinds)])
 
 
 def _search_joined(reads: DataFrame, cores: DataFrame, by_frequency: bool) -> DataFrame:
@@ -237,7 +267,7 @@ def search_arrow(reads: DataFrame, cores: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ends, _size = _winner(batch.num_rows, _hits(batch.column(1), sent.value))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, mask=ids < 0), pa.array(ends)], schema=schema)
+            found = _winner(batch.num_rows, _hits(batch.column(1), sent.value), sent.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.ids, mask=found.ids < 0), pa.array(found.end)], schema=schema)
 
     return reads.select("read_id", _letters(F.col("seq")).alias("_s")).mapInArrow(run, "read_id long, core_id int, core_end int")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import kept
+from ..storage import Steps, kept
 
 _LOCAL = (1 << 33) - 1
 
@@ -18,17 +19,24 @@ def _dealt(df: DataFrame, order: list[Column], by: str, n: int) -> DataFrame:
     """df in n ranges of order, as repartitionByRange deals them. That would compute every row once more for its sample; here
     the sample is a condition on a column, so that only its rows are computed. Bounds that fit badly cost balance, no more."""
     key = F.struct(*[c.alias(f"_{k}") for k, c in enumerate(order)])
-    some = df.where(F.pmod(F.xxhash64(by), F.lit(SAMPLED)) == 0).select(key.alias("k"))
-    least = some.repartitionByRange(n, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k")).collect()  # a row a range
-    bounds = sorted((r.p, r.k) for r in least)[1:]
+    with Steps(df.sparkSession) as steps:  # the sample is stored, since it is read twice to be dealt
+        some = steps.kept(df.where(F.pmod(F.xxhash64(by), F.lit(SAMPLED)) == 0).select(key.alias("k")), "sample")
+        least = some.repartitionByRange(n, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k")).collect()  # a row a range
+    bounds = [r.k for r in sorted(least, key=lambda r: r.p)][1:]
     if not bounds:
         return df.repartitionById(n, F.lit(0))
-    types = some.schema["k"].dataType
-    known = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(k, types, strict=True)]) for _, k in bounds])
-    steps = F.array(*[F.lit(1 << j) for j in reversed(range(len(bounds).bit_length()))])
-    # How many bounds do not exceed the key, by halves.
-    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(known, at + step - 1) <= key, at + step).otherwise(at))
-    return df.repartitionById(n, place)
+    types = [f.dataType for f in some.schema["k"].dataType]
+
+    def place(lo: int, hi: int) -> Column:
+        """How many bounds do not exceed the key, by halves; the first column mostly tells."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        bound = [F.lit(v).cast(t) for v, t in zip(bounds[mid], types, strict=True)]
+        below = F.when(order[0] < bound[0], True).when(order[0] > bound[0], False).otherwise(key < F.struct(*[x.alias(f"_{k}") for k, x in enumerate(bound)]))
+        return F.when(below, place(lo, mid)).otherwise(place(mid + 1, hi))
+
+    return df.repartitionById(n, place(0, len(bounds)))
 
 
 def with_ordinal(df: DataFrame, *order: str | Column, name: str = "ordinal", by: str | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -40,10 +48,11 @@ def with_ordinal(df: DataFrame, *order: str | Column, name: str = "ordinal", by:
     by_key = [F.col(c) if isinstance(c, str) else c for c in order]
     dealt = (df.repartitionByRange(n, *by_key) if by is None else _dealt(df, by_key, by, n)).sortWithinPartitions(*by_key)
     dealt = dealt if columns is None else dealt.select(*columns)
-    placed = kept(dealt.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL))), "ranges")
+    placed = kept(dealt.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL))), "ranges", "zstd")
     before, at = [(-1, 0)], 0
     for r in sorted(placed.groupBy("_range").count().collect(), key=lambda r: r["_range"]):
         before.append((r["_range"], at))
         at += r["count"]
-    starts = spark.createDataFrame(before, "_range int, _first long")
+    columns = [pa.array(x, kind) for x, kind in zip(zip(*before, strict=True), (pa.int32(), pa.int64()), strict=True)]
+    starts = spark.createDataFrame(pa.table(columns, names=["_range", "_first"]))  # of Arrow, since a list would start a Python worker on every core
     return placed.join(F.broadcast(starts), "_range").withColumn(name, F.col("_first") + F.col("_at")).drop("_range", "_at", "_first")

@@ -23,12 +23,47 @@ CODECS = {"none": "none", "gzip": "gzip", "parallel-gzip": "gzip", "zstd": "zstd
 READS_A_BLOCK = 4096
 
 
+def _slow_quality(seq, qual, mapping: Mapping[int, int], offset: int):
+    values = quality.remapped(quality.symbols(qual), lossy.as_map(mapping))
+    return quality.text(quality.masked(seq, quality.rebased(values, F.lit(offset))), F.lit(offset))
+
+
 def _quality(seq, qual, mapping: Mapping[int, int], offset: int):
     """The quality string with the lossy map applied and N as the offset's symbol."""
-    values = quality.remapped(quality.symbols(qual), lossy.as_map(mapping))
-    slow = quality.text(quality.masked(seq, quality.rebased(values, F.lit(offset))), F.lit(offset))
     new = np.array([mapping.get(x, x) for x in range(256)], dtype=np.uint8)
-    return walks.both(lambda b, q: np.where(b == ord("N"), np.uint8(offset), new[q]), seq, qual, slow)
+    return walks.both(lambda b, q: np.where(b == ord("N"), np.uint8(offset), new[q]), seq, qual, _slow_quality(seq, qual, mapping, offset))
+
+
+def _walked(lookups: list[np.ndarray], offsets: list[int]):
+    """What is stored of a batch of plain reads and their cores, and what they are ordered by (cluster.RANK). Of others it is not to be used."""
+    bits = 2 * cluster.RANKED
+
+    def qualities(data: np.ndarray, at: np.ndarray, qual: pa.Array, mate: int) -> pa.Array:
+        quals, q = walks.raw(qual)
+        text = np.where(data[walks.spans(at[:-1], np.diff(q))] == ord("N"), np.uint8(offsets[mate]), lookups[mate][quals])
+        return walks.texts(text, q, pa.string(), qual.is_null().to_numpy(zero_copy_only=False))
+
+    def run(data: np.ndarray, at: np.ndarray, found: cores.Found, *others: pa.Array) -> list[pa.Array]:
+        n, codes = np.diff(at), walks.CODE[data]
+        after, before = n - found.end, found.end - found.size
+        starts, sizes = (np.stack(x, axis=1).reshape(-1) for x in ((at[:-1] + found.end, at[:-1]), (after, before)))
+        payload = walks.texts(*walks.pack(codes[walks.spans(starts, sizes)], after + before), pa.binary())
+        # The key is what follows the core, filled with A, which is 0, to the length of the payload.
+        key, filled = np.zeros(int((after + before).sum()), dtype=np.uint8), walks.ends(after + before)
+        key[walks.spans(filled[:-1], after)] = codes[walks.spans(at[:-1] + found.end, after)]
+        packed, held = walks.pack(key, after + before)
+        rank, four = found.bins << bits, np.append(packed, np.uint8(0))
+        for k in range(cluster.RANKED // 4):
+            there = held[:-1] + k < held[1:]
+            rank |= np.where(there, four[np.where(there, held[:-1] + k, 0)], 0).astype(np.int64) << bits - 8 * (k + 1)
+        out = [payload, pa.array(rank), walks.texts(packed, held, pa.binary()), pa.array((after + before).astype(np.int32)), pa.array(found.bins)]
+        out.append(qualities(data, at, others[0], 0))
+        if len(others) > 1:
+            data2, at2 = walks.raw(others[1])
+            out += [walks.texts(*walks.pack(walks.CODE[data2], np.diff(at2)), pa.binary()), qualities(data2, at2, others[2], 1)]
+        return out
+
+    return run
 
 
 def encode(
@@ -38,47 +73,71 @@ def encode(
     """(place, read_id, core_id, core_end, name, payload, qual, read_length) and payload2, qual2 of pairs.
     mapping2 and offset2 are those of the second mates, by default the same."""
     mapping2, offset2 = mapping if mapping2 is None else mapping2, offset if offset2 is None else offset2
-    found = cores.search(reads, dictionary, by_frequency)
-    core, end, seq = F.coalesce("core", F.lit("")), F.col("core_end"), F.col("seq")
+    core, end, seq, second = F.coalesce("core", F.lit("")), F.col("core_end"), F.col("seq"), "seq2" in reads.columns
+    qual = F.col("qual") if "qual" in reads.columns else F.lit(None).cast("string")
     out = {
         "read_id": F.col("read_id"), "core_id": F.col("core_id"), "core_end": end, "name": names.truncated(F.col("name")),
         "payload": bases.packed(bases.payload(bases.normalized(seq), core, end)), "read_length": F.length("seq"),
-        "qual": _quality(seq, F.col("qual"), mapping, offset) if "qual" in reads.columns else F.lit(None).cast("string"),
+        "qual": _quality(seq, qual, mapping, offset) if "qual" in reads.columns else qual,
     }
-    if "seq2" in reads.columns:
+    if second:
         out |= {"payload2": bases.packed(F.col("seq2")), "read_length2": F.length("seq2"), "qual2": _quality(F.col("seq2"), F.col("qual2"), mapping2, offset2)}
+    # One walk over a batch searches reads and makes all that is stored of plain ones; others take the forms above.
+    columns, kinds = [F.when(walks.alike(seq, qual), qual)], {"_payload": "binary", "_rank": "long", "_key": "binary", "_width": "int", "_bin": "long", "_qual": "string"}
+    if second:
+        columns += [F.when(walks.plain(F.col("seq2")), F.col("seq2")), F.when(walks.alike(F.col("seq2"), F.col("qual2")), F.col("qual2"))]
+        kinds |= {"_payload2": "binary", "_qual2": "string"}
+    lookups = [np.array([m.get(x, x) for x in range(256)], dtype=np.uint8) for m in (mapping, mapping2)]
+    found = cores.search_and(reads, dictionary, by_frequency, _walked(lookups, [offset, offset2]), kinds, columns)
     # Reads are placed encoded, since that is less to sort.
-    return cluster.clustered(found.withColumns(out), columns=list(out)).select("place", *out)
+    if found is None:
+        return cluster.clustered(cores.search(reads, dictionary, by_frequency).withColumns(out), columns=list(out)).select("place", *out)
+    key = bases.normalized(F.when(end > 0, F.substr(seq, end + 1)).otherwise(seq))
+    width = (F.length("seq") - F.when(end > 0, F.length(core)).otherwise(0)).cast("int")
+    key = F.rpad(key, width, F.lit("A"))
+    first = F.conv(F.translate(F.rpad(F.substring(key, 1, cluster.RANKED), cluster.RANKED, F.lit("A")), bases.BASES, "0123"), 4, 10).cast("long")
+    slow = {
+        "payload": F.unhex(bases.packed_hex(bases.payload(bases.normalized(seq), core, end))), "qual": _slow_quality(seq, qual, mapping, offset),
+        "_rank": F.shiftleft("_bin", 2 * cluster.RANKED) + F.coalesce(first, F.lit(0)), "_key": F.unhex(bases.packed_hex(key)), "_width": width,
+    }
+    if second:
+        slow |= {"payload2": F.unhex(bases.packed_hex(F.col("seq2"))), "qual2": _slow_quality(F.col("seq2"), F.col("qual2"), mapping2, offset2)}
+    for c, x in slow.items():
+        other = "2" if c.endswith("2") else ""
+        ok = walks.alike(F.col(f"seq{other}"), F.col("qual2") if other else qual) if c.startswith("qual") else walks.plain(F.col(f"seq{other}"))
+        slow[c] = F.when(ok, F.col(c if c.startswith("_") else f"_{c}")).otherwise(x)
+    return cluster.clustered_by_rank(found.withColumns(out | slow), list(out)).select("place", *out)
 
 
 def decode(encoded: DataFrame, dictionary: DataFrame, offset: int, library: str | None = None, offset2: int | None = None) -> DataFrame:
     """Reads of encoded rows, with the dictionary that they were encoded by. offset2: of the second mates, by default the same."""
     known = dictionary.select("core_id", "core")
     known = F.broadcast(known) if known.limit(cores.BROADCAST_CORES + 1).count() <= cores.BROADCAST_CORES else known
-    rows = encoded.join(known, "core_id", "left").withColumn("_core", F.coalesce("core", F.lit("")))
-    payload = walks.unpacked(F.col("payload"), F.col("read_length") - F.length("_core"))
-    rows = rows.withColumn("_seq", bases.restored(payload, F.col("_core"), F.col("core_end")))
+    rows = encoded.join(known, "core_id", "left")
 
-    def unknown(seq, qual, base):
+    def restored(payload, length, core, end, qual, base):
+        seq = walks.restored(payload, length, core, end, qual, chr(base))
         slow = quality.with_unknown(seq, quality.rebased(quality.symbols(qual), F.lit(base)))
-        return F.when(qual.isNull(), seq).otherwise(walks.where(chr(base), "N", seq, qual, slow))
+        return F.when(qual.isNull() | walks.alike(seq, qual), seq).otherwise(slow)
 
     name = names.synthesized(library, F.col("place")) if library else F.concat(F.lit("@"), F.col("name"))
-    out = [F.col("place"), F.col("read_id"), name.alias("name"), unknown(F.col("_seq"), F.col("qual"), offset).alias("seq"), "qual"]
+    seq = restored(F.col("payload"), F.col("read_length"), F.col("core"), F.col("core_end"), F.col("qual"), offset)
+    out = [F.col("place"), F.col("read_id"), name.alias("name"), seq.alias("seq"), "qual"]
     if "payload2" in encoded.columns:
-        out += [unknown(walks.unpacked(F.col("payload2"), F.col("read_length2")), F.col("qual2"), offset if offset2 is None else offset2).alias("seq2"), "qual2"]
+        seq2 = restored(F.col("payload2"), F.col("read_length2"), F.lit(None).cast("string"), F.lit(0), F.col("qual2"), offset if offset2 is None else offset2)
+        out += [seq2.alias("seq2"), "qual2"]
     return rows.select(*out)
 
 
 def _coded(rows: DataFrame, column: str, offset: int, path: str, compression: str) -> None:
-    """Writes the symbols of a column of qualities as coded blocks of READS_A_BLOCK reads in their order, and the model.
-    lengths: of the reads of a block, -1 for a null."""
+    """Writes the symbols of a column of qualities as coded blocks of at most READS_A_BLOCK reads in their order, and the model.
+    rows: stored in the order of their places. lengths: of the reads of a block, -1 for a null."""
     spark = rows.sparkSession
     last = offset + context.DEPTH - 1
-    if not rows.where(F.col(column).rlike(f"[^\\x{offset:02x}-\\x{last:02x}]")).isEmpty():
-        raise ValueError(f"a quality below the offset or of {context.DEPTH} or more can't be coded: write without arithmetic coding")
     with Steps(spark) as steps:
-        blocks = steps.kept(codec.gathered(rows.select("place", column), column, "place", READS_A_BLOCK), "blocks")
+        blocks = steps.kept(codec.runs(rows, column, "place", READS_A_BLOCK), "blocks")
+        if not blocks.where((F.col("low") < offset) | (F.col("high") > last)).isEmpty():
+            raise ValueError(f"a quality below the offset or of {context.DEPTH} or more can't be coded: write without arithmetic coding")
         codec.counts(blocks, offset).write.option("compression", compression).parquet(f"{path}/model")
         model = codec.model_of(spark.read.parquet(f"{path}/model"))
         codec.encoded(blocks, model, offset, ["first", "lengths"]).write.option("compression", compression).parquet(f"{path}/blocks")

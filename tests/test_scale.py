@@ -189,3 +189,42 @@ def test_coded_qualities_come_back(spark, tmp_path, low):
     placed = spark.createDataFrame([(0, "hh>h")], "place long, qual string")
     with pytest.raises(ValueError, match="below the offset"):
         archive._coded(placed, "qual", 64, f"{tmp_path}/b", "zstd")
+
+
+def test_one_walk_encodes_reads(spark, monkeypatch):
+    """Reads are searched, packed and given their keys in one Arrow function, in which they are placed as by cores and keys; odd ones too."""
+    rng = random.Random(12)
+    rows = [(0, "@n", None, None), (1, "@é x", "Rßé" * 9, "é" * 27), (2, "@c", "", ""), (3, "@d", "GGAC", None), (4, "@e", "GGACß", "!IIII"), (5, "@f", "ACGT", "I!"), (6, None, "ACéGACA", "I!#I!#5")]
+    for i in range(7, 400):  # many equal beginnings, some reads repeated
+        seq = "".join(rng.choices("ACGTNacg-", weights=[40, 9, 2, 2, 1, 1, 1, 1, 1], k=rng.choice([0, 3, 8, 21, 40])))
+        rows.append((i, f"@r{i} x", seq, "".join(rng.choices("!#5I", k=len(seq)))))
+    reads = spark.createDataFrame([(*r, *reversed(r[2:])) for r in rows], "read_id long, name string, seq string, qual string, qual2 string, seq2 string").repartition(3)
+    entries = ["CA", "AC", "AAC", "AACA", "AAAAAAAA"]
+    words = spark.createDataFrame(list(enumerate(entries)), "core_id int, core string").selectExpr("core_id", "core", "length(core) as len")
+    for one in (reads.drop("seq2", "qual2"), reads.drop("seq2", "qual2", "qual"), reads):
+        got = archive.encode(one, words, {53: 35}, 33, mapping2={73: 72}, offset2=35)
+        with monkeypatch.context() as m:
+            m.setattr(cores, "BROADCAST_CORES", 0)
+            want = archive.encode(one, words, {53: 35}, 33, mapping2={73: 72}, offset2=35)
+            assert got.dtypes == want.dtypes and got.orderBy("place").collect() == want.orderBy("place").collect()
+    seen = {}
+    monkeypatch.setattr(cluster, "with_ordinal", lambda df, *a, **k: seen.setdefault("df", df).withColumn("place", F.lit(0)))
+    archive.encode(reads, words, {}, 33).count()
+    assert seen["df"]._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert not {"core", "sort_key"} & set(seen["df"].columns)
+
+
+def test_blocks_are_cut_where_rows_are(spark):
+    """Rows stored in their order become blocks without being dealt; together they hold each row once, with the same counts."""
+    rng = random.Random(10)
+    texts = [None if i % 9 == 5 else "".join(chr(35 + rng.choice([0, 2, 7, 77])) for _ in range(rng.randint(0, 5))) for i in range(100)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "place long, q string").repartitionByRange(3, "place").sortWithinPartitions("place")
+    blocks = codec.runs(rows, "q", "place", 7)
+    assert "Exchange" not in codec.runs(spark.range(9).selectExpr("id as place", "'a' as q"), "q", "place")._jdf.queryExecution().executedPlan().toString()
+    found = sorted(blocks.collect(), key=lambda r: r.first)
+    assert [n for r in found for n in r.lengths] == [-1 if x is None else len(x) for x in texts] and max(len(r.lengths) for r in found) == 7
+    assert b"".join(bytes(r.symbols) for r in found).decode("latin-1") == "".join(x or "" for x in texts)
+    assert {(r.low, r.high) for r in codec.runs(rows.where("place < 9").withColumn("q", F.lit("b€")), "q", "place").collect()} == {(98, 256)}
+    full = rows.withColumn("q", F.rpad(F.coalesce("q", F.lit("")), 4, "%"))
+    same = [{(r.p2, r.p1, r.v): r.n for r in codec.counts(b, 35).collect()} for b in (codec.runs(full, "q", "place", 7), codec.gathered(full, "q", "place", 7))]
+    assert same[0] == same[1] and same[0]
