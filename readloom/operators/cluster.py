@@ -22,13 +22,13 @@ def keyed(found: DataFrame) -> DataFrame:
     return found.withColumn("sort_key", sort_key(F.col("seq"), F.coalesce("core", F.lit("")), F.col("core_end"), F.length("seq")))
 
 
-def clustered(found: DataFrame, ordinal: str = "place", columns: list[str] | None = None) -> DataFrame:
+def clustered(found: DataFrame, ordinal: str = "place", columns: list[str] | None = None, by: str = "read_id") -> DataFrame:
     """Reads in archive order with their place from 0. Ranges take the sort key in, so a large bin is split.
-    columns: those to keep, by default all; only what they and the order need is dealt."""
+    columns: those to keep, by default all; only what they and the order need is dealt. by: see with_ordinal."""
     rows = keyed(found)
     if columns is not None:
-        rows = rows.select(*dict.fromkeys([*columns, "core", "sort_key", "read_id"]))
-    return with_ordinal(rows, *bin_columns(), F.col("sort_key"), F.col("read_id"), name=ordinal, by="read_id", columns=columns)
+        rows = rows.select(*dict.fromkeys([*columns, "core", "sort_key", "read_id", by]))
+    return with_ordinal(rows, *bin_columns(), F.col("sort_key"), F.col("read_id"), name=ordinal, by=by, columns=columns)
 
 
 #: What clustered_by_rank orders by: _rank, the number of the bin in their order and then the first RANKED bases of the sort key in two bits each;
@@ -36,9 +36,9 @@ def clustered(found: DataFrame, ordinal: str = "place", columns: list[str] | Non
 RANK, RANKED = ["_rank", "_key", "_width"], 16
 
 
-def clustered_by_rank(found: DataFrame, columns: list[str], ordinal: str = "place") -> DataFrame:
+def clustered_by_rank(found: DataFrame, columns: list[str], ordinal: str = "place", by: str = "read_id") -> DataFrame:
     """clustered, of reads that know their RANK: it is shorter than cores and keys, and quicker to compare."""
-    return with_ordinal(found.select(*dict.fromkeys([*columns, *RANK, "read_id"])), *RANK, "read_id", name=ordinal, by="read_id", columns=columns)
+    return with_ordinal(found.select(*dict.fromkeys([*columns, *RANK, "read_id", by])), *RANK, "read_id", name=ordinal, by=by, columns=columns)
 
 
 def bin_counts(found: DataFrame) -> DataFrame:

@@ -88,10 +88,11 @@ def encode(
         columns += [F.when(walks.plain(F.col("seq2")), F.col("seq2")), F.when(walks.alike(F.col("seq2"), F.col("qual2")), F.col("qual2"))]
         kinds |= {"_payload2": "binary", "_qual2": "string"}
     lookups = [np.array([m.get(x, x) for x in range(256)], dtype=np.uint8) for m in (mapping, mapping2)]
+    by = "ordinal" if "ordinal" in reads.columns else "read_id"  # mates are joined by it, so a condition on it comes before the join
     found = cores.search_and(reads, dictionary, by_frequency, _walked(lookups, [offset, offset2]), kinds, columns)
     # Reads are placed encoded, since that is less to sort.
     if found is None:
-        return cluster.clustered(cores.search(reads, dictionary, by_frequency).withColumns(out), columns=list(out)).select("place", *out)
+        return cluster.clustered(cores.search(reads, dictionary, by_frequency).withColumns(out), columns=list(out), by=by).select("place", *out)
     key = bases.normalized(F.when(end > 0, F.substr(seq, end + 1)).otherwise(seq))
     width = (F.length("seq") - F.when(end > 0, F.length(core)).otherwise(0)).cast("int")
     key = F.rpad(key, width, F.lit("A"))
@@ -106,7 +107,7 @@ def encode(
         other = "2" if c.endswith("2") else ""
         ok = walks.alike(F.col(f"seq{other}"), F.col("qual2") if other else qual) if c.startswith("qual") else walks.plain(F.col(f"seq{other}"))
         slow[c] = F.when(ok, F.col(c if c.startswith("_") else f"_{c}")).otherwise(x)
-    return cluster.clustered_by_rank(found.withColumns(out | slow), list(out)).select("place", *out)
+    return cluster.clustered_by_rank(found.withColumns(out | slow), list(out), by=by).select("place", *out)
 
 
 def decode(encoded: DataFrame, dictionary: DataFrame, offset: int, library: str | None = None, offset2: int | None = None) -> DataFrame:

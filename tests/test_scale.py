@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import bases, quality
-from readloom.operators import cluster, codec, cores, lossy, ordinal
-from readloom.plans import derived
+from readloom.operators import cluster, codec, cores, lossy, ordinal, pairs
+from readloom.plans import catalogue, derived
 from readloom.sources import archive
 
 
@@ -228,3 +228,26 @@ def test_blocks_are_cut_where_rows_are(spark):
     full = rows.withColumn("q", F.rpad(F.coalesce("q", F.lit("")), 4, "%"))
     same = [{(r.p2, r.p1, r.v): r.n for r in codec.counts(b, 35).collect()} for b in (codec.runs(full, "q", "place", 7), codec.gathered(full, "q", "place", 7))]
     assert same[0] == same[1] and same[0]
+
+
+def test_places_of_mates_come_before_their_reads(spark, tmp_path):
+    """Files are zipped by places that events got: no sequence or quality is sorted or stored for that."""
+    sf = small_tables(spark, tmp_path)
+    for mates in catalogue._mates(spark, sf):
+        assert not re.search(r"Relation[^\n]*\b(seq|qual)#", plan(mates)) and "seq" in mates.columns
+    ids = sorted(r.read_id for r in derived.reads(spark, sf).collect())
+    both = pairs.zipped(*catalogue._mates(spark, sf)).orderBy("ordinal").collect()
+    assert [(r.ordinal, r.read_id) for r in both] == list(enumerate(ids))
+    want = {r.read_id: (r.seq, r.qual) for r in derived.reads(spark, sf, shift=1000).collect()}
+    assert {r.read_id: (r.seq2, r.qual2) for r in both} == want
+
+
+def test_sample_of_mates_is_taken_before_they_meet(spark, tmp_path, monkeypatch):
+    """The condition for the bounds of ranges is on the place, which both files have: neither is joined whole for it."""
+    sf, seen = small_tables(spark, tmp_path), {}
+    monkeypatch.setattr(cluster, "with_ordinal", lambda df, *a, by, **k: seen.setdefault("df", (df, by))[0].withColumn("place", F.lit(0)))
+    words = spark.createDataFrame([(0, "AC", 2)], "core_id int, core string, len int")
+    archive.encode(pairs.zipped(*catalogue._mates(spark, sf)), words, {}, 33)
+    df, by = seen["df"]
+    some = df.where(F.pmod(F.xxhash64(by), F.lit(64)) == 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert by == "ordinal" and some.count("xxhash64") == 2
